@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from thicket.llm import contamination
 from thicket.llm.audio import op1_media_audio
+from thicket.llm.contamination import op4_decontamination
+from thicket.llm.neardup import op3_near_duplicates
 from thicket.llm.quality import op2_quality
 
-QUERIES = {"op1_media_audio": op1_media_audio, "op2_quality": op2_quality}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_media_audio": op1_media_audio,
+    "op2_quality": op2_quality,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op4_decontamination": op4_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": contamination.ORACLE_SQL}
