@@ -21,14 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors.
 
-    The files are removed when the driver's JVM ends.
+    What was shuffled for it can go then, so the driver is asked to collect garbage, upon which Spark removes
+    the shuffle files. The table's files are removed when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/thicket-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(**{"compression": codec} | (options or {})).parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from thicket.llm import contamination
+from thicket.llm import contamination, substrings, warc
 from thicket.llm.audio import op1_media_audio
 from thicket.llm.contamination import op4_decontamination
 from thicket.llm.neardup import op3_near_duplicates
 from thicket.llm.quality import op2_quality
+from thicket.llm.substrings import op5_substring_dedup
+from thicket.llm.tokens import op6_token_counts
+from thicket.llm.warc import op7_warc
 
 QUERIES = {
     "op1_media_audio": op1_media_audio,
     "op2_quality": op2_quality,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": contamination.ORACLE_SQL,
+    "op5_substring_dedup": substrings.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": contamination.ORACLE_SQL}
