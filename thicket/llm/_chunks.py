@@ -117,3 +117,22 @@ def answered(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     """chunks with a column `got`: the answers (shard, data) to each chunk; null without any."""
     lists = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "data")).alias("got"))
     return chunks.join(lists, "chunk", "left")
+
+
+def bundle(*arrays: np.ndarray) -> bytes:
+    """Several arrays in one value: for each its type, length and compressed byte planes."""
+    out = []
+    for a in arrays:
+        data = pack_plain(a) if len(a) else b""
+        out += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little"), len(data).to_bytes(8, "little"), data]
+    return b"".join(out)
+
+
+def unbundle(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind = data[at : at + 4].decode().strip()
+        n, size = int.from_bytes(data[at + 4 : at + 12], "little"), int.from_bytes(data[at + 12 : at + 20], "little")
+        out.append(unpack_plain(data[at + 20 : at + 20 + size], n, np.dtype(kind)) if n else np.zeros(0, kind))
+        at += 20 + size
+    return out

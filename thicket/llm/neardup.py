@@ -11,8 +11,9 @@ similarity of their multisets is `threshold` (0.8) or more; groups are the conne
    Every candidate pair is verified on the exact multisets of the whole texts.
 3. Verified links become components. Bands whose members are still in different components are cut into
    blocks of about `block` members; pairs of blocks are compared by signature in numpy, and pairs from different
-   components that may reach the threshold are verified too. So a band of any size is fully examined, no
-   cap is set, and copies that are linked already cost nothing.
+   components that may reach the threshold are verified too, the best estimates first: as one link joins two
+   components, a round takes the best few pairs of each two, and rounds take four times as many until
+   none is left. So a band of any size is fully examined, no cap is set, and copies that are linked already cost nothing.
 
 BagMinHash: an element with weight w throws points of a Poisson process over the weight axis (0, w],
 each with an arrival time and a signature slot; a slot keeps its earliest arrival, so two signatures agree in a
@@ -51,7 +52,7 @@ class NearDupParams:
     rows: int = 6
     block: int = 64
     #: Standard deviations of the signature estimate below the threshold that a pair may be and still be verified.
-    slack: float = 5.0
+    slack: float = 4.0
 
     @property
     def slots(self) -> int:
@@ -168,8 +169,7 @@ def similar(a: pa.Array, b: pa.Array, k: int, threshold: float) -> np.ndarray:
 def _verify(p: NearDupParams):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in W.slices(batch, 1 << 20, "ta"):
                 ok = similar(part.column("ta"), part.column("tb"), p.shingle, p.threshold)
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok))], names=["a", "b"])
 
@@ -184,7 +184,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(p), "a bigint, b bigint")
 
 
-def _block_pairs(p: NearDupParams):
+def _block_pairs(p: NearDupParams, most: int):
+    """Of two blocks, the pairs of different components that may reach the threshold: of each pair of components
+    the `most` with the best estimates, and whether there are more."""
     need = int(np.floor(p.slots * (p.threshold - p.slack * np.sqrt(p.threshold * (1 - p.threshold) / p.slots))))
 
     def run(batches):
@@ -196,21 +198,28 @@ def _block_pairs(p: NearDupParams):
                 marks = np.frombuffer(b"".join(members.field("marks").to_pylist()), np.uint8).reshape(len(rep), -1)
                 lo, hi = batch.column("i")[i].as_py(), batch.column("j")[i].as_py()
                 left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-                out_a, out_b = [], []
+                found = []
                 for k in left:
                     other = right[right > k] if lo == hi else right
                     fits = (comp[other] != comp[k]) & (np.minimum(n[other], n[k]) >= p.threshold * np.maximum(n[other], n[k]))
                     other = other[fits]
-                    other = other[(marks[other] == marks[k]).sum(axis=1) >= need]
-                    out_a.append(np.minimum(rep[other], rep[k]))
-                    out_b.append(np.maximum(rep[other], rep[k]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
+                    same = (marks[other] == marks[k]).sum(axis=1)
+                    other, same = other[same >= need], same[same >= need]
+                    found.append(np.stack([np.minimum(comp[other], comp[k]), np.maximum(comp[other], comp[k]), -same, np.minimum(rep[other], rep[k]), np.maximum(rep[other], rep[k])]))
+                x = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+                x = x[:, np.lexsort(x[::-1])]
+                new = np.concatenate([[True], (x[:2, 1:] != x[:2, :-1]).any(axis=0)]) if x.shape[1] else np.zeros(0, bool)
+                at = np.flatnonzero(new)
+                size = np.diff(np.append(at, x.shape[1]))
+                rank = np.arange(x.shape[1]) - np.repeat(at, size)
+                keep = rank < most
+                yield pa.RecordBatch.from_arrays([pa.array(x[3][keep]), pa.array(x[4][keep]), pa.array(np.repeat(size > most, size)[keep])], names=["a", "b", "more"])
 
     return run
 
 
-def _residual(bands: DataFrame, reps: DataFrame, labels: DataFrame, tested: DataFrame, p: NearDupParams) -> DataFrame:
-    """Pairs of different components that share a band and may reach the threshold, but for those tested."""
+def _residual(bands: DataFrame, reps: DataFrame, labels: DataFrame, p: NearDupParams, most: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a band and may reach the threshold; see _block_pairs."""
     placed = bands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
     sizes = placed.groupBy("bh", "comp").agg(F.count("*").alias("c"))
     # an owner of blocks: a component with a block's worth of members in the band, or -1 for all smaller ones
@@ -232,7 +241,7 @@ def _residual(bands: DataFrame, reps: DataFrame, labels: DataFrame, tested: Data
     dealt = dealt.select("bh", "o1", "o2", i.alias("i"), j.alias("j"), F.struct("rep", "comp", "n", "marks", mark.alias("blk")).alias("member"))
     groups = dealt.groupBy("bh", "o1", "o2", "i", "j").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
     groups = groups.select(F.when(pooled, F.col("i")).otherwise(-2).alias("i"), F.when(pooled, F.col("j")).otherwise(-1).alias("j"), "members")
-    return groups.mapInArrow(_block_pairs(p), "a bigint, b bigint").distinct().join(tested, ["a", "b"], "left_anti")
+    return groups.mapInArrow(_block_pairs(p, most), "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
 
 
 def clusters(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -250,12 +259,18 @@ def clusters(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     stars = written(bands.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     texts = named.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     links = written(_verified(stars, texts, p), "verified")
-    labels = components(links)
-    more = written(_residual(bands.select("rep", "bh"), reps, labels, stars, p), "residual")
-    if not more.isEmpty():
-        extra = written(_verified(more, texts, p), "verified")
-        if not extra.isEmpty():
-            labels = components(links.unionByName(extra))
+    labels, tested, most = components(links), stars, 4
+    while True:  # until all pairs that remain between components have been verified
+        found = written(_residual(bands.select("rep", "bh"), reps, labels, p, most), "residual")
+        fresh = written(found.join(tested, ["a", "b"], "left_anti").select("a", "b"), "fresh")
+        if not fresh.isEmpty():
+            extra = written(_verified(fresh, texts, p), "verified")
+            tested = tested.unionByName(fresh)
+            if not extra.isEmpty():
+                labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").unionByName(extra))
+        if found.where("more").isEmpty():
+            break
+        most *= 4
     out = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "class_id", F.coalesce("label", "class_id").alias("group_id"))
     alone = sketch.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id")).distinct()
     return out.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("group_id"))

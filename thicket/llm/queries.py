@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from thicket.llm import contamination, substrings, warc
+from thicket.llm import contamination, mixing, substrings, warc
 from thicket.llm.audio import op1_media_audio
 from thicket.llm.contamination import op4_decontamination
+from thicket.llm.licenses import op10_licenses
+from thicket.llm.mixing import op9_mixing
 from thicket.llm.neardup import op3_near_duplicates
+from thicket.llm.pitman_yor import op8_pitman_yor
 from thicket.llm.quality import op2_quality
 from thicket.llm.substrings import op5_substring_dedup
 from thicket.llm.tokens import op6_token_counts
@@ -19,9 +22,13 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
+    "op8_pitman_yor": op8_pitman_yor,
+    "op9_mixing": op9_mixing,
+    "op10_licenses": op10_licenses,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": contamination.ORACLE_SQL,
     "op5_substring_dedup": substrings.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "op9_mixing": mixing.ORACLE_SQL,
 }
