@@ -34,8 +34,12 @@ def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers once per application.
 
     Functions in mapInArrow are pickled by reference, so the workers must be able to import
-    the package whatever their PYTHONPATH is.
+    the package whatever their PYTHONPATH is. Where the session has no own setting, Arrow batches
+    are kept to some hundred rows, as rows here are whole texts.
     """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "500")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
