@@ -4,16 +4,15 @@ A document is the multiset of its five-word shingles (words of non-space charact
 a document of one to four words is one shingle). Two documents are linked when the weighted Jaccard
 similarity of their multisets is `threshold` (0.8) or more; groups are the connected components.
 
-1. One pass over the texts gives each row a 128-bit key of its words, a BagMinHash signature cut into bands,
-   and a byte of each signature value. Rows with equal words are one class; only its smallest doc_id goes on.
+1. One pass over the texts gives each row a 128-bit key of its words and a BagMinHash signature cut into bands. Rows with equal words are one class; only its smallest doc_id goes on.
    The pass and the class table are written to the shared folder.
 2. Representatives that share a band are compared with the band's smallest one: as many pairs as rows.
    Every candidate pair is verified on the exact multisets of the whole texts.
-3. Verified links become components. Bands whose members are still in different components are cut into
-   blocks of about `block` members; pairs of blocks are compared by signature in numpy, and pairs from different
-   components that may reach the threshold are verified too, the best estimates first: as one link joins two
-   components, a round takes the best few pairs of each two, and rounds take four times as many until
-   none is left. So a band of any size is fully examined, no cap is set, and copies that are linked already cost nothing.
+3. Verified links become components. Members of bands that still hold different components get a longer
+   signature. These bands are cut into blocks of about `block` members; pairs of blocks are compared by signature
+   in numpy, and pairs from different components that may reach the threshold are verified too, the best
+   estimates first: as one link joins two components, a round takes the best few partners of each member, and
+   rounds take four times as many until none is left. So a band of any size is fully examined, no cap is set, and copies that are linked already cost nothing.
 
 BagMinHash: an element with weight w throws points of a Poisson process over the weight axis (0, w],
 each with an arrival time and a signature slot; a slot keeps its earliest arrival, so two signatures agree in a
@@ -50,7 +49,9 @@ class NearDupParams:
     threshold: float = 0.8
     bands: int = 32
     rows: int = 6
-    block: int = 64
+    block: int = 256
+    #: Slots of the longer signatures that members of undecided bands get.
+    fine_slots: int = 1024
     #: Standard deviations of the signature estimate below the threshold that a pair may be and still be verified.
     slack: float = 4.0
 
@@ -146,15 +147,29 @@ def _sketch(p: NearDupParams):
                     bands = W.mix(bands + np.arange(p.bands, dtype=U64)[None, :])
                     empty = count == 0
                     offsets = np.concatenate([[0], np.cumsum(np.where(empty, 0, p.bands))]).astype(np.int32)
-                    marks = W.mix(bits).astype(np.uint8)
                     yield pa.RecordBatch.from_arrays(
-                        [rows.column("doc_id"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(count, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[~empty].ravel().view(np.int64))), pa.array([x.tobytes() for x in marks], pa.binary())],
-                        names=["doc_id", "k1", "k2", "n", "bands", "marks"],
+                        [rows.column("doc_id"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(count, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[~empty].ravel().view(np.int64)))],
+                        names=["doc_id", "k1", "k2", "n", "bands"],
                     )
 
     return run
 
 
+def _fine(p: NearDupParams):
+    """Longer signatures, a byte a slot, and the number of shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for part in W.slices(batch, 1 << 20):
+                for at in range(0, part.num_rows, 512):
+                    rows = part.slice(at, 512)
+                    both, weight, count, _ = shingle_bags(rows.column("text"), p.shingle)
+                    marks = W.mix(signatures(both, weight, rows.num_rows, p.fine_slots).view(U64) >> U64(12)).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(count, pa.int64()), pa.array([x.tobytes() for x in marks], pa.binary())], names=["rep", "n", "marks"])
+
+    return run
+
+
 def similar(a: pa.Array, b: pa.Array, k: int, threshold: float) -> np.ndarray:
     """Whether the multisets of shingles of a[i] and b[i] reach the threshold, exactly."""
     x, wx, nx, _ = shingle_bags(a, k)
@@ -176,18 +191,30 @@ def _verify(p: NearDupParams):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. The texts needed are taken from docs once."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """The written table (doc_id, text) of the wanted ids: the one time that texts are shuffled by id."""
+    return written(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(p), "a bigint, b bigint")
+    return written(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(p), "a bigint, b bigint"), "verified")
 
 
 def _block_pairs(p: NearDupParams, most: int):
-    """Of two blocks, the pairs of different components that may reach the threshold: of each pair of components
-    the `most` with the best estimates, and whether there are more."""
-    need = int(np.floor(p.slots * (p.threshold - p.slack * np.sqrt(p.threshold * (1 - p.threshold) / p.slots))))
+    """Of two blocks of a band, the pairs of different components that may reach the threshold, if this is the smallest
+    band that they share: of each member the `most` with the best estimates (a component that has a link finds it
+    early), and whether there are more."""
+    need = int(np.floor(p.fine_slots * (p.threshold - p.slack * np.sqrt(p.threshold * (1 - p.threshold) / p.fine_slots))))
+
+    def best(member: np.ndarray, same: np.ndarray) -> np.ndarray:
+        order = np.lexsort((-same, member))
+        sorted_ = member[order]
+        at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(order) else np.zeros(0, np.int64)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.repeat(at, np.diff(np.append(at, len(order))))
+        return rank < most
 
     def run(batches):
         for batch in batches:
@@ -196,6 +223,7 @@ def _block_pairs(p: NearDupParams, most: int):
                 rep, comp, n = (members.field(f).to_numpy() for f in ("rep", "comp", "n"))
                 side = members.field("blk").to_numpy()
                 marks = np.frombuffer(b"".join(members.field("marks").to_pylist()), np.uint8).reshape(len(rep), -1)
+                bands, own = members.field("bands").flatten().to_numpy().reshape(len(rep), -1), batch.column("bh")[i].as_py()
                 lo, hi = batch.column("i")[i].as_py(), batch.column("j")[i].as_py()
                 left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
                 found = []
@@ -204,43 +232,45 @@ def _block_pairs(p: NearDupParams, most: int):
                     fits = (comp[other] != comp[k]) & (np.minimum(n[other], n[k]) >= p.threshold * np.maximum(n[other], n[k]))
                     other = other[fits]
                     same = (marks[other] == marks[k]).sum(axis=1)
-                    other, same = other[same >= need], same[same >= need]
-                    found.append(np.stack([np.minimum(comp[other], comp[k]), np.maximum(comp[other], comp[k]), -same, np.minimum(rep[other], rep[k]), np.maximum(rep[other], rep[k])]))
-                x = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
-                x = x[:, np.lexsort(x[::-1])]
-                new = np.concatenate([[True], (x[:2, 1:] != x[:2, :-1]).any(axis=0)]) if x.shape[1] else np.zeros(0, bool)
-                at = np.flatnonzero(new)
-                size = np.diff(np.append(at, x.shape[1]))
-                rank = np.arange(x.shape[1]) - np.repeat(at, size)
-                keep = rank < most
-                yield pa.RecordBatch.from_arrays([pa.array(x[3][keep]), pa.array(x[4][keep]), pa.array(np.repeat(size > most, size)[keep])], names=["a", "b", "more"])
+                    ok = same >= need
+                    shared = np.where(bands[other[ok]] == bands[k], bands[k], np.iinfo(np.int64).max).min(axis=1)
+                    ok[ok] = shared == own
+                    found.append(np.stack([np.full(int(ok.sum()), rep[k]), rep[other[ok]], same[ok]]))
+                x = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+                keep = best(x[0], x[2]) | best(x[1], x[2])
+                y = x[:, keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(y[0], y[1])), pa.array(np.maximum(y[0], y[1])), pa.array(np.full(y.shape[1], not keep.all()))], names=["a", "b", "more"])
 
     return run
 
 
-def _residual(bands: DataFrame, reps: DataFrame, labels: DataFrame, p: NearDupParams, most: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a band and may reach the threshold; see _block_pairs."""
+def _undecided(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, bh, comp) of the bands of more than two members that hold members of different components."""
     placed = bands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
-    sizes = placed.groupBy("bh", "comp").agg(F.count("*").alias("c"))
+    mixed = placed.groupBy("bh").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and c > 2").select("bh")
+    return written(placed.join(mixed, "bh", "left_semi"), "undecided")
+
+
+def _residual(placed: DataFrame, fine: DataFrame, p: NearDupParams, most: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a band and may reach the threshold; see _block_pairs."""
     # an owner of blocks: a component with a block's worth of members in the band, or -1 for all smaller ones
     owner = F.when(F.col("c") >= p.block, F.col("comp")).otherwise(F.lit(-1))
-    mixed = sizes.groupBy("bh").agg(F.sum("c").alias("all"), F.count("*").alias("comps")).where("comps > 1 and all > 2").select("bh")
-    sizes = written(sizes.join(mixed, "bh", "left_semi").withColumn("owner", owner), "sizes")
+    sizes = placed.groupBy("bh", "comp").agg(F.count("*").alias("c")).withColumn("owner", owner)
     owners = sizes.groupBy("bh", "owner").agg(F.ceil(F.sum("c") / p.block).cast("int").alias("nblk"))
     left, right = (owners.select("bh", F.col("owner").alias(f"o{k}"), F.col("nblk").alias(f"n{k}")) for k in (1, 2))
     both = left.join(right, "bh").where("o1 < o2 or (o1 = -1 and o2 = -1)")  # a component isn't compared with itself
     mine = both.select("bh", F.col("o1").alias("owner"), "o1", "o2", F.col("n1").alias("own"), F.col("n2").alias("others"), F.lit(1).alias("side"))
     yours = both.where("o1 <> o2").select("bh", F.col("o2").alias("owner"), "o1", "o2", F.col("n2").alias("own"), F.col("n1").alias("others"), F.lit(2).alias("side"))
-    rows = placed.join(sizes.select("bh", "comp", "owner"), ["bh", "comp"]).join(reps.select("rep", "n", "marks"), "rep")
+    rows = placed.join(sizes.select("bh", "comp", "owner"), ["bh", "comp"]).join(fine, "rep")
     dealt = rows.join(mine.unionByName(yours), ["bh", "owner"]).withColumn("blk", F.pmod(F.xxhash64("rep", "bh"), F.col("own")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     pooled = F.col("o1") == F.col("o2")
     i = F.when(pooled, F.least("blk", "other")).when(F.col("side") == 1, F.col("blk")).otherwise(F.col("other"))
     j = F.when(pooled, F.greatest("blk", "other")).when(F.col("side") == 1, F.col("other")).otherwise(F.col("blk"))
     mark = F.when(pooled, F.col("blk")).otherwise(F.col("side") - 3)  # what tells the two blocks of a pair apart
-    dealt = dealt.select("bh", "o1", "o2", i.alias("i"), j.alias("j"), F.struct("rep", "comp", "n", "marks", mark.alias("blk")).alias("member"))
+    dealt = dealt.select("bh", "o1", "o2", i.alias("i"), j.alias("j"), F.struct("rep", "comp", "n", "marks", "bands", mark.alias("blk")).alias("member"))
     groups = dealt.groupBy("bh", "o1", "o2", "i", "j").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
-    groups = groups.select(F.when(pooled, F.col("i")).otherwise(-2).alias("i"), F.when(pooled, F.col("j")).otherwise(-1).alias("j"), "members")
+    groups = groups.select("bh", F.when(pooled, F.col("i")).otherwise(-2).alias("i"), F.when(pooled, F.col("j")).otherwise(-1).alias("j"), "members")
     return groups.mapInArrow(_block_pairs(p, most), "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
 
 
@@ -249,28 +279,31 @@ def clusters(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where(F.col("doc_id").isNotNull())
-    sketch = written(named.mapInArrow(_sketch(p), "doc_id bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>, marks binary"), "sketch")
-    classes = sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    sketch = written(named.mapInArrow(_sketch(p), "doc_id bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>"), "sketch")
+    # a table of its own, so that the join below is between two plain shuffles, and a key with very many copies can be split
+    classes = written(sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     members = written(sketch.where("n > 0").select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", F.col("rep").alias("class_id")).distinct(), "members")
-    reps = written(sketch.join(members.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "bands", "marks"), "reps")
+    reps = written(sketch.join(members.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "bands"), "reps")
     bands = reps.select("rep", F.explode("bands").alias("bh"))
     shared = bands.groupBy("bh").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).where("c > 1")
     bands = written(bands.join(shared, "bh").select("rep", "bh", "hub"), "bands")
     stars = written(bands.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    texts = named.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    links = written(_verified(stars, texts, p), "verified")
-    labels, tested, most = components(links), stars, 4
-    while True:  # until all pairs that remain between components have been verified
-        found = written(_residual(bands.select("rep", "bh"), reps, labels, p, most), "residual")
+    texts = _texts(bands.select(F.col("rep").alias("doc_id")).distinct(), named)
+    labels = components(_verified(stars, texts, p))
+    placed = _undecided(bands.select("rep", "bh"), labels)
+    open_ = texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    fine = written(open_.mapInArrow(_fine(p), "rep bigint, n bigint, marks binary").join(reps, "rep"), "fine")
+    tested, most = stars, 2
+    while not placed.isEmpty():  # until all pairs that remain between components have been verified
+        found = written(_residual(placed, fine, p, most), "residual")
         fresh = written(found.join(tested, ["a", "b"], "left_anti").select("a", "b"), "fresh")
-        if not fresh.isEmpty():
-            extra = written(_verified(fresh, texts, p), "verified")
-            tested = tested.unionByName(fresh)
-            if not extra.isEmpty():
-                labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").unionByName(extra))
+        links = _verified(fresh, texts, p)
+        if not links.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").unionByName(links))
         if found.where("more").isEmpty():
             break
-        most *= 4
+        tested, most = tested.unionByName(fresh), most * 4
+        placed = _undecided(placed.select("rep", "bh"), labels)
     out = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "class_id", F.coalesce("label", "class_id").alias("group_id"))
     alone = sketch.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id")).distinct()
     return out.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("group_id"))
@@ -278,10 +311,9 @@ def clusters(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """The rows of docs with one document of each group; rows with a null doc_id all stay, repeated ones once."""
-    kept = clusters(docs, p).where("kept").select(F.col("doc_id").alias("_kept"))
-    rows = docs.withColumn("_id", F.col("doc_id").cast("bigint"))
-    once = rows.join(kept, rows["_id"] == kept["_kept"], "left_semi").dropDuplicates(["_id"])
-    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = clusters(docs, p).where("kept").select("doc_id")
+    once = docs.join(kept, docs["doc_id"].cast("bigint") == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
