@@ -176,13 +176,12 @@ def train(docs: DataFrame, labels: DataFrame, p: BoostParams = BoostParams()) ->
     return fit(x[order], y[order], p)
 
 
-def scored(docs: DataFrame, trees: Trees, keep: bool = False) -> DataFrame:
-    """doc_id and score of every row; with keep, all columns of docs and a column quality_score."""
+def scored(docs: DataFrame, trees: Trees, name: str = "score", keep: bool = False) -> DataFrame:
+    """doc_id and the score (in a column of that name) of every row; with keep, all columns of docs before it."""
     ship(docs.sparkSession)
     if not keep:
         docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     columns = [c for c in docs.columns if keep or c != "text"]
-    name = "quality_score" if keep else "score"
 
     def run(batches):
         for batch in batches:
@@ -205,7 +204,10 @@ def classify(docs: DataFrame, labels: DataFrame, p: BoostParams = BoostParams())
 
 def accepted(docs: DataFrame, labels: DataFrame, p: BoostParams = BoostParams()) -> DataFrame:
     """The rows of docs that the classifier predicts as good, with their columns."""
-    return scored(docs, train(docs, labels, p), keep=True).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, train(docs, labels, p), name, keep=True).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
