@@ -11,7 +11,7 @@ through as often as the target asks for; the last document taken may be taken in
 meet its rounded target.
 
 Word counts are taken in one scan, and only (id, source, size, hash) are kept, in a table in the shared folder. The running
-words of a source are sums in two levels: sums of hash ranges of some million words, whose number
+words of a source are sums in two levels: sums of hash ranges of some hundred thousand words, whose number
 grows with the source, and a window within each range. So no task holds a source. Sources themselves are
 one aggregated row each; Spark broadcasts their table only while it is below its own threshold.
 
@@ -37,7 +37,7 @@ class MixParams:
     most: float = 2.0
     #: Start and end of a source's weight, as multiples of it, taken in turn like the weights; their mean is 1.
     schedule: tuple[tuple[float, float], ...] = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
-    range_words: int = 4_000_000
+    range_words: int = 250_000
 
 
 WORD = r"[^\x20\x09-\x0D]+"
