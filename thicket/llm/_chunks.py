@@ -35,7 +35,7 @@ def chunked(rows: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES) -> tuple
             nonlocal k, held, size
             table = pa.Table.from_batches(held)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
                 w.write_table(table.combine_chunks())
             row = pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "n_bytes", "blob"])
             k, held, size = k + 1, [], 0
