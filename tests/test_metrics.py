@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from thicket.operators import metrics as M
 
 PAD, UNK = 3, 0
-P, L = F.col("pred"), F.col("label")
+def P():
+    return F.col("pred")
+
+
+def L():
+    return F.col("label")
+
 
 
 def pad(x, n=5):
@@ -30,40 +36,40 @@ def mean(*x):
 
 
 def test_precision(spark):
-    assert value(spark, [([10, 11, 12], [11, 10]), ([10, 10, 10, 11], [10, 11, 12, 13, 14])], M.precision(P, L, PAD)) == pytest.approx(5 / 6)
-    assert value(spark, [([10, 11, 12], [11, 10, 12]), ([13, 14], [15, 16, 17])], M.precision(P, L, PAD)) == pytest.approx(1 / 2)
+    assert value(spark, [([10, 11, 12], [11, 10]), ([10, 10, 10, 11], [10, 11, 12, 13, 14])], M.precision(P(), L(), PAD)) == pytest.approx(5 / 6)
+    assert value(spark, [([10, 11, 12], [11, 10, 12]), ([13, 14], [15, 16, 17])], M.precision(P(), L(), PAD)) == pytest.approx(1 / 2)
     rows = [([10, 11, 12], [11, 10, 12]), ([13, 14], []), ([], []), ([], [15])]
-    assert value(spark, rows, M.precision(P, L, PAD)) == pytest.approx(1 / 2)
-    assert value(spark, rows, M.precision(P, L)) == pytest.approx(mean(1, 3 / 5, 1, 1))
+    assert value(spark, rows, M.precision(P(), L(), PAD)) == pytest.approx(1 / 2)
+    assert value(spark, rows, M.precision(P(), L())) == pytest.approx(mean(1, 3 / 5, 1, 1))
 
 
 def test_recall(spark):
     rows = [([10, 11], [11, 10, 12]), ([10, 11, 12, 13], [11, 10, 12]), ([], []), ([], [15]), ([10, 11], []), ([10, 11], [15])]
-    assert value(spark, rows, M.recall(P, L, PAD)) == pytest.approx(mean(2 / 3, 1, 1, 0, 0, 0))
+    assert value(spark, rows, M.recall(P(), L(), PAD)) == pytest.approx(mean(2 / 3, 1, 1, 0, 0, 0))
 
 
 def test_top1(spark):
     rows = [([10, 11], [10, 11]), ([10, 11], [10, 11, 12]), ([], []), ([], [15]), ([10, 11], []), ([10, 11], [10])]
-    assert value(spark, rows, M.top1_accuracy(P, L)) == pytest.approx(mean(1, 0, 1, 0, 0, 0))
+    assert value(spark, rows, M.top1_accuracy(P(), L())) == pytest.approx(mean(1, 0, 1, 0, 0, 0))
 
 
 def test_topk(spark):
     ranked = [[10, 20, 30], [11, 21, 31], [3], [3], [3]]
     df = spark.createDataFrame([(ranked, pad(x)) for x in ([10, 11], [20, 31], [15, 21])], "r array<array<int>>, label array<int>")
-    assert df.agg(M.topk_accuracy(F.col("r"), L).alias("v")).first()["v"] == pytest.approx(2 / 3)
+    assert df.agg(M.topk_accuracy(F.col("r"), L()).alias("v")).first()["v"] == pytest.approx(2 / 3)
 
 
 def test_non_trivial_is_null_without_any(spark):
-    assert value(spark, [([10, 11], [10]), ([10, 11], [20])], M.non_trivial_accuracy(P, L, PAD)) is None
+    assert value(spark, [([10, 11], [10]), ([10, 11], [20])], M.non_trivial_accuracy(P(), L(), PAD)) is None
 
 
 def test_unknown_labels(spark):
     rows = [([10, 12, 11], [11, 10, 9, UNK]), ([13, 14], [UNK, 14]), ([], []), ([], [UNK]), ([10, 10, 10], [10]), ([10, 10], [UNK, UNK, 10])]
-    assert value(spark, rows, M.precision(P, L, PAD, UNK)) == pytest.approx(mean(2 / 3, 1 / 2, 1, 1, 1))
-    assert value(spark, rows, M.recall(P, L, PAD, UNK)) == pytest.approx(mean(2 / 3, 1, 1, 1, 1))
+    assert value(spark, rows, M.precision(P(), L(), PAD, UNK)) == pytest.approx(mean(2 / 3, 1 / 2, 1, 1, 1))
+    assert value(spark, rows, M.recall(P(), L(), PAD, UNK)) == pytest.approx(mean(2 / 3, 1, 1, 1, 1))
     rows = [([10, 11, 13], [10, 11, UNK]), ([10, 11, 12], [10, 11, 12]), ([10, 11, 22], [30, 31, 32]), ([10], [UNK]), ([20], [20]), ([], [])]
-    assert value(spark, rows, M.top1_accuracy(P, L, PAD, UNK)) == pytest.approx(mean(1, 1, 0, 1, 1))
-    assert value(spark, rows, M.non_trivial_accuracy(P, L, PAD, UNK)) == pytest.approx(mean(1, 1, 0))
+    assert value(spark, rows, M.top1_accuracy(P(), L(), PAD, UNK)) == pytest.approx(mean(1, 1, 0, 1, 1))
+    assert value(spark, rows, M.non_trivial_accuracy(P(), L(), PAD, UNK)) == pytest.approx(mean(1, 1, 0))
 
 
 def test_best_known(spark):
@@ -81,7 +87,7 @@ def test_micro_and_macro(spark):
 
 def test_rouge(spark):
     df = spark.createDataFrame([("a b c d".split(), "a c d e".split()), ([], ["x"])], "pred array<string>, label array<string>")
-    two, l = df.select(M.rouge_n(P, L, 2).alias("s")).collect()[0].s, df.select(M.rouge_l(P, L).alias("s")).collect()  # noqa: E741
+    two, l = df.select(M.rouge_n(P(), L(), 2).alias("s")).collect()[0].s, df.select(M.rouge_l(P(), L()).alias("s")).collect()  # noqa: E741
     assert two.p == pytest.approx(1 / 3) and two.r == pytest.approx(1 / 3)
     assert l[0].s.p == pytest.approx(3 / 4) and l[1].s.f == 0
 

@@ -50,7 +50,7 @@ def stage1(methods: DataFrame, asts: DataFrame, config: LexConfig, limit: int =
 
 def counters(stage: Stage1) -> DataFrame:
     """Counts of tokens, token types, node types and labels in one table (kind, word, cnt)."""
-    kinds = stage.samples.select(F.explode("tokens").alias("t")).select(F.explode(F.array(F.struct(F.lit("token").alias("kind"), F.col("t.sub_tokens").alias("words")), F.struct(F.lit("token_type"), F.array("t.token_type")))).alias("p"))
+    kinds = stage.samples.select(F.explode("tokens").alias("t")).select(F.explode(F.array(F.struct(F.lit("token").alias("kind"), F.col("t.sub_tokens").alias("words")), F.struct(F.lit("token_type").alias("kind"), F.array("t.token_type").alias("words")))).alias("p"))
     words = kinds.select("p.kind", F.explode("p.words").alias("word"))
     words = words.unionByName(stage.nodes.select(F.lit("node_type").alias("kind"), F.col("node_type").alias("word")))
     words = words.unionByName(stage.samples.select(F.lit("label").alias("kind"), F.explode("label").alias("word")))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.schema import UNREACHABLE
+from thicket.schema import SPAN, UNREACHABLE
 
 S = "sample_id"
 
@@ -239,7 +239,7 @@ def from_vertices(files: DataFrame, json: str = "ast") -> DataFrame:
     )
     file = F.from_json(json, schema)["files"][0]
     good = files.select(S, file.alias("f")).where((F.coalesce(F.size("f.errors"), F.lit(0)) <= 0) & ~F.exists("f.vertices", lambda v: v["term"] == "Error"))
-    vertices = good.select(S, F.posexplode("f.vertices").alias("node_id", "v")).select(S, "node_id", "v.vertexId", F.col("v.term").alias("node_type"), "v.span")
+    vertices = good.select(S, F.posexplode("f.vertices").alias("node_id", "v")).select(S, "node_id", "v.vertexId", F.col("v.term").alias("node_type"), F.col("v.span").cast(SPAN).alias("span"))
     edges = good.select(S, F.posexplode("f.edges").alias("k", "e")).select(S, "k", "e.source", "e.target")
     ids = vertices.select(S, F.col("vertexId"), "node_id")
     parents = edges.join(ids.select(S, F.col("vertexId").alias("source"), F.col("node_id").alias("parent_id")), [S, "source"]).join(ids.select(S, F.col("vertexId").alias("target"), "node_id"), [S, "target"])

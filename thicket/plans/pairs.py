@@ -51,7 +51,7 @@ def leaf_pairs(spark, d):
 def path_hist(spark, d):
     """Histograms of path nodes and of the parts of leaf names."""
     parts = F.split("context", ",")
-    kinds = F.array(F.struct(F.lit("node").alias("kind"), F.split(parts[1], r"\|").alias("words")), F.struct(F.lit("subtoken"), F.concat(F.split(parts[0], r"\|"), F.split(parts[2], r"\|"))))
+    kinds = F.array(F.struct(F.lit("node").alias("kind"), F.split(parts[1], r"\|").alias("words")), F.struct(F.lit("subtoken").alias("kind"), F.concat(F.split(parts[0], r"\|"), F.split(parts[2], r"\|")).alias("words")))
     flat = contexts(spark, d).select(F.explode(kinds).alias("k")).select("k.kind", F.explode("k.words").alias("word"))
     return flat.groupBy("kind", "word").agg(F.count("*").alias("cnt"))
 

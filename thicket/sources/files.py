@@ -7,8 +7,9 @@ import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from thicket.schema import RAW_METHOD, RAW_SAMPLE
 
@@ -38,16 +39,25 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def decoded(content: Column) -> Column:
-    """UTF-8 text, or windows-1252 where the bytes aren't UTF-8."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "windows-1252"))
+def _text(data: bytes | None) -> str | None:
+    if data is None:
+        return None
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("cp1252", errors="replace")
+
+
+@F.pandas_udf(StringType())
+def decoded(content: pd.Series) -> pd.Series:
+    """UTF-8 text, or windows-1252 where the bytes aren't UTF-8 (Spark's own decoder doesn't have that one)."""
+    return content.map(_text)
 
 
 def read_code_files(spark: SparkSession, path: str, pattern: str = "*.java") -> DataFrame:
     """(path, stem, project, size, content) of source files; the project is the first folder below the path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    root = F.lit(path.rstrip("/").split("://")[-1].replace("file:", ""))
-    rest = F.substring_index(F.col("path"), root, -1)
+    rest = F.element_at(F.split(F.col("path"), F.lit(r"\Q" + path.rstrip("/").split("://")[-1].replace("file:", "") + r"\E")), -1)
     return files.select("path", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"), F.split_part(rest, F.lit("/"), F.lit(2)).alias("project"), F.col("length").alias("size"), decoded(F.col("content")).alias("content"))
 
 
