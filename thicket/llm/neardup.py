@@ -255,7 +255,7 @@ def _residual(placed: DataFrame, fine: DataFrame, p: NearDupParams, most: int) -
     """Pairs (a, b) of different components that share a band and may reach the threshold; see _block_pairs."""
     # an owner of blocks: a component with a block's worth of members in the band, or -1 for all smaller ones
     owner = F.when(F.col("c") >= p.block, F.col("comp")).otherwise(F.lit(-1))
-    sizes = placed.groupBy("bh", "comp").agg(F.count("*").alias("c")).withColumn("owner", owner)
+    sizes = written(placed.groupBy("bh", "comp").agg(F.count("*").alias("c")).withColumn("owner", owner), "sizes")
     owners = sizes.groupBy("bh", "owner").agg(F.ceil(F.sum("c") / p.block).cast("int").alias("nblk"))
     left, right = (owners.select("bh", F.col("owner").alias(f"o{k}"), F.col("nblk").alias(f"n{k}")) for k in (1, 2))
     both = left.join(right, "bh").where("o1 < o2 or (o1 = -1 and o2 = -1)")  # a component isn't compared with itself
