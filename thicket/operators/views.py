@@ -160,3 +160,24 @@ def best_so_far(scores: DataFrame, run: str, step: str, score: str, patience: in
     rank = F.rank().over(Window.partitionBy(run).orderBy(F.col(score).desc()))
     return rows.withColumn("stop", F.col("waited") >= patience).withColumn("snapshot_rank", rank).drop("_rn")
 
+
+
+def summarisation_view(samples: DataFrame, words: DataFrame, size: int, n_cls: int = 5, n_label: int = 6) -> DataFrame:
+    """Samples (sample_id, words, label) for predicting a name from its body: (sample_id, tokens, label_ids, at, pointers).
+
+    Class tokens come first; the label's first occurrence is replaced by one mask, samples without one are left out;
+    words and label parts are encoded, unknown ones as pointers size + rank of first occurrence in the sample.
+    """
+    from thicket.operators.vocab import encode, extended_ids
+
+    s = samples.withColumn("at", label_position(F.col("words"), F.col("label"))).where("at is not null")
+    s = s.withColumn("masked", with_cls(masked_label(F.col("words"), F.col("at"), F.size("label")), n_cls)).withColumn("at", F.col("at") + n_cls)
+    flat = encode(s.select("sample_id", F.posexplode("masked").alias("pos", "word")), words)
+    ext = extended_ids(flat, size)
+    resolved = lambda df: df.join(ext, ["sample_id", "word"], "left").withColumn("id", F.when(F.col("id") > 0, F.col("id")).otherwise(F.coalesce("ext_id", F.lit(0))))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
+    tokens = resolved(flat).groupBy("sample_id").agg(in_order.alias("tokens"))
+    labels = resolved(encode(s.select("sample_id", F.posexplode("label").alias("pos", "word")), words)).groupBy("sample_id").agg(in_order.alias("label_ids"))
+    pointers = ext.groupBy("sample_id").agg(F.count("*").alias("pointers"))
+    out = s.select("sample_id", "at").join(tokens, "sample_id").join(labels, "sample_id").join(pointers, "sample_id", "left")
+    return out.select("sample_id", "tokens", pad_or_truncate(F.col("label_ids"), n_label, F.lit(PAD)).alias("label_ids"), "at", F.coalesce("pointers", F.lit(0)).alias("pointers"))

@@ -193,7 +193,7 @@ def similar_files(spark, d):
 @query("antijoin_delete", "select doc_id, source from documents where text not in (select text from (select text, count(*) as c from documents group by text) where c > 1)")
 def antijoin_delete(spark, d):
     """Rows but for those of duplicated texts."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.xxhash64("text").alias("h"))
+    docs = table(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("h"))
     twice = docs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     return D.without(docs, twice, "h").select("doc_id", "source")
 

@@ -5,11 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: Columns given to six decimals on both sides: their last bits depend on the order of summation.
+ROUNDED: dict[str, tuple[str, ...]] = {
+    "adj_normalized": ("value",),
+    "area_bins": ("edge",),
+    "binary_prf": ("precision", "recall", "f1"),
+    "context_stats": ("mean_contexts", "mean_sampled"),
+    "label_smoothing": ("loss",),
+    "macro_f1": ("precision", "recall", "f1"),
+    "macro_precision_recall": ("precision", "recall"),
+    "micro_prf": ("precision", "recall", "f1"),
+    "non_trivial_accuracy": ("accuracy",),
+    "per_language_metrics": ("mean_tokens",),
+    "per_language_rollup": ("precision", "recall", "f1"),
+    "pointer_probability": ("p",),
+    "positional_encoding": ("v",),
+    "project_overlap": ("overlap",),
+    "rouge_2": ("p", "r", "f"),
+    "stream_tumbling": ("total",),
+    "top1_accuracy": ("accuracy",),
+    "topk_accuracy": ("accuracy",),
+}
+
 
 def query(name: str, sql: str | None = None):
     """Registers a function (spark, sf_dir) under a name; sql: DuckDB text for the same rows, where it can be said."""
@@ -17,9 +40,15 @@ def query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"two queries are named {name}")
-        QUERIES[name] = f
+        columns = ROUNDED.get(name, ())
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
+
+        QUERIES[name] = run if columns else f
         if sql:
-            SQL[name] = sql
+            replaced = ", ".join(f"round({c}::double, 6) as {c}" for c in columns)
+            SQL[name] = f"select * replace ({replaced}) from ({sql})" if columns else sql
         return f
 
     return add

@@ -163,3 +163,12 @@ def batch_select(spark, d):
 def per_language_metrics(spark, d):
     n = F.size(F.split("text", " ")).cast("bigint")
     return table(spark, d, "conversations").select("role", n.alias("n")).rollup("role").agg(F.avg("n").alias("mean_tokens"), F.max("n").alias("most"))
+
+
+@query("summarisation_view")
+def summarisation_view(spark, d):
+    """Samples with two words as their label, masked, encoded, with pointers for unknown words."""
+    from thicket.plans.vocab import small_vocab
+
+    t = turns(spark, d).where(F.size("words") >= 4).withColumn("label", F.slice("words", 3, 2))
+    return V.summarisation_view(t.select("sample_id", "words", "label"), small_vocab(spark, d), 1000)
