@@ -21,6 +21,9 @@ and split hierarchically: (0,1], (1,2], (2,4], (4,8], ... each have a process of
 that reaches above w is thinned by halving. Arrivals come in order, so an element is dropped as
 soon as its next arrival is later than all slots of its document.
 
+The joins that carry texts and bands are merge joins at every size: their plans don't change where a side outgrows the
+broadcast threshold.
+
 Defined cases: rows with a null doc_id are in no class and not in the result; documents without words are alone; repeated rows are in one class; the smallest doc_id represents a class and a group (no ties);
 extra columns are dropped; empty tables give empty ones. With the defaults a pair at 0.8 shares a
 band with probability 0.99994, at 0.9 above 0.999999999.
@@ -199,7 +202,7 @@ def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return written(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(p), "a bigint, b bigint"), "verified")
+    return written(pairs.hint("merge").join(right, "b").join(left.hint("merge"), "a").select("a", "b", "ta", "tb").mapInArrow(_verify(p), "a bigint, b bigint"), "verified")
 
 
 def _block_pairs(p: NearDupParams, most: int):
@@ -285,8 +288,8 @@ def clusters(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     members = written(sketch.where("n > 0").select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", F.col("rep").alias("class_id")).distinct(), "members")
     reps = written(sketch.join(members.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "bands"), "reps")
     bands = reps.select("rep", F.explode("bands").alias("bh"))
-    shared = bands.groupBy("bh").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).where("c > 1")
-    bands = written(bands.join(shared, "bh").select("rep", "bh", "hub"), "bands")
+    shared = written(bands.groupBy("bh").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).where("c > 1").select("bh", "hub"), "shared")
+    bands = written(bands.join(shared.hint("merge"), "bh").select("rep", "bh", "hub"), "bands")
     stars = written(bands.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     texts = _texts(bands.select(F.col("rep").alias("doc_id")).distinct(), named)
     labels = components(_verified(stars, texts, p))
