@@ -96,7 +96,7 @@ def split_verbose(s: Column) -> Column:
 
 def normalize_word(s: Column) -> Column:
     """A counter's key: stripped of blanks, tabs and carriage returns, lower-cased."""
-    return F.lower(F.regexp_replace(s, r"^[ \t\r]+|[ \t\r]+$", ""))
+    return F.lower(F.btrim(s, F.lit(" \t\r")))
 
 
 def collapse_blank_lines(code: Column) -> Column:

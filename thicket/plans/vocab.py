@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.functions.text import normalize_word
 from thicket.operators import vocab as V
 from thicket.plans.registry import query, table
 from thicket.schema import SPECIAL_SYMBOLS
@@ -108,7 +109,7 @@ def decode_ids(spark, d):
 @query("vocab_membership", f"with {_VOCAB} select doc_id, count(*) as n from w where {_WORD} in (select word from v) group by doc_id")
 def vocab_membership(spark, d):
     known = small_vocab(spark, d).select(F.col("word").alias("key"))
-    rows = words(spark, d).withColumn("key", F.lower(F.regexp_replace("word", r"^[ \t\r]+|[ \t\r]+$", "")))
+    rows = words(spark, d).withColumn("key", normalize_word(F.col("word")))
     return rows.join(known, "key", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
