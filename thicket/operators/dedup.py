@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,15 +24,21 @@ def size_ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, (a == 0).cast("double")).otherwise(a / b)
 
 
-def similar_files(search: DataFrame, reference: DataFrame, key: str, threshold: float = 0.7, low: float = 0.95, high: float = 1.05) -> DataFrame:
-    """Pairs of files with equal keys (stems), sizes in a band, and similar contents without comments.
+def similar_files(search: DataFrame, reference: DataFrame, key: str, threshold: float = 0.7, low: float = 0.95, high: float = 1.05, within: bool = False) -> DataFrame:
+    """Pairs of files with equal keys (stems), sizes in a band, and similar contents without comments; within: both sides are one
+    corpus, of which each pair is told once (a < b).
 
-    Cheap predicates first: the band is part of the join, an upper bound of the ratio from the lengths comes before the matcher.
+    Cheap predicates first: a band of sizes is part of the join's key (sizes within the ratio are in the same or neighbouring
+    bands), an upper bound of the ratio from the lengths comes before the matcher.
     """
-    a = search.select(key, F.col("path").alias("a"), F.col("size").alias("size_a"), remove_comments(F.col("content")).alias("text_a"))
-    b = reference.select(key, F.col("path").alias("b"), F.col("size").alias("size_b"), remove_comments(F.col("content")).alias("text_b"))
+    width = math.log(max(high, 1 / low)) * 1.01
+    band = F.when(F.col("size") > 0, F.floor(F.ln("size") / F.lit(width)).cast("int")).otherwise(-3)
+    a = search.select(key, F.col("path").alias("a"), F.col("size").alias("size_a"), remove_comments(F.col("content")).alias("text_a"), F.explode(F.sequence(band - 1, band + 1)).alias("band"))
+    b = reference.select(key, F.col("path").alias("b"), F.col("size").alias("size_b"), remove_comments(F.col("content")).alias("text_b"), band.alias("band"))
     r = size_ratio(F.col("size_a"), F.col("size_b"))
-    pairs = a.join(b, key).where((r > low) & (r < high))
+    pairs = a.join(b, [key, "band"]).where((r > low) & (r < high))
+    if within:
+        pairs = pairs.where("a < b")
     la, lb = F.length("text_a"), F.length("text_b")
     bound = F.when(la + lb == 0, 1.0).otherwise(2 * F.least(la, lb) / (la + lb))
     return pairs.where(bound > threshold).withColumn("similarity", ratio("text_a", "text_b")).where(F.col("similarity") > threshold).select("a", "b", "similarity")

@@ -185,9 +185,10 @@ def project_overlap(spark, d):
 
 @query("similar_files")
 def similar_files(spark, d):
-    """Documents of one half that are similar to one of the other half with the same stem."""
-    f = files(spark, d).withColumn("path", F.col("doc_id").cast("string")).withColumn("content", F.col("text")).where("size < 4000")
-    return D.similar_files(f.where("doc_id % 2 = 0"), f.where("doc_id % 2 = 1"), "stem")
+    """Pairs of documents with the same stem that are similar, each once."""
+    f = files(spark, d).withColumn("path", F.col("doc_id")).withColumn("content", F.col("text"))
+    out = D.similar_files(f, f, "stem", within=True)
+    return out.withColumns({c: F.col(c).cast("string") for c in ("a", "b")})
 
 
 @query("antijoin_delete", "select doc_id, source from documents where text not in (select text from (select text, count(*) as c from documents group by text) where c > 1)")
