@@ -136,3 +136,29 @@ def test_foreach_batch_counts_once(spark, tmp_path):
 def test_streamed_sessions(spark, small):
     out = C.run_to_end(C.sessions(C.events(spark, f"{small}/events.parquet")), "sessions_test")
     assert out.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_pagerank_queries_take_whole_trees(spark, small):
+    from thicket.plans import QUERIES
+    from thicket.plans.trees import nodes as every
+
+    rows = every(spark, small).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.sample_id] = sizes.get(r.sample_id, 0) + 1
+    got = {(r.sample_id, r.i, r.j): r.value for r in QUERIES["ppr_distances"](spark, small).collect()}
+    assert len(got) == sum(n * n for n in sizes.values()) and max(sizes.values()) > 6
+    assert QUERIES["ppr_bins"](spark, small).select("sample_id", "i", "j").distinct().count() == len(got)
+    for sample, n in sizes.items():
+        walk = np.zeros((n, n))
+        for r in rows:
+            if r.sample_id == sample and r.parent_id is not None:
+                walk[r.node_id, r.parent_id] = walk[r.parent_id, r.node_id] = 1
+        walk /= walk.sum(axis=0)
+        p = 0.15 * np.eye(n)
+        for _ in range(200):
+            p = 0.15 * np.eye(n) + 0.85 * walk @ p
+        near = p > 2.718281828459045**-4.9
+        assert near.sum() > n
+        for i, j in np.argwhere(near):
+            assert got[sample, i, j] == pytest.approx(-np.log(p[i, j]), abs=1e-6)

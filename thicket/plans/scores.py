@@ -195,5 +195,5 @@ def distance_bins(spark, d):
 def ppr_bins(spark, d):
     from thicket.operators import tree as T
 
-    dist = T.pagerank_distances(nodes(spark, d).where("node_type in ('Region', 'Nation')"), threshold=0.0067).withColumn("metric", F.lit("ppr"))
+    dist = T.pagerank_distances(nodes(spark, d), threshold=0.0067).withColumn("metric", F.lit("ppr"))
     return B.binned(dist.select("sample_id", "metric", "i", "j", "value"), 8, discrete=False)

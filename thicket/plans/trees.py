@@ -226,8 +226,8 @@ def coo_roundtrip(spark, d):
 
 @query("ppr_distances")
 def ppr_distances(spark, d):
-    """Personalised PageRank of small trees: each region's nations."""
-    return T.pagerank_distances(nodes(spark, d).where("node_type in ('Region', 'Nation')"), threshold=float(2.718281828459045**-5))
+    """Personalised PageRank of the regions' whole trees."""
+    return T.pagerank_distances(nodes(spark, d), threshold=float(2.718281828459045**-5))
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
