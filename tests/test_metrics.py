@@ -97,3 +97,19 @@ def test_smoothing(spark):
     plain, smooth = df.select(M.smoothed_loss(F.col("s"), F.lit(1), 0.0), M.smoothed_loss(F.col("s"), F.lit(1), 0.1)).first()
     z = sum(math.exp(x) for x in (1.0, 2.0, 0.5))
     assert plain == pytest.approx(-math.log(math.exp(2) / z)) and smooth > plain
+
+
+def test_rouge_l_takes_whole_turns(spark, small):
+    from thicket.plans import QUERIES
+
+    text = {(r.conv_id, r.turn): r.text.lower().split(" ") for r in spark.read.parquet(f"{small}/conversations.parquet").collect() if r.text is not None}
+    rows = [r for r in QUERIES["rouge_l"](spark, small).collect() if (r.conv_id, r.turn) in text and (r.conv_id, r.turn + 1) in text]
+    longest = sorted(rows, key=lambda r: -len(text[r.conv_id, r.turn]))[:5]
+    assert len(text[longest[0].conv_id, longest[0].turn]) > 12
+    for r in longest:
+        a, b = text[r.conv_id, r.turn], text[r.conv_id, r.turn + 1]
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert (r.p, r.r) == pytest.approx((t[-1][-1] / len(a), t[-1][-1] / len(b)))

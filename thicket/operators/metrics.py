@@ -6,8 +6,10 @@ don't apply. Aggregates are avg and sum, so they are pre-aggregated, per group o
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def _all(a: Column, f) -> Column:
@@ -131,20 +133,24 @@ def rouge_n(pred: Column, label: Column, n: int) -> Column:
     return F.struct(p.alias("p"), r.alias("r"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f"))
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, row by row of the usual table, as a fold over a."""
-    zero = F.array_repeat(F.lit(0), F.size(b) + 1)
-
-    def row(before: Column, x: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.size(b))
-
-        def cell(acc: Column, j: Column) -> Column:
-            here = F.when(F.element_at(b, j) == x, F.element_at(before, j) + 1).otherwise(F.greatest(F.element_at(before, j + 1), F.element_at(acc, -1)))
-            return F.concat(acc, F.array(here))
-
-        return F.reduce(steps, F.array(F.lit(0)), cell)
-
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.element_at(F.reduce(a, zero, row), -1))
+@F.pandas_udf(IntegerType())
+def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence; a row of the usual table is the bits of one integer."""
+
+    def one(x, y):
+        if x is None or y is None:
+            return None
+        at: dict = {}
+        for k, w in enumerate(y):
+            at[w] = at.get(w, 0) | 1 << k
+        every = (1 << len(y)) - 1
+        row = every
+        for w in x:
+            same = row & at.get(w, 0)
+            row = (row + same | row - same) & every
+        return len(y) - row.bit_count()
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def rouge_l(pred: Column, label: Column) -> Column:

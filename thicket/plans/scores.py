@@ -99,7 +99,7 @@ def rouge_2(spark, d):
 
 @query("rouge_l")
 def rouge_l(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.slice(F.split(F.lower("text"), " "), 1, 12).alias("ws"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.split(F.lower("text"), " ").alias("ws"))
     both = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ws").alias("label")), ["conv_id", "turn"])
     return both.select("conv_id", "turn", M.rouge_l(F.col("ws"), F.col("label")).alias("s")).select("conv_id", "turn", "s.p", "s.r", "s.f")
 
