@@ -71,3 +71,11 @@ def test_tensors_have_one_shape(spark):
     assert len(t) == sum(len(x) for x in out["segments"].to_pylist())
     assert A.media_features(table(spark, [])).count() == 0
     assert isinstance(t, pa.ExtensionArray)
+
+
+def test_texts_without_a_segment_have_features_of_their_own(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, "".join(rng.choice(list("abcdefghij klmno"), 2304))) for k in range(6)]
+    quiet = [r for r in A.media_features(table(spark, rows)).collect() if not r.segments]
+    assert len(quiet) > 1 and len({r.n_frames for r in quiet}) == 1
+    assert len({r.feature for r in quiet}) == len(quiet)

@@ -141,8 +141,8 @@ def active_segments(energy: np.ndarray, high: float, low: float) -> list[tuple[i
     return list(zip(highs[k[has]].tolist(), hi[has].tolist(), strict=True))
 
 
-def analyse(samples: bytes, p: AudioParams) -> tuple[list[tuple[float, float]], np.ndarray, int]:
-    """Time spans (seconds), tensors (segments, tensor_frames, mels) and the number of frames.
+def analyse(samples: bytes, p: AudioParams) -> tuple[list[tuple[float, float]], np.ndarray, np.ndarray]:
+    """Time spans (seconds), tensors (segments, tensor_frames, mels) and the log-mel frames of the whole row.
 
     A segment longer than one tensor is cut into consecutive ones; a last short one is padded with zeros.
     """
@@ -158,14 +158,15 @@ def analyse(samples: bytes, p: AudioParams) -> tuple[list[tuple[float, float]],
             t[: to - at] = mel[at:to]
             stacks.append(t)
             spans.append((at * p.hop / p.out_rate, ((to - 1) * p.hop + p.frame) / p.out_rate))
-    return spans, np.stack(stacks) if stacks else np.zeros((0, p.tensor_frames, p.mels), np.float32), len(mel)
+    return spans, np.stack(stacks) if stacks else np.zeros((0, p.tensor_frames, p.mels), np.float32), mel
 
 
-def feature_string(spans: list[tuple[float, float]], tensors: np.ndarray, frames: int) -> str:
-    """Frames, segments and a digest of the spans and of the tensors in tenths of a dB."""
+def feature_string(spans: list[tuple[float, float]], tensors: np.ndarray, mel: np.ndarray) -> str:
+    """Frames and segments, a digest of the spans and of the tensors, and one of all frames, in tenths of a dB."""
     h = hashlib.sha256(np.round(tensors, 1).astype("<f4").tobytes())
     h.update(np.asarray(spans, "<f8").tobytes())
-    return f"frames={frames};segments={len(spans)};digest={h.hexdigest()[:32]}"
+    every = hashlib.sha256(np.round(mel, 1).astype("<f4").tobytes())
+    return f"frames={len(mel)};segments={len(spans)};digest={h.hexdigest()[:32]};all={every.hexdigest()[:32]}"
 
 
 SEGMENTS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", pa.list_(pa.float32()))]))
@@ -189,8 +190,8 @@ def media_features(docs: DataFrame, params: AudioParams = AudioParams()) -> Data
                     payload, n = payload_of(text)
                     media = encode_wav(payload, params.rate)
                     back, _ = decode_wav(media)
-                    spans, tensors, frames = analyse(back, params)
-                    for c, v in zip(cols, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_string(spans, tensors, frames), frames), strict=True):
+                    spans, tensors, mel = analyse(back, params)
+                    for c, v in zip(cols, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_string(spans, tensors, mel), len(mel)), strict=True):
                         c.append(v)
                     offsets.append(offsets[-1] + len(spans))
                     starts += [s for s, _ in spans]
@@ -198,8 +199,8 @@ def media_features(docs: DataFrame, params: AudioParams = AudioParams()) -> Data
                     flat.append(tensors.ravel())
                 size = params.tensor_frames * params.mels
                 values = np.concatenate(flat)
-                mel = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size), pa.int32()), pa.array(values))
-                seg = pa.StructArray.from_arrays([pa.array(starts, pa.float64()), pa.array(ends, pa.float64()), mel], ["start_s", "end_s", "log_mel"])
+                log_mels = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size), pa.int32()), pa.array(values))
+                seg = pa.StructArray.from_arrays([pa.array(starts, pa.float64()), pa.array(ends, pa.float64()), log_mels], ["start_s", "end_s", "log_mel"])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), seg)
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), lists], names=[x.split()[0] for x in _SCHEMA.split(", ")[:9]] + ["segments"])
