@@ -3,6 +3,7 @@ from collections import Counter
 
 from tests.llm.helpers import edge_rows, lower, prose, table, tokens
 from thicket.llm import neardup as N
+from thicket.llm.graph import components
 
 
 def bag(t):
@@ -45,17 +46,35 @@ def family(seed, n, size, edits):
 def check(spark, rows, p=N.NearDupParams()):
     got = N.clusters(table(spark, rows), p).collect()
     want = groups(rows)
-    assert {r.doc_id: r.group_id for r in got} == want and len(got) == len(want)
-    assert all(r.kept == (r.doc_id == r.group_id) and r.group_id <= r.class_id <= r.doc_id for r in got)
+    assert {r.doc_id: r.group_id for r in got if r.doc_id is not None} == want and len(got) == len(rows)
+    assert all(r.kept == (r.doc_id == r.group_id) and r.group_id <= r.class_id <= r.doc_id for r in got if r.doc_id is not None)
     return got
 
 
 def test_edge_cases(spark):
     got = check(spark, edge_rows())
-    assert {r.doc_id for r in got} == {d for d, *_ in edge_rows() if d is not None}
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(str(d) for d, *_ in edge_rows())
+    assert all(r.kept and r.class_id is r.group_id is None for r in got if r.doc_id is None)
     assert check(spark, []) == []
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, b + " more"), (None, prose(3, 30)), (None, prose(3, 30)), (3, "")]
+    got = sorted((str(r.doc_id), str(r.group_id), r.kept) for r in N.clusters(table(spark, rows)).collect())
+    assert got == sorted([("1", "1", True), ("1", "1", True), ("2", "1", False), ("None", "1", False), ("None", "1", False), ("None", "None", True), ("None", "None", True), ("3", "3", True)])
+    kept = [(r.doc_id, r.text) for r in N.without_near_duplicates(table(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, prose(3, 30)), (3, "")], key=str)
+
+
+def test_components_in_one_task_and_by_stars(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    one, stars = ({(r.node, r.label) for r in components(df, most).collect()} for most in (1000, 10))
+    assert one == stars and (460, 400) in one
+
+
 def test_families_of_all_degrees(spark):
     texts = [t for k in range(6) for t in family(k, 25, 120, 3 + k)] + [prose(100 + k, 100) for k in range(40)]
     random.Random(0).shuffle(texts)
@@ -64,7 +83,7 @@ def test_families_of_all_degrees(spark):
 
 def test_large_bands_are_examined_whole(spark):
     texts = family(7, 150, 80, 9) + family(8, 60, 80, 12)
-    check(spark, list(enumerate(texts)), N.NearDupParams(block=16))
+    check(spark, list(enumerate(texts)), N.NearDupParams(block_bytes=16_000))
 
 
 def test_weights_count(spark):

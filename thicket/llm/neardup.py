@@ -4,15 +4,14 @@ A document is the multiset of its five-word shingles (words of non-space charact
 a document of one to four words is one shingle). Two documents are linked when the weighted Jaccard
 similarity of their multisets is `threshold` (0.8) or more; groups are the connected components.
 
-1. One pass over the texts gives each row a 128-bit key of its words and a BagMinHash signature cut into bands. Rows with equal words are one class; only its smallest doc_id goes on.
-   The pass and the class table are written to the shared folder.
-2. Representatives that share a band are compared with the band's smallest one: as many pairs as rows.
-   Every candidate pair is verified on the exact multisets of the whole texts.
-3. Verified links become components. Members of bands that still hold different components get a longer
-   signature. These bands are cut into blocks of about `block` members; pairs of blocks are compared by signature
-   in numpy, and pairs from different components that may reach the threshold are verified too, the best
-   estimates first: as one link joins two components, a round takes the best few partners of each member, and
-   rounds take four times as many until none is left. So a band of any size is fully examined, no cap is set, and copies that are linked already cost nothing.
+1. One pass over the texts gives each row a 128-bit key of its words and a BagMinHash signature cut into bands. Rows with
+   equal words are one class; only one row of it goes on. The pass and the class table are written to the shared folder.
+2. Classes that share a band are compared with the band's smallest one: as many pairs as members.
+   Every candidate pair is verified on the exact multisets of the whole texts; verified links become components.
+3. Bands that still hold different components go to one task each, as rows sorted by band: each member outside the band's
+   largest component is compared exactly with all members. A band that is larger than a block is dealt into blocks, and
+   each pair of blocks is a group, but for pairs within one component. So a band of any size is fully examined, a
+   task holds two blocks, no cap is set, and copies that are linked already cost nothing.
 
 BagMinHash: an element with weight w throws points of a Poisson process over the weight axis (0, w],
 each with an arrival time and a signature slot; a slot keeps its earliest arrival, so two signatures agree in a
@@ -21,12 +20,13 @@ and split hierarchically: (0,1], (1,2], (2,4], (4,8], ... each have a process of
 that reaches above w is thinned by halving. Arrivals come in order, so an element is dropped as
 soon as its next arrival is later than all slots of its document.
 
-The joins that carry texts and bands are merge joins at every size: their plans don't change where a side outgrows the
-broadcast threshold.
+The joins are merge joins at every size: their plans don't change where a side outgrows the broadcast threshold.
 
-Defined cases: rows with a null doc_id are in no class and not in the result; documents without words are alone; repeated rows are in one class; the smallest doc_id represents a class and a group (no ties);
-extra columns are dropped; empty tables give empty ones. With the defaults a pair at 0.8 shares a
-band with probability 0.99994, at 0.9 above 0.999999999.
+Defined cases: classes are told by the words alone, so a null doc_id is a document like others (class_id and group_id are null where all
+are), and rows that share a doc_id but not the text are different documents; rows without words are alone; repeated rows are in
+one class, and each of them is marked as kept or not like the other; the smallest doc_id represents a class and a group, the
+smaller key of the words where two have it; extra columns are dropped by `clusters`; empty tables give empty ones. With the
+defaults a pair at 0.8 shares a band with probability 0.99994, at 0.9 above 0.999999999.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.llm import _words as W
-from thicket.llm._store import written
+from thicket.llm._store import discard, written
 from thicket.llm.graph import components
 from thicket.session import ship
 
@@ -52,11 +52,8 @@ class NearDupParams:
     threshold: float = 0.8
     bands: int = 32
     rows: int = 6
-    block: int = 256
-    #: Slots of the longer signatures that members of undecided bands get.
-    fine_slots: int = 1024
-    #: Standard deviations of the signature estimate below the threshold that a pair may be and still be verified.
-    slack: float = 4.0
+    #: Bytes of text (and 512 a member) in a block of an undecided band; a task holds two blocks at a time.
+    block_bytes: int = 4 << 20
 
     @property
     def slots(self) -> int:
@@ -151,28 +148,13 @@ def _sketch(p: NearDupParams):
                     empty = count == 0
                     offsets = np.concatenate([[0], np.cumsum(np.where(empty, 0, p.bands))]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [rows.column("doc_id"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(count, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[~empty].ravel().view(np.int64)))],
-                        names=["doc_id", "k1", "k2", "n", "bands"],
+                        [rows.column("doc_id"), rows.column("h"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(count, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[~empty].ravel().view(np.int64)))],
+                        names=["doc_id", "h", "k1", "k2", "n", "bands"],
                     )
 
     return run
 
 
-def _fine(p: NearDupParams):
-    """Longer signatures, a byte a slot, and the number of shingles."""
-
-    def run(batches):
-        for batch in batches:
-            for part in W.slices(batch, 1 << 20):
-                for at in range(0, part.num_rows, 512):
-                    rows = part.slice(at, 512)
-                    both, weight, count, _ = shingle_bags(rows.column("text"), p.shingle)
-                    marks = W.mix(signatures(both, weight, rows.num_rows, p.fine_slots).view(U64) >> U64(12)).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(count, pa.int64()), pa.array([x.tobytes() for x in marks], pa.binary())], names=["rep", "n", "marks"])
-
-    return run
-
-
 def similar(a: pa.Array, b: pa.Array, k: int, threshold: float) -> np.ndarray:
     """Whether the multisets of shingles of a[i] and b[i] reach the threshold, exactly."""
     x, wx, nx, _ = shingle_bags(a, k)
@@ -187,136 +169,179 @@ def similar(a: pa.Array, b: pa.Array, k: int, threshold: float) -> np.ndarray:
 def _verify(p: NearDupParams):
     def run(batches):
         for batch in batches:
-            for part in W.slices(batch, 1 << 20, "ta"):
-                ok = similar(part.column("ta"), part.column("tb"), p.shingle, p.threshold)
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok))], names=["a", "b"])
+            for half in W.slices(batch, 1 << 20, "ta"):
+                for part in W.slices(half, 1 << 20, "tb"):
+                    ok = similar(part.column("ta"), part.column("tb"), p.shingle, p.threshold)
+                    yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok))], names=["a", "b"])
 
     return run
 
 
-def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """The written table (doc_id, text) of the wanted ids: the one time that texts are shuffled by id."""
-    return written(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
-    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return written(pairs.hint("merge").join(right, "b").join(left.hint("merge"), "a").select("a", "b", "ta", "tb").mapInArrow(_verify(p), "a bigint, b bigint"), "verified")
 
 
-def _block_pairs(p: NearDupParams, most: int):
-    """Of two blocks of a band, the pairs of different components that may reach the threshold, if this is the smallest
-    band that they share: of each member the `most` with the best estimates (a component that has a link finds it
-    early), and whether there are more."""
-    need = int(np.floor(p.fine_slots * (p.threshold - p.slack * np.sqrt(p.threshold * (1 - p.threshold) / p.fine_slots))))
-
-    def best(member: np.ndarray, same: np.ndarray) -> np.ndarray:
-        order = np.lexsort((-same, member))
-        sorted_ = member[order]
-        at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(order) else np.zeros(0, np.int64)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - np.repeat(at, np.diff(np.append(at, len(order))))
-        return rank < most
+def cross_links(comp: np.ndarray, row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join different components among the rows of one group, exactly.
+
+    (row, shingle, weight): the rows' multisets, by row; n: their sizes. Every row outside the largest component is compared
+    with all rows at once; a row that has come to the largest component is done, as the others are compared with it.
+    So pairs that stay in different components were all compared.
+    """
+    comp = comp.copy()
+    names, size = np.unique(comp, return_counts=True)
+    largest = names[np.argmax(size)]
+    first = np.searchsorted(row, np.arange(len(comp) + 1))
+    shared_by, word = np.unique(shingle, return_inverse=True)
+    dense = np.zeros(len(shared_by), np.int64)
+    out = []
+    for k in np.flatnonzero(comp != largest).tolist():
+        if comp[k] == largest:
+            continue
+        mine = slice(first[k], first[k + 1])
+        dense[word[mine]] = weight[mine]
+        common = np.bincount(row, np.minimum(weight, dense[word]), len(comp))
+        dense[word[mine]] = 0
+        ok = np.flatnonzero((comp != comp[k]) & (common > 0) & (common >= threshold * (n + n[k] - common) - 1e-9))
+        for j in ok.tolist():
+            if comp[j] != comp[k]:
+                out.append((k, j))
+                keep, gone = (comp[k], comp[j]) if comp[k] == largest else (comp[j], comp[k])
+                comp[comp == gone] = keep
+    return out
+
+
+def _compare(p: NearDupParams):
+    """Rows (grp, node, comp, text), sorted by group: links between the different components of each group. A batch's texts are
+    cut into shingles at once; what is held is one group, whose size is bounded."""
 
     def run(batches):
+        held: list[tuple] = []  # the group that is not complete: (nodes, comps, row, shingle, weight, n)
+        current = None
+
+        def done():
+            nodes, comps, rows, shingles, weights, ns = zip(*held, strict=True)
+            at = np.concatenate([[0], np.cumsum([len(x) for x in nodes])])
+            row = np.concatenate([r + a for r, a in zip(rows, at[:-1], strict=True)])
+            node = np.concatenate(nodes)
+            found = cross_links(np.concatenate(comps), row, np.concatenate(shingles), np.concatenate(weights), np.concatenate(ns), p.threshold)
+            return [(node[i], node[j]) for i, j in found]
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                members = batch.column("members")[i].values
-                rep, comp, n = (members.field(f).to_numpy() for f in ("rep", "comp", "n"))
-                side = members.field("blk").to_numpy()
-                marks = np.frombuffer(b"".join(members.field("marks").to_pylist()), np.uint8).reshape(len(rep), -1)
-                bands, own = members.field("bands").flatten().to_numpy().reshape(len(rep), -1), batch.column("bh")[i].as_py()
-                lo, hi = batch.column("i")[i].as_py(), batch.column("j")[i].as_py()
-                left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-                found = []
-                for k in left:
-                    other = right[right > k] if lo == hi else right
-                    fits = (comp[other] != comp[k]) & (np.minimum(n[other], n[k]) >= p.threshold * np.maximum(n[other], n[k]))
-                    other = other[fits]
-                    same = (marks[other] == marks[k]).sum(axis=1)
-                    ok = same >= need
-                    shared = np.where(bands[other[ok]] == bands[k], bands[k], np.iinfo(np.int64).max).min(axis=1)
-                    ok[ok] = shared == own
-                    found.append(np.stack([np.full(int(ok.sum()), rep[k]), rep[other[ok]], same[ok]]))
-                x = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-                keep = best(x[0], x[2]) | best(x[1], x[2])
-                y = x[:, keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(y[0], y[1])), pa.array(np.maximum(y[0], y[1])), pa.array(np.full(y.shape[1], not keep.all()))], names=["a", "b", "more"])
+            links = []
+            for part in W.slices(batch, 1 << 20):
+                group, node, comp = (part.column(c).to_numpy() for c in ("grp", "node", "comp"))
+                both, weight, n, _ = shingle_bags(part.column("text"), p.shingle)
+                row, shingle = (both >> U64(52)).astype(np.int64), both & U64((1 << 52) - 1)
+                cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True):
+                    if held and group[lo] != current:
+                        links += done()
+                        held = []
+                    current = group[lo]
+                    a, b = np.searchsorted(row, (lo, hi))
+                    held.append((node[lo:hi], comp[lo:hi], row[a:b] - lo, shingle[a:b], weight[a:b], n[lo:hi]))
+            yield _pairs(links)
+        if held:
+            yield _pairs(done())
 
     return run
 
 
-def _undecided(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rep, bh, comp) of the bands of more than two members that hold members of different components."""
-    placed = bands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
-    mixed = placed.groupBy("bh").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and c > 2").select("bh")
-    return written(placed.join(mixed, "bh", "left_semi"), "undecided")
-
-
-def _residual(placed: DataFrame, fine: DataFrame, p: NearDupParams, most: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a band and may reach the threshold; see _block_pairs."""
-    # an owner of blocks: a component with a block's worth of members in the band, or -1 for all smaller ones
-    owner = F.when(F.col("c") >= p.block, F.col("comp")).otherwise(F.lit(-1))
-    sizes = written(placed.groupBy("bh", "comp").agg(F.count("*").alias("c")).withColumn("owner", owner), "sizes")
-    owners = sizes.groupBy("bh", "owner").agg(F.ceil(F.sum("c") / p.block).cast("int").alias("nblk"))
-    left, right = (owners.select("bh", F.col("owner").alias(f"o{k}"), F.col("nblk").alias(f"n{k}")) for k in (1, 2))
-    both = left.join(right, "bh").where("o1 < o2 or (o1 = -1 and o2 = -1)")  # a component isn't compared with itself
-    mine = both.select("bh", F.col("o1").alias("owner"), "o1", "o2", F.col("n1").alias("own"), F.col("n2").alias("others"), F.lit(1).alias("side"))
-    yours = both.where("o1 <> o2").select("bh", F.col("o2").alias("owner"), "o1", "o2", F.col("n2").alias("own"), F.col("n1").alias("others"), F.lit(2).alias("side"))
-    rows = placed.join(sizes.select("bh", "comp", "owner"), ["bh", "comp"]).join(fine, "rep")
-    dealt = rows.join(mine.unionByName(yours), ["bh", "owner"]).withColumn("blk", F.pmod(F.xxhash64("rep", "bh"), F.col("own")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    pooled = F.col("o1") == F.col("o2")
-    i = F.when(pooled, F.least("blk", "other")).when(F.col("side") == 1, F.col("blk")).otherwise(F.col("other"))
-    j = F.when(pooled, F.greatest("blk", "other")).when(F.col("side") == 1, F.col("other")).otherwise(F.col("blk"))
-    mark = F.when(pooled, F.col("blk")).otherwise(F.col("side") - 3)  # what tells the two blocks of a pair apart
-    dealt = dealt.select("bh", "o1", "o2", i.alias("i"), j.alias("j"), F.struct("rep", "comp", "n", "marks", "bands", mark.alias("blk")).alias("member"))
-    groups = dealt.groupBy("bh", "o1", "o2", "i", "j").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
-    groups = groups.select("bh", F.when(pooled, F.col("i")).otherwise(-2).alias("i"), F.when(pooled, F.col("j")).otherwise(-1).alias("j"), "members")
-    return groups.mapInArrow(_block_pairs(p, most), "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _undecided(bands: DataFrame, labels: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """(node, comp, grp) of the bands of more than two members that hold different components: a group for each band, or for
+    each pair of its blocks where a band is larger than a block."""
+    size = texts.select("node", (F.octet_length("text") + 512).cast("bigint").alias("size"))
+    placed = bands.join(size.hint("merge"), "node").join(labels.hint("merge"), "node", "left").select("node", "bh", F.coalesce("label", "node").alias("comp"), "size")
+    placed = written(placed, "placed")
+    mixed = placed.groupBy("bh").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("size").alias("total"))
+    mixed = written(mixed.where("lo <> hi and c > 2").select("bh", "total"), "mixed")
+    open_ = placed.join(mixed.hint("merge"), "bh")
+    out = open_.where(F.col("total") <= p.block_bytes).select("node", "comp", F.xxhash64("bh").alias("grp"))
+    large = mixed.where(F.col("total") > p.block_bytes)
+    return out if large.isEmpty() else out.unionByName(_blocks(placed.join(large.hint("merge"), "bh"), p))
+
+
+def _blocks(open_: DataFrame, p: NearDupParams) -> DataFrame:
+    """(node, comp, grp): members of large bands in blocks of about block_bytes, a group for each pair of blocks. A component
+    that fills a block owns blocks, which aren't compared with each other; the others' members are pooled (owner -1)."""
+    open_ = written(open_.drop("total"), "large")
+    owner = F.when(F.sum("size") >= p.block_bytes, F.col("comp")).otherwise(F.lit(None))
+    sizes = written(open_.groupBy("bh", "comp").agg(F.sum("size").alias("w"), owner.alias("owner")), "sizes")
+    owners = sizes.groupBy("bh", "owner").agg(F.ceil(F.sum("w") / p.block_bytes).cast("int").alias("nblk"))
+    one = Window.partitionBy("bh")
+    before = F.coalesce(F.sum("nblk").over(one.orderBy("owner").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    owners = owners.select("bh", "owner", "nblk", before.alias("before"), F.sum("nblk").over(one).alias("every"))
+    same = F.col("x.bh").eqNullSafe(F.col("y.bh")) & F.col("x.owner").eqNullSafe(F.col("y.owner"))
+    places = written(sizes.alias("x").join(owners.alias("y").hint("merge"), same).select("x.bh", "comp", "x.owner", "nblk", "before", "every"), "places")
+    blk = F.col("before") + F.pmod(F.xxhash64("node", "bh"), F.col("nblk"))
+    dealt = open_.join(places.hint("merge"), ["bh", "comp"]).withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("every") - 1)))
+    own = F.col("owner").isNotNull() & (F.col("other") >= F.col("before")) & (F.col("other") < F.col("before") + F.col("nblk"))
+    return dealt.where(~own).select("node", "comp", F.xxhash64("bh", F.least("blk", "other"), F.greatest("blk", "other")).alias("grp"))
+
+
+def _classes(sketch: DataFrame) -> DataFrame:
+    """A row for each distinct sequence of words: k1, k2, its first row (smallest doc_id, nulls last) and its bands."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    # a table of its own, so that joins with it are between two plain shuffles, and a key with very many copies can be split
+    return written(sketch.where("n > 0").groupBy("k1", "k2").agg(first.alias("f"), F.any_value("bands").alias("bands")).select("k1", "k2", F.struct("f.doc_id", "f.h").alias("row"), "bands"), "classes")
+
+
+def _links(named: DataFrame, classes: DataFrame, p: NearDupParams) -> DataFrame:
+    """(node, label): the components of similar classes; node: k1 of a class."""
+    spread = classes.select(F.col("k1").alias("node"), F.explode("bands").alias("bh"))
+    shared = written(spread.groupBy("bh").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1").select("bh", "hub"), "shared")
+    bands = written(spread.join(shared.hint("merge"), "bh").select("node", "bh", "hub"), "bands")
+    wanted = classes.select(F.col("k1").alias("node"), "row").join(bands.select("node").hint("merge"), "node", "left_semi")
+    # the one time that texts are shuffled by row
+    texts = written(named.select(F.struct("doc_id", "h").alias("row"), "text").join(wanted.hint("merge"), "row").dropDuplicates(["row"]).select("node", "text"), "texts")
+    stars = bands.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    labels = components(_verified(stars, texts, p))
+    groups = _undecided(bands, labels, texts, p).join(texts.hint("merge"), "node").repartition("grp").sortWithinPartitions("grp")
+    more = written(groups.select("grp", "node", "comp", "text").mapInArrow(_compare(p), "a bigint, b bigint"), "more")
+    labels = components(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    discard(shared, bands, texts)
+    return labels
+
+
+def _grouped(docs: DataFrame, p: NearDupParams) -> DataFrame:
+    """doc_id, h (of the text), class_id, group_id, kept."""
+    ship(docs.sparkSession)
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    sketch = written(named.mapInArrow(_sketch(p), "doc_id bigint, h bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>"), "sketch")
+    classes = _classes(sketch)
+    labels = _links(named, classes, p)
+    linked = classes.select(F.col("k1").alias("node"), "row").join(labels.hint("merge"), "node")
+    first = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "node"))
+    heads = linked.groupBy("label").agg(first.alias("f")).select("label", F.col("f.doc_id").alias("head_id"), F.col("f.node").alias("head"))
+    heads = labels.join(heads.hint("merge"), "label").select(F.col("node").alias("k1"), "head_id", "head")
+    own = classes.select("k1", "k2", F.col("row.doc_id").alias("class_id")).join(heads.hint("merge"), "k1", "left")
+    own = written(own.select("k1", "k2", "class_id", F.when(F.col("head").isNull(), F.col("class_id")).otherwise(F.col("head_id")).alias("group_id"), F.coalesce("head", "k1").alias("head")), "groups")
+    kept = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("k1") == F.col("head"))
+    out = sketch.where("n > 0").select("doc_id", "h", "k1", "k2").join(own, ["k1", "k2"]).select("doc_id", "h", "class_id", "group_id", kept.alias("kept"))
+    alone = sketch.where("n = 0").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(True).alias("kept"))
+    discard(classes)
+    return out.unionByName(alone)
 
 
 def clusters(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
-    """doc_id, class_id (smallest doc_id with the same words), group_id (of the group), kept (its representative)."""
-    ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = docs.where(F.col("doc_id").isNotNull())
-    sketch = written(named.mapInArrow(_sketch(p), "doc_id bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>"), "sketch")
-    # a table of its own, so that the join below is between two plain shuffles, and a key with very many copies can be split
-    classes = written(sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    members = written(sketch.where("n > 0").select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", F.col("rep").alias("class_id")).distinct(), "members")
-    reps = written(sketch.join(members.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "bands"), "reps")
-    bands = reps.select("rep", F.explode("bands").alias("bh"))
-    shared = written(bands.groupBy("bh").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).where("c > 1").select("bh", "hub"), "shared")
-    bands = written(bands.join(shared.hint("merge"), "bh").select("rep", "bh", "hub"), "bands")
-    stars = written(bands.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    texts = _texts(bands.select(F.col("rep").alias("doc_id")).distinct(), named)
-    labels = components(_verified(stars, texts, p))
-    placed = _undecided(bands.select("rep", "bh"), labels)
-    open_ = texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    fine = written(open_.mapInArrow(_fine(p), "rep bigint, n bigint, marks binary").join(reps, "rep"), "fine")
-    tested, most = stars, 2
-    while not placed.isEmpty():  # until all pairs that remain between components have been verified
-        found = written(_residual(placed, fine, p, most), "residual")
-        fresh = written(found.join(tested, ["a", "b"], "left_anti").select("a", "b"), "fresh")
-        links = _verified(fresh, texts, p)
-        if not links.isEmpty():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").unionByName(links))
-        if found.where("more").isEmpty():
-            break
-        tested, most = tested.unionByName(fresh), most * 4
-        placed = _undecided(placed.select("rep", "bh"), labels)
-    out = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "class_id", F.coalesce("label", "class_id").alias("group_id"))
-    alone = sketch.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id")).distinct()
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("group_id"))
+    """A row for each row of docs: doc_id, class_id (smallest doc_id with the same words), group_id (smallest of the group), and
+    whether the row is the one that represents its group."""
+    return _grouped(docs, p).drop("h")
 
 
 def without_near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
-    """The rows of docs with one document of each group; rows with a null doc_id all stay, repeated ones once."""
-    kept = clusters(docs, p).where("kept").select("doc_id")
-    once = docs.join(kept, docs["doc_id"].cast("bigint") == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of docs with one document of each group; of rows with equal doc_id and text one stays."""
+    kept = _grouped(docs, p).where("kept").select(F.struct("doc_id", "h").alias("_row"))
+    rows = docs.withColumn("_row", F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h")))
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
