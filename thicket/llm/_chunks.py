@@ -24,8 +24,16 @@ CHUNK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
 
 
-def chunked(rows: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """Packs rows (with a column text) into a written table (chunk, n_bytes, blob), and gives the bytes of all texts."""
+def packed_rows(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
+        w.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def chunked(rows: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES, encode=packed_rows) -> tuple[DataFrame, int]:
+    """Packs rows (with a column text) into a written table (chunk, n_bytes, blob), and gives the bytes of all texts. encode: what
+    makes the blob of a table of rows; `opened` reads that of packed_rows."""
 
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
@@ -33,11 +41,8 @@ def chunked(rows: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES) -> tuple
 
         def out():
             nonlocal k, held, size
-            table = pa.Table.from_batches(held)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
-                w.write_table(table.combine_chunks())
-            row = pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "n_bytes", "blob"])
+            blob = encode(pa.Table.from_batches(held))
+            row = pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "n_bytes", "blob"])
             k, held, size = k + 1, [], 0
             return row
 
