@@ -1,3 +1,5 @@
+import pytest
+
 from tests.llm.helpers import alnum, edge_rows, prose, table
 from thicket.llm import licenses as K
 
@@ -36,28 +38,45 @@ def test_template_labels(spark):
 
 
 def by_alignment(t, p=K.LicenseParams()):
-    """Every template at every start, word by word."""
+    """Every template at every start, word by word: labels and the best share."""
     index, w = K.Index(p), alnum(t)
-    labels = set(filter(None, plain(t)[4].split(",")))
+    labels, score = set(filter(None, plain(t)[4].split(","))), 0
     for x in p.templates:
         own = x.text.split()
-        lead = set(sorted(set(own), key=lambda v: (-index.idf[v], v))[: p.rare_words])
+        total = sum(index.idf[v] for v in own)
+        if sum(index.idf[v] for v in own if v in w) < p.accept * total:
+            continue
+        chosen = sorted({v for v in own if v in w}, key=lambda v: (-index.idf[v], v))[: p.rare_words]
         for s in range(-len(own) + 1, len(w)):
             at = {i for i in range(len(own)) if 0 <= s + i < len(w) and w[s + i] == own[i]}
-            if not any(own[i] in lead for i in at):
+            if not any(own[i] in chosen for i in at):
                 continue
-            if sum(index.idf[own[i]] for i in at) / sum(index.idf[v] for v in own) >= p.accept:
+            share = sum(index.idf[own[i]] for i in at) / total
+            score = max(score, share)
+            if share >= p.accept:
                 span = range(max(s, 0), min(s + len(own), len(w)))
                 if any(w[k : k + len(y)] == y for key in x.key for y in [key.split()] for k in span):
                     labels.add(x.label)
-    return ",".join(sorted(labels))
+    return ",".join(sorted(labels)), score
 
 
 def test_index_equals_trying_every_alignment(spark):
     rows = ROWS + [(60 + k, f"{prose(k, 5)} {t.text[k:]} {t.text[: 40 + k]} {prose(k, 4)} {' '.join(t.text.split()[::2])}") for k, t in enumerate(K.TEMPLATES)]
     rows = [r for r in rows if r[1] is None or len(r[1]) < 5000]
     for r, (_, t, *_) in zip(K.license_scan(table(spark, rows)).collect(), rows, strict=True):
-        assert r.labels == by_alignment(t)
+        labels, score = by_alignment(t)
+        assert r.labels == labels and r.score == pytest.approx(score, abs=1e-6)
+
+
+def test_whole_texts(spark):
+    """Each whole text is found with its own label, wrapped in comments and with a holder's name in between."""
+    rows = []
+    for k, t in enumerate(K.TEMPLATES):
+        w = t.text.split()
+        lines = [" * " + " ".join(w[a : a + 11]) for a in range(0, len(w), 11)]
+        rows.append((k, "/*\n * Copyright (c) 2020 Some One\n" + "\n".join(lines) + "\n */\n" + prose(k, 50)))
+    for r, t in zip(K.license_scan(table(spark, rows)).collect(), K.TEMPLATES, strict=True):
+        assert t.label in r.labels.split(",") and r.score > 0.99
 
 
 def test_empty(spark):

@@ -10,6 +10,8 @@ value a chunk, however often it occurs.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,13 +19,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm import _words as W
-from thicket.llm._store import written
+from thicket.llm._store import delete_on_exit, shared_dir, written
 
 U64 = np.uint64
 CHUNK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
 
 
+def bucketed(chunks: DataFrame, n: int) -> DataFrame:
+    """The chunks as a table in the shared folder that is divided by chunk: a join by chunk shuffles what it is joined with alone."""
+    spark = chunks.sparkSession
+    name = f"thicket_chunks_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    chunks.repartition(n, "chunk").write.bucketBy(n, "chunk").options(path=path, compression="none").saveAsTable(name)
+    delete_on_exit(spark, path)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # of the catalog; its files stay
+    return out
+
+
 def packed_rows(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:

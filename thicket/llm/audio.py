@@ -169,10 +169,32 @@ def feature_string(spans: list[tuple[float, float]], tensors: np.ndarray, mel: n
     return f"frames={len(mel)};segments={len(spans)};digest={h.hexdigest()[:32]};all={every.hexdigest()[:32]}"
 
 
-SEGMENTS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", pa.list_(pa.float32()))]))
+def tensor_stream(spans: list[tuple[float, float]], tensors: np.ndarray) -> bytes | None:
+    """Segments as an Arrow stream (start_s, end_s, log_mel), log_mel a fixed-shape tensor (frame, mel); null without any."""
+    if not spans:
+        return None
+    kind = pa.fixed_shape_tensor(pa.float32(), tensors.shape[1:], dim_names=["frame", "mel"])
+    values = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), tensors.shape[1] * tensors.shape[2])
+    start, end = (pa.array([s[k] for s in spans], pa.float64()) for k in (0, 1))
+    batch = pa.RecordBatch.from_arrays([start, end, pa.ExtensionArray.from_storage(kind, values)], names=["start_s", "end_s", "log_mel"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(data: bytes | None) -> tuple[list[tuple[float, float]], np.ndarray | None]:
+    """Spans and tensors (segments, frames, mels) of a value that tensor_stream gave."""
+    if data is None:
+        return [], None
+    table = pa.ipc.open_stream(data).read_all()
+    spans = list(zip(table["start_s"].to_pylist(), table["end_s"].to_pylist(), strict=True))
+    return spans, table["log_mel"].combine_chunks().to_numpy_ndarray()
+
+
 _SCHEMA = (
     "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, "
-    "media_sha256 string, feature string, n_frames bigint, segments array<struct<start_s: double, end_s: double, log_mel: array<float>>>"
+    "media_sha256 string, feature string, n_frames bigint, n_segments bigint, tensors binary"
 )
 
 
@@ -184,39 +206,19 @@ def media_features(docs: DataFrame, params: AudioParams = AudioParams()) -> Data
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                cols: list[list] = [[] for _ in range(8)]
-                offsets, starts, ends, flat = [0], [], [], []
+                cols: list[list] = [[] for _ in range(10)]
                 for text in part.column(1).to_pylist():
                     payload, n = payload_of(text)
                     media = encode_wav(payload, params.rate)
                     back, _ = decode_wav(media)
                     spans, tensors, mel = analyse(back, params)
-                    for c, v in zip(cols, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_string(spans, tensors, mel), len(mel)), strict=True):
+                    for c, v in zip(cols, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_string(spans, tensors, mel), len(mel), len(spans), tensor_stream(spans, tensors)), strict=True):
                         c.append(v)
-                    offsets.append(offsets[-1] + len(spans))
-                    starts += [s for s, _ in spans]
-                    ends += [e for _, e in spans]
-                    flat.append(tensors.ravel())
-                size = params.tensor_frames * params.mels
-                values = np.concatenate(flat)
-                log_mels = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size), pa.int32()), pa.array(values))
-                seg = pa.StructArray.from_arrays([pa.array(starts, pa.float64()), pa.array(ends, pa.float64()), log_mels], ["start_s", "end_s", "log_mel"])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), seg)
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), lists], names=[x.split()[0] for x in _SCHEMA.split(", ")[:9]] + ["segments"])
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
 
 
-def as_tensors(segments: pa.Array, params: AudioParams = AudioParams()) -> pa.Array:
-    """The log_mel values of a segments column as one Arrow fixed-shape tensor array."""
-    if isinstance(segments, pa.ChunkedArray):
-        segments = segments.combine_chunks()
-    values = segments.flatten().field("log_mel").flatten().cast(pa.float32())
-    size = params.tensor_frames * params.mels
-    kind = pa.fixed_shape_tensor(pa.float32(), (params.tensor_frames, params.mels), dim_names=["frame", "mel"])
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, size))
-
-
 def op1_media_audio(spark, sf_dir: str) -> DataFrame:
-    return media_features(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("segments")
+    return media_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
