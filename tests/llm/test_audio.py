@@ -63,7 +63,7 @@ def test_contract_and_edge_cases(spark):
         assert len(spans) == r.n_segments and all(0 <= a < b for a, b in spans)
         spans2, tensors2, mel = A.analyse(payload, P)
         assert spans == spans2 and r.feature == A.feature_string(spans2, tensors2, mel)
-        assert (tensors is None and not spans) or (tensors == tensors2).all()
+        assert (tensors is None and not spans) or np.allclose(tensors, tensors2, atol=1e-3)
     assert any(r.n_segments for r in got)
 
 

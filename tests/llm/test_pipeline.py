@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline as P
-from tests.llm.helpers import alnum
+from tests.llm.helpers import alnum, edge_rows, prose, table
 from tests.llm.test_contamination import plain as hits
 from tests.llm.test_mixing import fill
 from tests.llm.test_neardup import groups
@@ -67,3 +67,36 @@ def test_run_equals_the_stages(spark, stages, small):
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(P.run(spark, small)) == key(stages[-1])
     assert "pipeline" in __spark_entry__.queries()
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    """Small labels and a benchmark, with nulls."""
+    spark.createDataFrame([(k, k % 2, 0) for k in range(200, 260)] + [(None, 1, 0), (3, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("i1", prose(900, 12)), (None, "no id"), ("i2", None), ("i3", "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def through(spark, docs, folder):
+    for _, f in P.STAGES[:-1]:
+        after = written(f(spark, docs, folder), "edge")
+        assert after.columns == docs.columns
+        docs = after
+    return docs, P.STAGES[-1][1](spark, docs, folder)
+
+
+def test_edge_rows_go_through_every_stage(spark, folder):
+    good = [(k, prose(k, 80), "a") for k in range(201, 260, 2)]
+    bad = [(k, "buy now !!! " * 30, None) for k in range(200, 260, 2)]
+    rows = edge_rows() + good + bad + good[:3] + [(201, prose(5000, 60), "a"), (None, prose(6000, 60), None), (300, prose(900, 12) + " " + prose(7000, 40), "b")]
+    docs, mixed = through(spark, table(spark, rows), folder)
+    kept = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len(kept) == len(set(kept))
+    assert {(d, t) for d, t, _ in good} <= set(kept) and (201, prose(5000, 60)) in kept and (None, prose(6000, 60)) in kept
+    assert not any(d in {b[0] for b in bad} for d, _ in kept) and 300 not in {d for d, _ in kept}
+    assert mixed.count() == len(kept)
+
+
+def test_empty_documents(spark, folder):
+    docs, mixed = through(spark, table(spark, []), folder)
+    assert docs.count() == mixed.count() == 0

@@ -150,11 +150,13 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, p: BoostParams = BoostParams()) -> Trees:
-    """Fits the trees on at most max_train_rows labelled documents, chosen by a hash of their ids."""
+    """Fits the trees on at most max_train_rows labelled rows of docs, chosen by a hash of their ids."""
     ship(docs.sparkSession)
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality") > 0).cast("double").alias("y"))
+        .join(ids, "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(p.max_train_rows)
     )
@@ -167,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, p: BoostParams = BoostParams()) ->
                 x = statistics(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
 
-    got = rows.mapInArrow(run, "doc_id bigint, y double, x array<float>").toArrow()
+    # repeated ids give more rows than there are ids, so the bound is kept once more
+    got = rows.mapInArrow(run, "doc_id bigint, y double, x array<float>").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(p.max_train_rows).toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0), p)
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
