@@ -159,6 +159,37 @@ def rouge_l(pred: Column, label: Column) -> Column:
     return F.struct(p.alias("p"), r.alias("r"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f"))
 
 
+def or_empty(words: Column) -> Column:
+    """A name without parts is the one word EMPTY."""
+    return F.when(F.size(words) == 0, F.array(F.lit("EMPTY"))).otherwise(words)
+
+
+def rouge_1(pred: Column, label: Column) -> Column:
+    return rouge_n(or_empty(pred), or_empty(label), 1)
+
+
+def rouge_2(pred: Column, label: Column) -> Column:
+    return rouge_n(or_empty(pred), or_empty(label), 2)
+
+
+#: Metrics of (pred, label) by name, as aggregates; see `metric` for the names with _no_unk.
+METRICS: dict = {
+    "top1_accuracy": top1_accuracy,
+    "non_trivial_accuracy": non_trivial_accuracy,
+    "precision": precision,
+    "recall": recall,
+    "micro_precision": lambda p, l, pad=None, unk=None: F.try_divide(F.sum(true_false(p, l, pad, unk)["tp"]), F.sum(true_false(p, l, pad, unk)["tp"] + true_false(p, l, pad, unk)["fp"])),
+    "micro_recall": lambda p, l, pad=None, unk=None: F.try_divide(F.sum(true_false(p, l, pad, unk)["tp"]), F.sum(true_false(p, l, pad, unk)["tp"] + true_false(p, l, pad, unk)["fn"])),
+}
+
+
+def metric(name: str, pred: Column, label: Column, pad=None, unk=None, best=None) -> Column:
+    """A registered metric by name. name_no_unk: of predictions of which the best known part was taken (`best`) where the first is unknown."""
+    if name.endswith("_no_unk"):
+        return METRICS[name.removesuffix("_no_unk")](pred if best is None else best, label, pad, unk)
+    return METRICS[name](pred, label, pad, unk)
+
+
 def same_name(pred: Column, label: Column) -> Column:
     """Equal lists, equal sets, or the same word when joined."""
     return (pred == label) | (F.array_sort(F.array_distinct(pred)) == F.array_sort(F.array_distinct(label))) | (F.array_join(pred, "") == F.array_join(label, ""))

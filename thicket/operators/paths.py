@@ -34,29 +34,27 @@ def terminals(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     flagged = nodes.withColumn("illegal", word & ~name & ~F.col("value").rlike(LEGAL_IDENTIFIER))
     bad = flagged.where("illegal").select(S).distinct()
     out = flagged.join(bad, S, "left_anti").select(S, "node_id", value.alias("value")).where("value is not null")
-    return out.join(paths.select(S, F.col("node").alias("node_id"), "path"), [S, "node_id"])
+    return out.join(paths.withColumnRenamed("node", "node_id"), [S, "node_id"])
 
 
 def leaf_pairs(leaves: DataFrame, max_length: int = MAX_PATH_LENGTH, max_width: int = MAX_PATH_WIDTH) -> DataFrame:
     """Pairs of leaves in node order whose way is short and even enough: values, up, lca and down.
 
-    The join is within a sample; a sample's leaves are bounded by the token limit.
+    The join is within a sample; a sample's leaves are bounded by the token limit. Where the leaves have the types of their root
+    paths, the pairs have `steps`: the types on the way.
     """
-    a = leaves.select(S, F.col("node_id").alias("v"), F.col("value").alias("start"), F.col("path").alias("vp"))
-    b = leaves.select(S, F.col("node_id").alias("u"), F.col("value").alias("finish"), F.col("path").alias("up"))
+    typed = "types" in leaves.columns
+    a = leaves.select(S, F.col("node_id").alias("v"), F.col("value").alias("start"), F.col("path").alias("vp"), *([F.col("types").alias("vt")] if typed else []))
+    b = leaves.select(S, F.col("node_id").alias("u"), F.col("value").alias("finish"), F.col("path").alias("up"), *([F.col("types").alias("ut")] if typed else []))
     both = a.join(b, S).where("v < u").withColumn("k", common_prefix(F.col("vp"), F.col("up")))
     n_up, n_down = F.size("vp") - F.col("k"), F.size("up") - F.col("k")
     both = both.where((n_up + 1 + n_down <= max_length) & (F.abs(n_up - n_down) <= max_width))
-    return both.select(S, "v", "u", "start", "finish", F.reverse(F.slice("vp", F.col("k") + 1, n_up)).alias("climb"), F.element_at("vp", F.col("k")).alias("lca"), F.slice("up", F.col("k") + 1, n_down).alias("descent"))
+    return both.select(S, "v", "u", "start", "finish", F.reverse(F.slice("vp", F.col("k") + 1, n_up)).alias("climb"), F.element_at("vp", F.col("k")).alias("lca"), F.slice("up", F.col("k") + 1, n_down).alias("descent"), *([F.concat(F.reverse(F.slice("vt", F.col("k"), n_up + 1)), F.slice("ut", F.col("k") + 1, n_down)).alias("steps")] if typed else []))
 
 
-def rendered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sample_id, v, u, context): start,types,finish, the types joined by pipes."""
-    steps = pairs.select(S, "v", "u", "start", "finish", F.posexplode(F.concat("climb", F.array("lca"), "descent")).alias("pos", "node_id"))
-    named = steps.join(nodes.select(S, "node_id", "node_type"), [S, "node_id"])
-    types = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_type"))), lambda x: x["node_type"]), "|")
-    out = named.groupBy(S, "v", "u").agg(F.first("start").alias("start"), F.first("finish").alias("finish"), types.alias("types"))
-    return out.select(S, "v", "u", F.concat_ws(",", path_name(F.col("start")), "types", path_name(F.col("finish"))).alias("context"))
+def rendered(pairs: DataFrame) -> DataFrame:
+    """(sample_id, v, u, context): start,types,finish, the types joined by pipes. pairs: with steps."""
+    return pairs.select(S, "v", "u", F.concat_ws(",", path_name(F.col("start")), F.array_join("steps", "|"), path_name(F.col("finish"))).alias("context"))
 
 
 def lines(contexts: DataFrame, targets: DataFrame) -> DataFrame:

@@ -50,10 +50,14 @@ def closure_recursive(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
 
 
 def shortest_paths(up: DataFrame, threshold: int | None = None) -> DataFrame:
-    """(sample_id, i, j, value): edges between two nodes of a tree, by their closest common ancestor."""
-    a = up.select(S, "ancestor", F.col("node").alias("i"), F.col("height").alias("hi"))
-    b = up.select(S, "ancestor", F.col("node").alias("j"), F.col("height").alias("hj"))
-    out = a.join(b, [S, "ancestor"]).groupBy(S, "i", "j").agg(F.min(F.col("hi") + F.col("hj")).alias("value"))
+    """(sample_id, i, j, value): edges between two nodes of a tree, by their closest common ancestor: one row a pair, whose root
+    paths are compared. Nodes whose depths differ by more than the threshold aren't compared."""
+    paths = root_paths(up)
+    a, b = paths.select(S, F.col("node").alias("i"), F.col("path").alias("a")), paths.select(S, F.col("node").alias("j"), F.col("path").alias("b"))
+    both = a.join(b, S)
+    if threshold is not None:
+        both = both.where(F.abs(F.size("a") - F.size("b")) <= threshold)
+    out = both.select(S, "i", "j", (F.size("a") + F.size("b") - 2 * common_prefix(F.col("a"), F.col("b"))).alias("value"))
     return out if threshold is None else out.where(F.col("value") <= threshold)
 
 
@@ -220,9 +224,61 @@ def child_number(nodes: DataFrame, most: int = 3) -> DataFrame:
     return nodes.where("parent_id is not null").select(S, "node_id", F.least(k, F.lit(most)).cast("int").alias("child_no"))
 
 
-def root_paths(up: DataFrame) -> DataFrame:
-    """(sample_id, node, path): the nodes from the root to each node."""
-    return up.groupBy(S, "node").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("h"), "ancestor"))), lambda x: x["ancestor"]).alias("path"))
+def root_paths(up: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(sample_id, node, path): the nodes from the root to each node; with nodes, also their types, in the same order."""
+    if nodes is None:
+        return up.groupBy(S, "node").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("h"), "ancestor"))), lambda x: x["ancestor"]).alias("path"))
+    typed = up.join(nodes.select(S, F.col("node_id").alias("ancestor"), "node_type"), [S, "ancestor"])
+    steps = typed.groupBy(S, "node").agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("h"), "ancestor", "node_type"))).alias("x"))
+    return steps.select(S, "node", F.col("x.ancestor").alias("path"), F.col("x.node_type").alias("types"))
+
+
+def surroundings(up: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sample_id, node, n_ancestors, n_descendants, n_leaves): how many nodes are above and below a node, and leaves below it
+    (itself, if it is one)."""
+    leaf = degrees(nodes).select(S, F.col("node_id").alias("node"), (F.col("n_children") == 0).alias("leaf"))
+    known = up.join(leaf, [S, "node"])
+    below = known.groupBy(S, F.col("ancestor").alias("node")).agg((F.count("*") - 1).alias("n_descendants"), F.count_if("leaf").alias("n_leaves"))
+    above = up.groupBy(S, "node").agg((F.count("*") - 1).alias("n_ancestors"))
+    return above.join(below, [S, "node"]).select(S, "node", "n_ancestors", "n_descendants", "n_leaves")
+
+
+def dot(nodes: DataFrame) -> DataFrame:
+    """(sample_id, dot): each tree as a graph in the DOT language, for viewing; one text a tree, whose size the token limit bounds."""
+    line = F.concat(F.lit("  n"), F.col("node_id"), F.lit(' [label="'), F.replace("node_type", F.lit('"'), F.lit("'")), F.lit('"];'))
+    edge = F.when(F.col("parent_id").isNotNull(), F.concat(F.lit("\n  n"), F.col("parent_id"), F.lit(" -> n"), F.col("node_id"), F.lit(";"))).otherwise("")
+    rows = nodes.groupBy(S).agg(F.array_sort(F.collect_list(F.struct("node_id", F.concat(line, edge).alias("text")))).alias("x"))
+    return rows.select(S, F.concat(F.lit("digraph {\n"), F.array_join("x.text", "\n"), F.lit("\n}")).alias("dot"))
+
+
+#: Distance metrics by name: functions of nodes that give (sample_id, i, j, value). Further ones can be added.
+DISTANCES: dict = {
+    "ancestor_sp": lambda nodes: ancestor_distances(closure(nodes, 64)),
+    "sibling_sp": lambda nodes: sibling_distances(nodes),
+    "shortest_paths": lambda nodes: shortest_paths(closure(nodes, 64)),
+    "ppr": lambda nodes: pagerank_distances(nodes, threshold=2.718281828459045**-5),
+}
+
+
+def distance(name: str):
+    """Registers a distance metric under a name."""
+
+    def add(f):
+        if name in DISTANCES:
+            raise ValueError(f"two distances are named {name}")
+        DISTANCES[name] = f
+        return f
+
+    return add
+
+
+def distances_of(nodes: DataFrame, *names: str) -> DataFrame:
+    """(sample_id, metric, i, j, value) of the named metrics."""
+    out = None
+    for name in names:
+        rows = DISTANCES[name](nodes).select(S, F.lit(name).alias("metric"), "i", "j", F.col("value").cast("double").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def common_prefix(v: Column, u: Column) -> Column:

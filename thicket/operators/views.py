@@ -37,23 +37,36 @@ def shuffled(rows: DataFrame, seed: int, *ids: str) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), *ids), *ids)
 
 
+def preceding(rows: DataFrame, part: str, amount: Column, *order: str, slots: int = 64) -> DataFrame:
+    """rows with _before: the sum of an amount over the part's rows that come before in the order. A part isn't one task: it is cut into
+    ranges of its first order column, a number, at percentiles; each range is summed on its own, and ranges before it are added. The cuts
+    only divide the work, so the sums don't depend on them."""
+    cuts = rows.groupBy(part).agg(F.percentile_approx(order[0], F.array(*(F.lit(k / slots) for k in range(1, slots))), F.lit(1000)).alias("_cuts"))
+    slot = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col(order[0])))
+    out = rows.join(cuts.withColumnRenamed(part, "_part"), F.col(part).eqNullSafe(F.col("_part")), "left").withColumn("_slot", slot).withColumn("_amount", amount)
+    sums = out.groupBy(F.col(part).alias("_p"), F.col("_slot").alias("_s")).agg(F.sum("_amount").alias("_sum"))
+    base = F.coalesce(F.sum("_sum").over(Window.partitionBy("_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_p", "_s", base.alias("_base"))
+    own = F.coalesce(F.sum("_amount").over(Window.partitionBy(part, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = out.withColumn("_own", own).join(sums, F.col(part).eqNullSafe(F.col("_p")) & (F.col("_slot") == F.col("_s")))
+    return out.withColumn("_before", F.col("_own") + F.col("_base")).drop("_part", "_cuts", "_slot", "_amount", "_own", "_p", "_s", "_base")
+
+
 def chunk_shuffled(rows: DataFrame, part: str, length: str, k: int, seed: int, *ids: str) -> DataFrame:
     """Within each part: sorted by length, cut into chunks of k, chunks in a seeded order. Gives chunk and place."""
-    w = Window.partitionBy(part).orderBy(length, *ids)
-    out = rows.withColumn("_rn", F.row_number().over(w) - 1).withColumn("chunk", F.floor(F.col("_rn") / k).cast("int"))
-    order = Window.partitionBy(part).orderBy(F.xxhash64(F.lit(seed), "chunk"), "chunk", "_rn")
-    return out.withColumn("place", (F.row_number().over(order) - 1).cast("int")).drop("_rn")
+    out = preceding(rows, part, F.lit(1), length, *ids).withColumn("chunk", F.floor(F.col("_before") / k).cast("int")).withColumnRenamed("_before", "_rn")
+    out = preceding(out.withColumn("_order", F.xxhash64(F.lit(seed), "chunk")), part, F.lit(1), "_order", "chunk", "_rn")
+    return out.withColumn("place", F.col("_before").cast("int")).drop("_rn", "_order", "_before")
 
 
 def batches(rows: DataFrame, part: str, size: int, *order: str) -> DataFrame:
     """batch: consecutive runs of `size` rows within each part."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1) / size).cast("int"))
+    return preceding(rows, part, F.lit(1), *order).withColumn("batch", F.floor(F.col("_before") / size).cast("int")).drop("_before")
 
 
 def accumulated(rows: DataFrame, part: str, amount: str, target: int, *order: str) -> DataFrame:
     """window: runs of rows whose amounts add up to about `target`."""
-    w = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("window", F.floor(F.coalesce(F.sum(amount).over(w), F.lit(0)) / target).cast("int"))
+    return preceding(rows, part, F.col(amount), *order).withColumn("window", F.floor(F.col("_before") / target).cast("int")).drop("_before")
 
 
 def padded_to_batch(rows: DataFrame, batch: str, tokens: str, pad: Column) -> DataFrame:
@@ -64,6 +77,32 @@ def padded_to_batch(rows: DataFrame, batch: str, tokens: str, pad: Column) -> Da
     return out.withColumn("pad_mask", mask).withColumn(tokens, F.slice(F.concat(tokens, F.array_repeat(pad, F.col("_n"))), F.lit(1), F.col("_n"))).drop("_n", "_size")
 
 
+def long_enough(rows: DataFrame, words: str, least: int, labels: str | None = None, least_labels: int = 0) -> DataFrame:
+    """Samples of at least `least` tokens and `least_labels` parts of the label."""
+    ok = F.size(words) >= least
+    return rows.where(ok if labels is None else ok & (F.size(labels) >= least_labels))
+
+
+def small_trees(rows: DataFrame, nodes: DataFrame, most: int, sample: str = "sample_id") -> DataFrame:
+    """Samples whose tree has at most `most` nodes."""
+    return rows.join(nodes.groupBy(sample).agg(F.count("*").alias("_n")).where(F.col("_n") <= most), sample, "left_semi")
+
+
+def attention_view(samples: DataFrame, n_cls: int = 5, sample: str = "sample_id") -> DataFrame:
+    """(sample, i, kind) of a sample of n words with its label masked at `at`: positions that may not be attended (`blocked`: the padding
+    of the batch, from n to width), and those that are targets (`target`: the class tokens and the mask). samples: sample, n, width, at."""
+    blocked = F.when(F.col("width") > F.col("n"), F.sequence(F.col("n"), F.col("width") - 1)).otherwise(F.array().cast("array<int>"))
+    target = F.array_union(F.sequence(F.lit(0), F.lit(n_cls - 1)), F.array("at"))
+    kinds = F.array(F.struct(F.lit("blocked").alias("kind"), blocked.alias("x")), F.struct(F.lit("target").alias("kind"), target.alias("x")))
+    return samples.select(sample, F.explode(kinds).alias("k")).select(sample, "k.kind", F.explode("k.x").alias("i"))
+
+
+def reservoir(rows: DataFrame, sample: str, most: int, seed: int, *ids: str) -> DataFrame:
+    """At most `most` rows of each sample, chosen by hash, each with the same probability. Spark takes each task's best before it shuffles."""
+    w = Window.partitionBy(sample).orderBy(F.xxhash64(F.lit(seed), sample, *ids), *ids)
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
 def pad_mask(length: Column, most: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: (i < length).cast("int"))
 

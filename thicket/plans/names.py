@@ -27,9 +27,12 @@ def names(spark, d: str) -> DataFrame:
     return out.union(spark.createDataFrame([(x,) for x in more], "name string")).distinct()
 
 
-@query("camel_split", f"with {_NAMES} select name, array_to_string({_CAMEL.format('name')}, '|') as parts from names where not contains(name, '_')")
+_RUNS = "regexp_extract_all(regexp_replace({}, '([A-Z]+)([A-Z][a-z])', '\\1' || chr(1) || '\\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9\x01]+')"
+
+
+@query("camel_split", f"with {_NAMES} select name, array_to_string({_RUNS.format('name')}, '|') as parts from names")
 def camel_split(spark, d):
-    return names(spark, d).where(~F.contains("name", F.lit("_"))).select("name", F.array_join(X.split_camel_case(F.col("name")), "|").alias("parts"))
+    return names(spark, d).select("name", F.array_join(X.split_camel_case(F.col("name")), "|").alias("parts"))
 
 
 @query("snake_camel_split", f"with {_NAMES} select name, case when len({_SPLIT}) = 0 then name else array_to_string({_SPLIT}, '|') end as parts from names")

@@ -37,9 +37,9 @@ def named_nodes(spark, d: str) -> DataFrame:
 
 def contexts(spark, d: str) -> DataFrame:
     n = named_nodes(spark, d)
-    leaves = P.terminals(n.where("s is not null" if "s" in n.columns else "value is not null"), T.root_paths(T.closure(n, 4)))
     shown = n.withColumn("node_type", F.when(F.col("value").isNotNull(), "leaf").otherwise(F.col("node_type")))
-    return P.rendered(P.leaf_pairs(leaves), shown)
+    leaves = P.terminals(n.where("value is not null"), T.root_paths(T.closure(n, 4), shown))
+    return P.rendered(P.leaf_pairs(leaves))
 
 
 @query("leaf_pairs", f"{_WITH}{_LEAVES} select sample_id, v, u, context from ctx")
@@ -97,14 +97,14 @@ def signed_width_pairs(spark, d):
     "numbered_paths",
     f"""{_WITH}{_LEAVES}, {_KIDS_NO}, ty as (select n.sample_id, n.node_id, case when n.s is null then n.node_type when n.s % 5 = 0 then 'Integer' else 'Identifier' end as t, least(coalesce(child_no, 0), 3) as c from nodes n left join kn using (sample_id, node_id)),
     st as (select l.sample_id, l.v, l.u, l.hv, a.height as pos, a.ancestor as node_id from lca l join up a on a.sample_id = l.sample_id and a.node = l.v and a.height <= l.hv union all select l.sample_id, l.v, l.u, l.hv, l.hv + l.hu - b.height, b.ancestor from lca l join up b on b.sample_id = l.sample_id and b.node = l.u and b.height < l.hu)
-    select sample_id, v, u, string_agg(t || case when node_id in (v, u) or (t = 'Nation') then c::varchar else '' end, '|' order by pos) as path from st join ty using (sample_id, node_id) where v % 3 = 0 group by 1, 2, 3""",
+    select sample_id, v, u, string_agg(t || case when node_id in (v, u) or (t = 'Nation') then c::varchar else '' end, '|' order by pos) as path from st join ty using (sample_id, node_id) group by 1, 2, 3""",
 )
 def numbered_paths(spark, d):
     """Paths that show the numbers of their ends and of the children of regions."""
     pairs, n = pairs_of(spark, d)
     parent = n.select("sample_id", F.col("node_id").alias("parent_id"), F.col("node_type").alias("parent_type"))
     shown = n.join(parent, ["sample_id", "parent_id"], "left").join(T.child_number(n, 1_000_000), ["sample_id", "node_id"], "left").withColumn("child_no", F.coalesce("child_no", F.lit(0)))
-    return P.rendered_with_numbers(pairs.where("v % 3 = 0"), shown, 3, ("Region",))
+    return P.rendered_with_numbers(pairs, shown, 3, ("Region",))
 
 
 @query("dense_contexts")

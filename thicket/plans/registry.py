@@ -16,10 +16,12 @@ ROUNDED: dict[str, tuple[str, ...]] = {
     "adj_normalized": ("value",),
     "area_bins": ("edge",),
     "binary_prf": ("precision", "recall", "f1"),
+    "count_bins": ("edge",),
     "context_stats": ("mean_contexts", "mean_sampled"),
     "label_smoothing": ("loss",),
     "macro_f1": ("precision", "recall", "f1"),
     "macro_precision_recall": ("precision", "recall"),
+    "metric_registry": ("value",),
     "micro_prf": ("precision", "recall", "f1"),
     "non_trivial_accuracy": ("accuracy",),
     "per_language_metrics": ("mean_tokens",),
@@ -27,7 +29,9 @@ ROUNDED: dict[str, tuple[str, ...]] = {
     "pointer_probability": ("p",),
     "positional_encoding": ("v",),
     "project_overlap": ("overlap",),
+    "rouge_1": ("p", "r", "f"),
     "rouge_2": ("p", "r", "f"),
+    "rouge_empty": ("p", "r"),
     "stream_tumbling": ("total",),
     "top1_accuracy": ("accuracy",),
     "topk_accuracy": ("accuracy",),

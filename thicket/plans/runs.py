@@ -83,6 +83,12 @@ def stream_word_counts(spark, d):
     return C.run_to_end(C.word_counts(texts), "stream_word_counts")
 
 
+@query("stream_sessions", "with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from e) select min(ts)::timestamp as start, user_id, count(*) as n from s group by user_id, k")
+def stream_sessions(spark, d):
+    """Sessions of a stream of events, read to its end."""
+    return C.run_to_end(C.sessions(C.events(spark, f"{d}/events.parquet")), "stream_sessions")
+
+
 @query("session_windows", "with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from e) select min(ts)::timestamp as start, user_id, count(*) as n from s group by user_id, k")
 def session_windows(spark, d):
     rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))

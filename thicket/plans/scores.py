@@ -1,7 +1,7 @@
 """Queries over binning and evaluation metrics.
 
-Predictions and labels: the first five words of consecutive turns of a conversation, padded; words that begin with "th"
-count as unknown.
+Predictions and labels: the names of the parts of consecutive lines of an order, as arrays of words padded to five (the longest name
+has as many); some are empty; words that begin with "b" count as unknown.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from thicket.plans.trees import metrics as tree_metrics
 from thicket.plans.trees import nodes
 
 PAD, UNK = "[PAD]", "<unk>"
-_CLEAN = "list_transform((list_concat(string_split(lower(text), ' '), list_transform(range(5), lambda x: '[PAD]')))[1:5], lambda w: case when starts_with(w, 'th') then '<unk>' else w end)"
-_PAIRS = f"t as (select conv_id, turn, role, {_CLEAN} as ws from conversations), pairs as (select a.conv_id, a.turn, a.role, a.ws as pred, b.ws as label from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"
+_NAME = "case p_size % 4 when 0 then [] when 1 then string_split(p_name, ' ') when 2 then string_split(p_name || ' ' || p_type, ' ') else string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ') end"
+_CLEAN = f"list_transform((list_concat({_NAME}, list_transform(range(5), lambda x: '[PAD]')))[1:5], lambda w: case when starts_with(w, 'b') then '<unk>' else w end)"
+_PAIRS = f"t as (select l_orderkey, l_linenumber, l_returnflag as role, {_CLEAN} as ws from lineitem join part on l_partkey = p_partkey), pairs as (select a.role, a.ws as pred, b.ws as label from t a join t b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1)"
 _KEPT = "list_filter({}, lambda x: x not in ('[PAD]', '<unk>'))"
 _PART = "not (len(list_filter(label, lambda x: x <> '<unk>' and x <> '[PAD]')) = 0 and len(list_filter(label, lambda x: x <> '[PAD]')) > 0)"
 _EXACT = "len(list_filter(range(1, 6), lambda i: pred[i] = label[i] or label[i] = '<unk>')) = 5"
@@ -28,10 +29,13 @@ _PRF = "coalesce(tp / nullif(tp + fp, 0), 0)::double as precision, coalesce(tp /
 
 
 def pairs(spark, d: str) -> DataFrame:
-    words = F.transform(pad_or_truncate(F.split(F.lower("text"), " "), 5, F.lit(PAD)), lambda w: F.when(w.startswith("th"), UNK).otherwise(w))
-    t = table(spark, d, "conversations").select("conv_id", "turn", "role", words.alias("ws"))
-    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ws").alias("label"))
-    return t.withColumnRenamed("ws", "pred").join(after, ["conv_id", "turn"])
+    name = F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 4 >= 2, F.col("p_type")), F.when(F.col("p_size") % 4 == 3, F.col("p_brand")))
+    words = F.when(F.col("p_size") % 4 == 0, F.array().cast("array<string>")).otherwise(F.split(name, " "))
+    words = F.transform(pad_or_truncate(words, 5, F.lit(PAD)), lambda w: F.when(w.startswith("b"), UNK).otherwise(w))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), words.alias("ws"))
+    t = table(spark, d, "lineitem").join(parts, "l_partkey").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("role"), "ws")
+    after = t.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("ws").alias("label"))
+    return t.withColumnRenamed("ws", "pred").join(after, ["l_orderkey", "l_linenumber"])
 
 
 @query("top1_accuracy", f"with {_PAIRS} select role, avg(case when {_PART} then ({_EXACT})::int end) as accuracy from pairs group by role")
@@ -44,11 +48,15 @@ def non_trivial_accuracy(spark, d):
     return pairs(spark, d).groupBy("role").agg(M.non_trivial_accuracy(F.col("pred"), F.col("label"), PAD, UNK).alias("accuracy"))
 
 
-@query("topk_accuracy", "with x as (select conv_id, lang_hit, label from (select conv_id, [string_split(text, ' ')[1:3], string_split(text, ' ')[4:6]] as lang_hit, [string_split(text, ' ')[2], string_split(text, ' ')[1 + conv_id % 6]] as label from conversations)) select count(*) as n, avg((list_contains(lang_hit[1], label[1]) and list_contains(lang_hit[2], label[2]))::int) as accuracy from x")
+@query("topk_accuracy", "select count(*) as n, avg((list_contains([string_split(a.p_name, ' ')[1], string_split(b.p_name, ' ')[1], string_split(c.p_name, ' ')[1]], string_split(p.p_name, ' ')[1]) and list_contains([string_split(a.p_name, ' ')[2], string_split(b.p_name, ' ')[2], string_split(c.p_name, ' ')[2]], string_split(p.p_name, ' ')[2]))::int) as accuracy from part p join part a on a.p_partkey = p.p_partkey + 1 join part b on b.p_partkey = p.p_partkey + 2 join part c on c.p_partkey = p.p_partkey + 3")
 def topk_accuracy(spark, d):
-    """Three ranked guesses for each of two parts."""
-    w = F.split("text", " ")
-    rows = table(spark, d, "conversations").select(F.array(F.slice(w, 1, 3), F.slice(w, 4, 3)).alias("ranked"), F.array(F.try_element_at(w, F.lit(2)), F.try_element_at(w, (1 + F.col("conv_id") % 6).cast("int"))).alias("label"))
+    """Three ranked guesses for each of the two words of a part's name: the names of the next three parts."""
+    w = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("label"))
+    rows = w
+    for k in (1, 2, 3):
+        rows = rows.join(w.select((F.col("p_partkey") - k).alias("p_partkey"), F.col("label").alias(f"g{k}")), "p_partkey")
+    ranked = F.arrays_zip("g1", "g2", "g3")
+    rows = rows.select("label", F.transform(ranked, lambda x: F.array(x["g1"], x["g2"], x["g3"])).alias("ranked"))
     return rows.agg(F.count("*").alias("n"), M.topk_accuracy(F.col("ranked"), F.col("label")).alias("accuracy"))
 
 
@@ -90,9 +98,9 @@ def same_name(spark, d):
     return rows.groupBy("day").agg(F.count("*").alias("n"), F.count_if(M.same_name(F.col("a"), F.col("b"))).alias("same"))
 
 
-@query("rouge_2", "with t as (select conv_id, turn, string_split(lower(text), ' ')[1:12] as ws from conversations), p as (select a.conv_id, a.turn, list_distinct(list_transform(range(1, len(a.ws)), lambda i: a.ws[i] || ' ' || a.ws[i + 1])) as x, list_distinct(list_transform(range(1, len(b.ws)), lambda i: b.ws[i] || ' ' || b.ws[i + 1])) as y from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1), s as (select conv_id, turn, coalesce(len(list_intersect(x, y)) / nullif(len(x), 0), 0)::double as p, coalesce(len(list_intersect(x, y)) / nullif(len(y), 0), 0)::double as r from p) select conv_id, turn, p, r, coalesce(2 * p * r / nullif(p + r, 0), 0) as f from s")
+@query("rouge_2", "with t as (select conv_id, turn, string_split(lower(text), ' ') as ws from conversations), p as (select a.conv_id, a.turn, list_distinct(list_transform(range(1, len(a.ws)), lambda i: a.ws[i] || ' ' || a.ws[i + 1])) as x, list_distinct(list_transform(range(1, len(b.ws)), lambda i: b.ws[i] || ' ' || b.ws[i + 1])) as y from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1), s as (select conv_id, turn, coalesce(len(list_intersect(x, y)) / nullif(len(x), 0), 0)::double as p, coalesce(len(list_intersect(x, y)) / nullif(len(y), 0), 0)::double as r from p) select conv_id, turn, p, r, coalesce(2 * p * r / nullif(p + r, 0), 0) as f from s")
 def rouge_2(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.slice(F.split(F.lower("text"), " "), 1, 12).alias("ws"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.split(F.lower("text"), " ").alias("ws"))
     both = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ws").alias("label")), ["conv_id", "turn"])
     return both.select("conv_id", "turn", M.rouge_n(F.col("ws"), F.col("label"), 2).alias("s")).select("conv_id", "turn", "s.p", "s.r", "s.f")
 
@@ -104,6 +112,36 @@ def rouge_l(spark, d):
     return both.select("conv_id", "turn", M.rouge_l(F.col("ws"), F.col("label")).alias("s")).select("conv_id", "turn", "s.p", "s.r", "s.f")
 
 
+@query("rouge_1", "with t as (select conv_id, turn, list_distinct(string_split(lower(text), ' ')) as ws from conversations), s as (select a.conv_id, a.turn, len(list_intersect(a.ws, b.ws)) / len(a.ws)::double as p, len(list_intersect(a.ws, b.ws)) / len(b.ws)::double as r from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1) select conv_id, turn, p, r, coalesce(2 * p * r / nullif(p + r, 0), 0) as f from s")
+def rouge_1(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.split(F.lower("text"), " ").alias("ws"))
+    both = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ws").alias("label")), ["conv_id", "turn"])
+    return both.select("conv_id", "turn", M.rouge_1(F.col("ws"), F.col("label")).alias("s")).select("conv_id", "turn", "s.p", "s.r", "s.f")
+
+
+@query("rouge_empty", "with t as (select l_returnflag as role, case p_size % 4 when 0 then ['EMPTY'] when 1 then list_distinct(string_split(p_name, ' ')) when 2 then list_distinct(string_split(p_name || ' ' || p_type, ' ')) else list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) end as ws, ['EMPTY', 'red', 'widget'] as label from lineitem join part on l_partkey = p_partkey) select role, avg(len(list_intersect(ws, label)) / len(ws)::double) as p, avg(len(list_intersect(ws, label)) / 3.0::double) as r from t group by role")
+def rouge_empty(spark, d):
+    """Names without parts count as the word EMPTY."""
+    name = F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 4 >= 2, F.col("p_type")), F.when(F.col("p_size") % 4 == 3, F.col("p_brand")))
+    words = F.when(F.col("p_size") % 4 == 0, F.array().cast("array<string>")).otherwise(F.split(name, " "))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), words.alias("ws"))
+    rows = table(spark, d, "lineitem").join(parts, "l_partkey").select(F.col("l_returnflag").alias("role"), M.rouge_1(F.col("ws"), F.array(*map(F.lit, ("EMPTY", "red", "widget")))).alias("s"))
+    return rows.groupBy("role").agg(F.avg("s.p").alias("p"), F.avg("s.r").alias("r"))
+
+
+@query(
+    "metric_registry",
+    f"""with {_COUNTED},
+    s as (select role, sum(tp)::double as tp, sum(fp) as fp, sum(fn) as fn, avg(case when {_PART} then ({_EXACT})::int end) as top1 from c group by role)
+    select role, 'micro_precision' as name, tp / (tp + fp) as value from s union all select role, 'micro_recall', tp / (tp + fn) from s union all select role, 'top1_accuracy', top1 from s""",
+)
+def metric_registry(spark, d):
+    """Metrics called by their names, in one pass, as (role, name, value)."""
+    names = ("micro_precision", "micro_recall", "top1_accuracy")
+    row = pairs(spark, d).groupBy("role").agg(*(M.metric(n, F.col("pred"), F.col("label"), PAD, UNK).cast("double").alias(n) for n in names))
+    return row.select("role", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names))).alias("x")).select("role", "x.name", "x.value")
+
+
 @query("binary_prf", "with c as (select count(*) filter (where quality = 1 and toxic = 1) as tp, count(*) filter (where quality = 1 and toxic = 0) as fp, count(*) filter (where quality = 0 and toxic = 1) as fn from labels), q as (select *, coalesce(tp / nullif(tp + fp, 0), 0)::double as precision, coalesce(tp / nullif(tp + fn, 0), 0)::double as recall from c) select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) as f1 from q")
 def binary_prf(spark, d):
     q, t = F.col("quality") == 1, F.col("toxic") == 1
@@ -112,14 +150,12 @@ def binary_prf(spark, d):
     return c.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
-@query("best_non_unk", "select conv_id, turn, pos, word from (select conv_id, turn, unnest(range(len(ws)))::int as pos, unnest(ws) as word from (select conv_id, turn, string_split(lower(text), ' ') as ws from conversations)) qualify row_number() over (partition by conv_id, turn order by starts_with(word, 'th'), length(word) desc, word, pos) = 1")
+@query("best_non_unk", "select conv_id, turn, token, score from (select conv_id, turn, case when starts_with(word, 'th') then '<unk>' else word end as token, length(word)::int as score from (select conv_id, turn, unnest(string_split(lower(text), ' ')) as word from conversations)) qualify row_number() over (partition by conv_id, turn order by token = '<unk>', score desc, token) = 1")
 def best_non_unk(spark, d):
     """The longest word of each turn that isn't unknown; an unknown one only where there is no other."""
-    w = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.lower("text"), " ")).alias("pos", "word"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("conv_id", "turn").orderBy(F.col("word").startswith("th"), F.length("word").desc(), "word", "pos")
-    return w.withColumn("r", F.row_number().over(order)).where("r = 1").select("conv_id", "turn", "pos", "word")
+    w = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    scored = w.select("conv_id", "turn", F.when(F.col("word").startswith("th"), UNK).otherwise(F.col("word")).alias("token"), F.length("word").alias("score"))
+    return M.best_known(scored, "conv_id", "turn", unk=UNK)
 
 
 @query("topk_per_group", "select l_orderkey, l_partkey, l_suppkey, l_extendedprice from (select *, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_partkey, l_suppkey, l_linenumber) as r from lineitem) where r <= 2")
@@ -138,12 +174,12 @@ def hit_at_k(spark, d):
     return hits.select("n", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("hits")) for k in (1, 5, 10)))).alias("x")).select("x.k", "x.hits", "n")
 
 
-@query("pointer_probability", "select conv_id, word, sum(p) as p from (select conv_id, unnest(string_split(lower(text), ' ')) as word, 1.0::double / len(string_split(text, ' ')) as p from conversations where turn = 0) group by 1, 2")
+@query("pointer_probability", "select conv_id, turn, word, sum(p) as p from (select conv_id, turn, unnest(string_split(lower(text), ' ')) as word, 1.0::double / len(string_split(text, ' ')) as p from conversations) group by 1, 2, 3")
 def pointer_probability(spark, d):
     """Attention over positions summed per vocabulary word."""
     w = F.split(F.lower("text"), " ")
-    rows = table(spark, d, "conversations").where("turn = 0").select("conv_id", F.explode(w).alias("word"), (F.lit(1.0) / F.size(w)).alias("p"))
-    return rows.groupBy("conv_id", "word").agg(F.sum("p").alias("p"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.explode(w).alias("word"), (F.lit(1.0) / F.size(w)).alias("p"))
+    return rows.groupBy("conv_id", "turn", "word").agg(F.sum("p").alias("p"))
 
 
 @query("label_smoothing", "select vec_id, -(0.9::double * hit + 0.1::double / (len(e) - 1) * (every - hit)) as loss from (select vec_id, e, e[1 + label % len(e)]::double - z as hit, list_sum(e::double[]) - len(e) * z as every from (select vec_id, label, embedding as e, ln(list_sum(list_transform(embedding::double[], lambda x: exp(x)))) as z from embeddings))")
@@ -171,6 +207,16 @@ def area_bins(spark, d):
     return B.area_edges_of(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag"), "flag", "l_quantity", 8)
 
 
+@query(
+    "count_bins",
+    """with x as (select l_returnflag as flag, l_quantity as x, row_number() over (partition by l_returnflag order by l_quantity) - 1 as rn, count(*) over (partition by l_returnflag) as n, lead(l_quantity) over (partition by l_returnflag order by l_quantity) as nx from lineitem)
+    select flag, k::int as k, case when nx is null then x else x + (k * n / 8.0 - rn) * (nx - x) end as edge from x cross join (select unnest(range(9)) as k) where rn = least(floor(k * n / 8.0), n - 1)""",
+)
+def count_bins(spark, d):
+    """Edges with equal numbers of values between them."""
+    return B.count_edges_of(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag"), "flag", "l_quantity", 8)
+
+
 @query(
     "bin_assign_cont",
     """with x as (select distinct l_returnflag as flag, l_quantity as x from lineitem), a as (select *, sum(sqrt(x - p)) over (partition by flag order by x) as area from (select *, coalesce(lag(x) over (partition by flag order by x), x) as p from x)),

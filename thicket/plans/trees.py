@@ -140,10 +140,10 @@ def node_tokens(spark, d):
     return out.select("sample_id", "node_id", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"))
 
 
-@query("best_token", "select sample_id, node_id, token_idx, sub from (select l_orderkey as sample_id, l_linenumber as node_id, token_idx, string_split(p_type, ' ') as w, list_slice(string_split(p_type, ' '), 1, 1 + token_idx % 3) as sub_l, array_to_string(list_slice(string_split(p_type, ' '), 1, 1 + token_idx % 3), ' ') as sub, token_idx % 7 = 0 as special from (select l_orderkey, l_linenumber, l_partkey, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)) - 1 as token_idx from lineitem where l_orderkey <= 500) join part on l_partkey = p_partkey) qualify row_number() over (partition by sample_id, node_id order by special, len(sub_l) desc, length(sub_l[1]) desc, token_idx) = 1")
+@query("best_token", "select sample_id, node_id, token_idx, sub from (select l_orderkey as sample_id, l_linenumber as node_id, token_idx, string_split(p_type, ' ') as w, list_slice(string_split(p_type, ' '), 1, 1 + token_idx % 3) as sub_l, array_to_string(list_slice(string_split(p_type, ' '), 1, 1 + token_idx % 3), ' ') as sub, token_idx % 7 = 0 as special from (select l_orderkey, l_linenumber, l_partkey, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)) - 1 as token_idx from lineitem ) join part on l_partkey = p_partkey) qualify row_number() over (partition by sample_id, node_id order by special, len(sub_l) desc, length(sub_l[1]) desc, token_idx) = 1")
 def best_token(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = table(spark, d, "lineitem").where("l_orderkey <= 500").withColumn("token_idx", (F.row_number().over(w) - 1).cast("bigint"))
+    rows = table(spark, d, "lineitem").withColumn("token_idx", (F.row_number().over(w) - 1).cast("bigint"))
     rows = rows.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     tokens = rows.select(F.col("l_orderkey").alias("sample_id"), "token_idx", F.slice(F.split("p_type", " "), F.lit(1), (1 + F.col("token_idx") % 3).cast("int")).alias("sub_tokens"), (F.col("token_idx") % 7 == 0).alias("special"))
     mapping = rows.select(F.col("l_orderkey").alias("sample_id"), "token_idx", F.col("l_linenumber").alias("node_id"))
@@ -165,10 +165,10 @@ def ast_only(spark, d):
     return n.join(T.degrees(n), ["sample_id", "node_id"]).select("sample_id", "node_id", F.when(F.col("n_children") == 0, F.col("node_type")).otherwise("[DUMMY]").alias("token"))
 
 
-@query("matrix_reindex", f"{_WITH}{_SP}, m as (select sample_id, node_id as token_idx, coalesce(parent_id, 0) as node_id from nodes where node_id < 40) select s.sample_id, a.token_idx as i, b.token_idx as j, s.value from sp s join m a on a.sample_id = s.sample_id and a.node_id = s.i join m b on b.sample_id = s.sample_id and b.node_id = s.j")
+@query("matrix_reindex", f"{_WITH}{_SP}, m as (select sample_id, node_id as token_idx, coalesce(parent_id, 0) as node_id from nodes) select s.sample_id, a.token_idx as i, b.token_idx as j, s.value from sp s join m a on a.sample_id = s.sample_id and a.node_id = s.i join m b on b.sample_id = s.sample_id and b.node_id = s.j")
 def matrix_reindex(spark, d):
     n = nodes(spark, d)
-    mapping = n.where("node_id < 40").select("sample_id", F.col("node_id").alias("token_idx"), F.coalesce("parent_id", F.lit(0)).alias("node_id"))
+    mapping = n.select("sample_id", F.col("node_id").alias("token_idx"), F.coalesce("parent_id", F.lit(0)).alias("node_id"))
     return T.reindexed(T.shortest_paths(T.closure(n, 4)), mapping)
 
 
@@ -206,11 +206,11 @@ def root_path(spark, d):
     return T.root_paths(up(spark, d)).select("sample_id", "node", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
 
 
-@query("lca_split", f"{_WITH}{_UP}, c as (select a.sample_id, a.node as v, b.node as u, arg_min(a.ancestor, a.height) as lca, min(a.height) as v_tail, min(b.height) as u_tail from up a join up b using (sample_id, ancestor) where a.node < b.node and a.node % 7 = 1 group by 1, 2, 3) select sample_id, v, u, lca, v_tail, u_tail from c")
+@query("lca_split", f"{_WITH}{_UP}, c as (select a.sample_id, a.node as v, b.node as u, arg_min(a.ancestor, a.height) as lca, min(a.height) as v_tail, min(b.height) as u_tail from up a join up b using (sample_id, ancestor) where a.node < b.node group by 1, 2, 3) select sample_id, v, u, lca, v_tail, u_tail from c")
 def lca_split(spark, d):
     """Two root paths cut at their last common node."""
     p = T.root_paths(up(spark, d))
-    a, b = p.where("node % 7 = 1").select("sample_id", F.col("node").alias("v"), F.col("path").alias("vp")), p.select("sample_id", F.col("node").alias("u"), F.col("path").alias("up"))
+    a, b = p.select("sample_id", F.col("node").alias("v"), F.col("path").alias("vp")), p.select("sample_id", F.col("node").alias("u"), F.col("path").alias("up"))
     k = T.common_prefix(F.col("vp"), F.col("up"))
     out = a.join(b, "sample_id").where("v < u").withColumn("k", k)
     return out.select("sample_id", "v", "u", F.element_at("vp", F.col("k")).alias("lca"), (F.size("vp") - F.col("k")).alias("v_tail"), (F.size("up") - F.col("k")).alias("u_tail"))
@@ -263,6 +263,27 @@ def html_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "sample_id bigint, node_id int, parent_id int, node_type string")
 
 
+@query("tree_surroundings", f"{_WITH}{_UP}, l as (select n.sample_id, n.node_id, count(c.node_id) = 0 as leaf from nodes n left join nodes c on c.sample_id = n.sample_id and c.parent_id = n.node_id group by 1, 2) select u.sample_id, u.ancestor as node, (select count(*) - 1 from up a where a.sample_id = u.sample_id and a.node = u.ancestor) as n_ancestors, count(*) - 1 as n_descendants, count(*) filter (where leaf) as n_leaves from up u join l on l.sample_id = u.sample_id and l.node_id = u.node group by u.sample_id, u.ancestor")
+def tree_surroundings(spark, d):
+    """Nodes above and below each node, and leaves below it."""
+    n = nodes(spark, d)
+    return T.surroundings(T.closure(n, 4), n)
+
+
+@query("tree_size_filter", f"with {_NODES} select sample_id, count(*) as n from nodes group by 1 having count(*) <= 40")
+def tree_size_filter(spark, d):
+    """Trees of at most 40 nodes."""
+    from thicket.operators import views as V
+
+    n = nodes(spark, d)
+    return V.small_trees(n, n, 40).groupBy("sample_id").agg(F.count("*").alias("n"))
+
+
+@query("tree_dot", f"with {_NODES} select sample_id, 'digraph {{' || chr(10) || string_agg('  n' || node_id || ' [label=\"' || node_type || '\"];' || case when parent_id is not null then chr(10) || '  n' || parent_id || ' -> n' || node_id || ';' else '' end, chr(10) order by node_id) || chr(10) || '}}' as dot from nodes group by 1")
+def tree_dot(spark, d):
+    return T.dot(nodes(spark, d))
+
+
 @query("html_tag_tree")
 def html_tag_tree(spark, d):
     return html_nodes(table(spark, d, "pages"))

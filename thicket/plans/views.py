@@ -111,15 +111,47 @@ def pad_mask(spark, d):
 
 @query(
     "perm_mask",
-    f"""with {_TOKENS}, s as (select sample_id, pos, case when pos = 0 then 4 when pos % 9 = 5 then 5 else 30 + length(word) end as token, pos % 4 = 1 as target, (pos * 7 + 3) % 31 as perm from t where pos < 16),
+    f"""with {_TOKENS}, s as (select sample_id, pos, case when pos = 0 then 4 when pos % 9 = 5 then 5 else 30 + length(word) end as token, pos % 4 = 1 as target, (pos * 7 + 3) % 31 as perm from t),
     r as (select *, target or token in (4, 5) as hidden, case when target or token in (4, 5) then perm else -1 end as rev from s), o as (select *, case when target then rev else rev + 1 end as own from r)
-    select a.sample_id, a.pos as i, b.pos as j, (a.own <= b.rev and b.hidden)::int as blocked from o a join o b using (sample_id)""",
+    select a.sample_id, a.pos as i, string_agg((a.own <= b.rev and b.hidden)::int::varchar, '' order by b.pos) as mask from o a join o b using (sample_id) group by 1, 2""",
 )
 def perm_mask(spark, d):
-    t = tokens(spark, d).where("pos < 16")
+    """The mask of every position of every turn, a text of 0 and 1 over the positions it may not attend."""
+    t = tokens(spark, d)
     token = F.when(F.col("pos") == 0, 4).when(F.col("pos") % 9 == 5, 5).otherwise(30 + F.length("word"))
     s = t.select("sample_id", "pos", token.alias("token"), (F.col("pos") % 4 == 1).alias("is_target"), ((F.col("pos") * 7 + 3) % 31).alias("perm"))
-    return V.permutation_mask(s)
+    mask = V.permutation_mask(s).groupBy("sample_id", "i").agg(F.array_sort(F.collect_list(F.struct("j", "blocked"))).alias("x"))
+    return mask.select("sample_id", "i", F.array_join(F.transform("x", lambda x: x["blocked"].cast("string")), "").alias("mask"))
+
+
+@query("long_enough", "select conv_id, turn from conversations where len(string_split(text, ' ')) >= 12 and len(string_split(role, 's')) >= 2")
+def long_enough(spark, d):
+    """Samples of twelve words and more with a label of two parts and more."""
+    return V.long_enough(turns(spark, d).withColumn("label", F.split("role", "s")), "words", 12, "label", 2).select("conv_id", "turn")
+
+
+@query("lm_without_punctuation", f"with {_TOKENS}, k as (select sample_id, ((row_number() over (partition by sample_id order by pos)) - 1)::int as new_pos, word from t where regexp_matches(word, '[A-Za-z]') or contains(word, '_') or word = '<unk>') select sample_id, string_agg(word, ' ' order by new_pos) as words from k group by 1 having count(*) >= 5")
+def lm_without_punctuation(spark, d):
+    """Turns without punctuation as samples of a language model: those of five words and more."""
+    kept = V.without_punctuation(tokens(spark, d)).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("new_pos", "word"))).alias("x"))
+    return V.long_enough(kept.select("sample_id", F.col("x.word").alias("words")), "words", 5).select("sample_id", F.array_join("words", " ").alias("words"))
+
+
+@query("attention_view", "with s as (select conv_id, turn, len(string_split(text, ' '))::int as n from conversations), w as (select conv_id, turn, n, max(n) over (partition by conv_id) as width, 5 + turn % 3 as place from s) select conv_id, turn, 'blocked' as kind, unnest(range(n, width))::int as i from w union all select conv_id, turn, 'target', unnest(list_distinct([0, 1, 2, 3, 4, place]))::int from w")
+def attention_view(spark, d):
+    """The turns of a conversation are a batch: which positions are padding, and which are targets."""
+    from pyspark.sql import Window
+
+    n = turns(spark, d).select("conv_id", "turn", F.size("words").alias("n"), (5 + F.col("turn") % 3).cast("int").alias("at"))
+    n = n.withColumn("width", F.max("n").over(Window.partitionBy("conv_id"))).withColumn("sample_id", F.struct("conv_id", "turn"))
+    return V.attention_view(n).select("sample_id.conv_id", "sample_id.turn", "kind", "i")
+
+
+@query("reservoir_sample")
+def reservoir_sample(spark, d):
+    """At most ten lines of each day, by hash."""
+    rows = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day"), "l_orderkey", "l_linenumber", "l_partkey")
+    return V.reservoir(rows, "day", 10, 3, "l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("lm_view")

@@ -125,18 +125,17 @@ def ext_vocab(spark, d):
 
 @query(
     "pointer_resolve",
-    f"""with {_VOCAB}, t as (select conv_id, turn, unnest(string_split(text, ' ')) as w, unnest(range(len(string_split(text, ' ')))) as p from conversations where turn < 2),
-    e as (select conv_id, word, (row_number() over (partition by conv_id order by f)) - 1 + 1000 as ext_id from (select conv_id, w as word, min(p) as f from t where turn = 0 and {_WORD} not in (select word from v) group by 1, 2))
-    select t.conv_id, t.p::int as pos, coalesce(v.id, e.ext_id, 0)::int as id from t left join v on {_WORD} = v.word left join e on e.conv_id = t.conv_id and e.word = t.w where turn = 1""",
+    f"""with {_VOCAB}, t as (select conv_id, turn, unnest(string_split(text, ' ')) as w, unnest(range(len(string_split(text, ' ')))) as p from conversations),
+    e as (select conv_id, turn, word, (row_number() over (partition by conv_id, turn order by f)) - 1 + 1000 as ext_id from (select conv_id, turn, w as word, min(p) as f from t where {_WORD} not in (select word from v) group by 1, 2, 3))
+    select t.conv_id, t.turn, t.p::int as pos, coalesce(v.id, e.ext_id, 0)::int as id from t left join v on {_WORD} = v.word left join e on e.conv_id = t.conv_id and e.turn = t.turn - 1 and e.word = t.w where t.turn > 0""",
 )
 def pointer_resolve(spark, d):
-    """A label's words as vocabulary id, else as pointer to the sample's unknown words, else unknown."""
-    vocab = small_vocab(spark, d)
-    turns = table(spark, d, "conversations").where("turn < 2").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    coded = V.encode(turns, vocab)
-    ext = V.extended_ids(coded.where("turn = 0"), 1000, "conv_id")
-    label = coded.where("turn = 1").join(ext, ["conv_id", "word"], "left")
-    return label.select("conv_id", F.col("pos").cast("int").alias("pos"), F.when(F.col("id") > 0, F.col("id")).otherwise(F.coalesce("ext_id", F.lit(0))).cast("int").alias("id"))
+    """A turn is the label of the one before: its words as vocabulary id, else as pointer to the sample's unknown words, else unknown."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    coded = V.encode(turns, small_vocab(spark, d))
+    ext = V.extended_ids(coded.withColumn("sample_id", F.struct("conv_id", "turn")), 1000)
+    label = coded.where("turn > 0").withColumn("sample_id", F.struct("conv_id", (F.col("turn") - 1).alias("turn"))).join(ext, ["sample_id", "word"], "left")
+    return label.select("conv_id", "turn", F.col("pos").cast("int").alias("pos"), F.when(F.col("id") > 0, F.col("id")).otherwise(F.coalesce("ext_id", F.lit(0))).cast("int").alias("id"))
 
 
 @query("word_hist", "select source, min(n) as lo, max(n) as hi, sum(n)::bigint as total, count(*) as docs from (select source, len(string_split(text, ' ')) as n from documents) group by source")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = "*", app: str = "thicket", **conf: str) -> SparkSession:
@@ -30,6 +32,20 @@ def local_session(cpus: int | str = "*", app: str = "thicket", **conf: str) -> S
     return spark
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one that the cluster names in spark.checkpoint.dir; below a temporary one where the master is local
+    and none is set (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="thicket-scratch-"))
+    path = f"{shared.rstrip('/')}/thicket-{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers once per application.
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from thicket.operators.views import shuffled
 from thicket.schema import RAW_METHOD, RAW_SAMPLE
 
 _PARTITION = r"/([^/]+)/(train|valid|test)/"
@@ -74,13 +75,13 @@ def read_samples(spark: SparkSession, path: str, language: str | list[str] | Non
     return rows if partition is None else rows.where(F.col("partition") == partition)
 
 
-def combined(sources: dict[str, DataFrame], seed: int | None = None) -> DataFrame:
-    """Several languages with a tag, shuffled by a seed."""
+def combined(sources: dict[str, DataFrame], seed: int | None = None, *ids: str) -> DataFrame:
+    """Several languages with a tag; with a seed, in an order of hashes of the seed, the tag and the ids."""
     out = None
     for name, rows in sources.items():
         tagged = rows.withColumn("language", F.lit(name))
         out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
-    return out if seed is None else out.orderBy(F.rand(seed))
+    return out if seed is None else shuffled(out, seed, "language", *ids)
 
 
 def save_table(rows: DataFrame, path: str) -> None:
@@ -96,6 +97,11 @@ def load_config(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
 
 
+def row_count(spark: SparkSession, path: str) -> int:
+    """Rows of a sample table: Parquet's footers have them, no row is read."""
+    return spark.read.parquet(path).count()
+
+
 def write_lines(rows: DataFrame, path: str, column: str = "value") -> None:
     rows.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
@@ -142,10 +148,10 @@ def external_parser(rows: DataFrame, command: list[str], code: str = "code", tim
     return rows.mapInPandas(run, schema)
 
 
-def epochs(rows: DataFrame, n: int, seed: int) -> Iterator[DataFrame]:
-    """The rows in a new order for each of n epochs."""
+def epochs(rows: DataFrame, n: int, seed: int, *ids: str) -> Iterator[DataFrame]:
+    """The rows in a new order for each of n epochs, by hashes of the ids."""
     for k in range(n):
-        yield rows.orderBy(F.rand(seed + k))
+        yield shuffled(rows, seed + k, *ids)
 
 
 def samples_in_order(rows: DataFrame, *order: str) -> Iterator:
