@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each stage's rows as Parquet in the
 shared folder and reads them back as the next one's docs. All but the last return the columns of documents.
+
+Defined cases, in any stage: null and empty texts are documents without words; they are scored, alone in their group, clean and of size
+0. A null doc_id is a document like others, and counts as unlabelled. Repeated rows are one group of near-duplicates, of which one stays; rows that
+share a doc_id but not the text are different documents. A null source is one of the sources, in the last place. Further columns of documents,
+whatever their names, are carried to the last stage, which has its own columns. Empty tables give an empty result; without
+labels of both classes the classifier has nothing to learn and every document stays or goes by its constant score.
 """
 
 from __future__ import annotations
