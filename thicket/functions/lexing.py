@@ -10,6 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,12 +46,17 @@ class Lexeme:
     end: tuple[int, int]
 
 
+@cache
+def _lexer(language: str):
+    return pygments.lexers.get_lexer_by_name(language)
+
+
 def lex(code: str, language: str) -> list[Lexeme]:
     """Tokens of the lexer of that name, with spans."""
     if pygments is None:
         raise PreprocessingError("the lexer package isn't installed")
     out, line, col = [], 1, 1
-    for kind, text in pygments.lex(code, pygments.lexers.get_lexer_by_name(language)):
+    for kind, text in pygments.lex(code, _lexer(language)):
         start = (line, col)
         breaks = text.count("\n")
         line += breaks

@@ -74,7 +74,7 @@ def letters_only(spark, d):
     return names(spark, d).select("name", X.letters_only(F.col("name")).alias("word"))
 
 
-@query("verbose_split")
+@query("verbose_split", f"with {_NAMES}, p as (select name, list_transform(regexp_extract_all(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\\1' || chr(1) || '\\2', 'g'), '\x01?([A-Z]?[a-z]+|[A-Z]+|[0-9]+|.+)', 1), lambda w: replace(w, chr(1), '')) as ws from names) select name, array_to_string(list_filter(ws, lambda w: w <> '_'), '|') as parts from p")
 def verbose_split(spark, d):
     return names(spark, d).select("name", F.array_join(X.split_verbose(F.col("name")), "|").alias("parts"))
 

@@ -1,64 +1,69 @@
-"""Queries over streams, and the two preprocessing stages on small code samples."""
+"""Queries over streams, and the two preprocessing stages."""
 
 from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from thicket.functions.lexing import LexConfig
 from thicket.operators import stages, vocab
 from thicket.plans.registry import query, table
+from thicket.plans.trees import _NODES
 from thicket.streaming import counts as C
 
-_METHODS = [
-    (1, "get_user_name", "def get_user_name(self, userId):\n    # look it up\n    name = self.users[userId]\n    return name + 'x' + \"y\"\n"),
-    (2, "countItems", "def countItems(items):\n    total = 0\n    for item in items:\n        total += 1\n    return total\n"),
-    (3, "flat", "def flat(): return 1\n"),
-]
-
 
 def _vertices(code: str) -> str:
     """A small tree in the vertex dialect: a module, its function, and one node a line."""
     lines = code.splitlines()
-    span = lambda a, b: {"start": {"line": a, "column": 1}, "end": {"line": b, "column": 200}}
+    width = max(map(len, lines), default=0) + 1
+    span = lambda a, b: {"start": {"line": a, "column": 1}, "end": {"line": b, "column": width}}
     vertices = [{"vertexId": 10, "term": "Module", "span": span(1, len(lines))}, {"vertexId": 11, "term": "Function", "span": span(1, len(lines))}]
     vertices += [{"vertexId": 12 + k, "term": "Statement", "span": span(k + 1, k + 1)} for k in range(len(lines))]
     edges = [{"source": 10, "target": 11}] + [{"source": 11, "target": 12 + k} for k in range(len(lines))]
     return json.dumps({"files": [{"path": "f", "vertices": vertices, "edges": edges, "errors": []}]})
 
 
-def sample_stage(spark) -> stages.Stage1:
-    methods = spark.createDataFrame(_METHODS, "sample_id bigint, func_name string, code string")
-    asts = spark.createDataFrame([(k, _vertices(code)) for k, _, code in _METHODS], "sample_id bigint, ast string")
-    return stages.stage1(methods, asts, LexConfig("python"))
+@F.pandas_udf(StringType())
+def vertices(code: pd.Series) -> pd.Series:
+    return code.map(_vertices)
+
+
+def sample_stage(spark, d: str) -> stages.Stage1:
+    """Turns of conversations as methods, with a small tree each."""
+    # a lexer's work is much for a row's bytes, so rows are dealt out to all cores
+    turns = table(spark, d, "conversations").where("text is not null").repartition(spark.sparkContext.defaultParallelism, "conv_id", "turn")
+    methods = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("sample_id"), F.concat("role", F.lit("_turn"), "turn").alias("func_name"), F.col("text").alias("code"))
+    return stages.stage1(methods, methods.select("sample_id", vertices("code").alias("ast")), LexConfig("python", allow_flat=True))
 
 
 @query("stage1_tokens")
 def stage1_tokens(spark, d):
-    return sample_stage(spark).tokens
+    return sample_stage(spark, d).tokens
 
 
 @query("stage1_map")
 def stage1_map(spark, d):
-    return sample_stage(spark).token_map
+    return sample_stage(spark, d).token_map
 
 
 @query("stage2_ids")
 def stage2_ids(spark, d):
-    s = sample_stage(spark)
+    s = sample_stage(spark, d)
     words = vocab.vocabulary(stages.counters(s).where("kind = 'token'").select("word", "cnt"), 1000, 1)
     return stages.stage2(s, words, 8, 3, 4)[0]
 
 
 @query("stage2_bins")
 def stage2_bins(spark, d):
-    s = sample_stage(spark)
+    s = sample_stage(spark, d)
     words = vocab.vocabulary(stages.counters(s).where("kind = 'token'").select("word", "cnt"), 1000, 1)
     return stages.stage2(s, words, 8, 3, 4)[1]
 
 
-@query("java_ast_nodes")
+@query("java_ast_nodes", f"with {_NODES} select sample_id, node_id, parent_id, case when parent_id is not null then (row_number() over (partition by sample_id, parent_id order by node_id) - 1)::int end as child_idx, case node_type when 'Empty' then 'Supplier' else node_type end as node_type from nodes")
 def java_ast_nodes(spark, d):
     """The recursive dialect: a region with its nations and suppliers as nested JSON."""
     from thicket.operators.tree import from_nested

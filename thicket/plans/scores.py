@@ -189,10 +189,10 @@ def label_smoothing(spark, d):
     return rows.select("vec_id", M.smoothed_loss(F.col("e"), (F.col("label") % F.size("e")).cast("int"), 0.1).alias("loss"))
 
 
-@query("positional_encoding", "select k::int as k, x::int as x, case when k < 4 then sin(x / pow(10000, 2 * k / 8.0)) else cos(x / pow(10000, 2 * (k - 4) / 8.0)) end as v from (select unnest(range(8)) as k) cross join (select unnest([-2, 0, 1, 5]) as x)")
+@query("positional_encoding", "select k::int as k, x::int as x, case when k < 4 then sin(x / pow(10000, 2 * k / 8.0)) else cos(x / pow(10000, 2 * (k - 4) / 8.0)) end as v from (select unnest(range(8)) as k) cross join (select distinct l_linenumber - 3 as x from lineitem)")
 def positional_encoding(spark, d):
-    """Sines, then cosines, of bin edges at geometric wave lengths."""
-    x = spark.createDataFrame([(v,) for v in (-2, 0, 1, 5)], "x int")
+    """Sines, then cosines, of places at geometric wave lengths."""
+    x = table(spark, d, "lineitem").select((F.col("l_linenumber") - 3).alias("x")).distinct()
     angle = lambda f: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: f(F.col("x") / F.pow(F.lit(10000.0), 2 * k / 8)))
     return x.select("x", F.posexplode(F.concat(angle(F.sin), angle(F.cos))).alias("k", "v")).select(F.col("k").cast("int").alias("k"), "x", "v")
 

@@ -216,11 +216,11 @@ def lca_split(spark, d):
     return out.select("sample_id", "v", "u", F.element_at("vp", F.col("k")).alias("lca"), (F.size("vp") - F.col("k")).alias("v_tail"), (F.size("up") - F.col("k")).alias("u_tail"))
 
 
-@query("coo_roundtrip", "with g as (select a.v as i, b.v as j, case when (a.v * b.v) % 3 = 0 then a.v + b.v else 0 end as value from (select unnest(range(12))::int as v) a, (select unnest(range(12))::int as v) b) select i, j, value::int as value from g")
+@query("coo_roundtrip", "with c as (select s_nationkey as i, (s_suppkey % 12)::int as j, count(*) as value from supplier group by 1, 2) select n_nationkey as i, g.j, coalesce(value, 0) as value from nation cross join (select unnest(range(12))::int as j) g left join c on c.i = n_nationkey and c.j = g.j")
 def coo_roundtrip(spark, d):
-    """A dense matrix as (i, j, v) of its nonzero cells and back."""
-    grid = spark.range(12).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("j"))
-    sparse = grid.withColumn("value", F.when((F.col("i") * F.col("j")) % 3 == 0, F.col("i") + F.col("j")).otherwise(0)).where("value <> 0")
+    """A dense matrix from (i, j, v) of its nonzero cells."""
+    sparse = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("i"), (F.col("s_suppkey") % 12).cast("int").alias("j")).agg(F.count("*").alias("value"))
+    grid = table(spark, d, "nation").select(F.col("n_nationkey").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("j"))
     return grid.join(sparse, ["i", "j"], "left").select("i", "j", F.coalesce("value", F.lit(0)).alias("value"))
 
 
