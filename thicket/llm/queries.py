@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thicket.llm import contamination, mixing, substrings, warc
+from thicket.llm import contamination, mixing, substrings, vectors, warc
 from thicket.llm.audio import op1_media_audio
 from thicket.llm.contamination import op4_decontamination
 from thicket.llm.licenses import op10_licenses
@@ -11,7 +11,9 @@ from thicket.llm.neardup import op3_near_duplicates
 from thicket.llm.pitman_yor import op8_pitman_yor
 from thicket.llm.quality import op2_quality
 from thicket.llm.substrings import op5_substring_dedup
+from thicket.llm.tokenfiles import op11_token_files
 from thicket.llm.tokens import op6_token_counts
+from thicket.llm.vectors import op13_vector_codes
 from thicket.llm.warc import op7_warc
 
 QUERIES = {
@@ -25,10 +27,13 @@ QUERIES = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_mixing": op9_mixing,
     "op10_licenses": op10_licenses,
+    "op11_token_files": op11_token_files,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": contamination.ORACLE_SQL,
     "op5_substring_dedup": substrings.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op13_vector_codes": vectors.ORACLE_SQL,
 }
