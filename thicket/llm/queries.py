@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from thicket.llm import contamination, mixing, substrings, vectors, warc
+from thicket.llm import contamination, mixing, phrases, substrings, vectors, warc
 from thicket.llm.audio import op1_media_audio
 from thicket.llm.contamination import op4_decontamination
 from thicket.llm.licenses import op10_licenses
 from thicket.llm.mixing import op9_mixing
 from thicket.llm.neardup import op3_near_duplicates
+from thicket.llm.phrases import op12_phrases
 from thicket.llm.pitman_yor import op8_pitman_yor
 from thicket.llm.quality import op2_quality
 from thicket.llm.substrings import op5_substring_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_licenses": op10_licenses,
     "op11_token_files": op11_token_files,
+    "op12_phrases": op12_phrases,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -35,5 +37,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": substrings.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op12_phrases": phrases.ORACLE_SQL,
     "op13_vector_codes": vectors.ORACLE_SQL,
 }
