@@ -1,20 +1,22 @@
 """Code text to tokens: lexing with spans, cleaning, masking, indentation, sub-tokens.
 
-Sequential rules of one text, so they are Python on one text; `tokenized` runs them in Arrow-backed batches over a
-DataFrame. Filters are functions list -> list, and further ones can be passed in. The lexer package is optional.
+A lexer's own rules are sequential, so `lexed` runs them in Arrow-backed batches; what follows (masks, indentation, parts of
+names) are windows and columns over rows of lexemes, in `operators.lexemes`. The lexer package is optional.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from thicket.functions.text import sub_tokens
+from thicket.operators import lexemes as L
 from thicket.schema import NUM_SUB_TOKENS
 
 try:
@@ -23,7 +25,7 @@ try:
 except ImportError:  # lexing is then not available; everything else is
     pygments = None
 
-STRING, NUMBER, COMMENT, DOC, BLOCK, NAME = "Token.Literal.String", "Token.Literal.Number", "Token.Comment", "Token.Literal.String.Doc", "Token.Comment.Multiline", "Token.Name"
+COMMENT, DOC, BLOCK = "Token.Comment", "Token.Literal.String.Doc", "Token.Comment.Multiline"
 _CAMEL = re.compile("[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 
 
@@ -85,75 +87,6 @@ def collapse_empty_lines(code: str) -> str:
     return "".join(x for k, x in enumerate(lines) if not (k and x.isspace() and lines[k - 1].isspace()))
 
 
-def mask_strings(tokens: Iterable[Lexeme], mask: str = "[MASK_STRING]") -> Iterable[Lexeme]:
-    """A run of string tokens becomes one mask over its span; a run at the very end is dropped."""
-    run: list[Lexeme] = []
-    for t in tokens:
-        if is_kind(t.kind, STRING):
-            run.append(t)
-            continue
-        if run:
-            yield Lexeme(mask, STRING, run[0].start, run[-1].end)
-            run = []
-        yield t
-
-
-def mask_numbers(tokens: Iterable[Lexeme], mask: str = "[MASK_NUMBER]") -> Iterable[Lexeme]:
-    return (replace(t, text=mask) if is_kind(t.kind, NUMBER) else t for t in tokens)
-
-
-def drop_spaces(tokens: Iterable[Lexeme]) -> Iterable[Lexeme]:
-    return (t for t in tokens if t.text != " ")
-
-
-def indent_style(code: str) -> int | None:
-    """The commonest change of indentation between neighbouring lines with text, the smallest on ties."""
-    depth = [len(x) - len(x.lstrip()) for x in code.splitlines() if not x.isspace()]
-    steps = Counter(abs(a - b) for a, b in zip(depth, depth[1:], strict=False) if a != b)
-    return min(steps, key=lambda s: (-steps[s], s)) if steps else None
-
-
-def indent(tokens: Iterable[Lexeme], code: str, fix_first: bool = True, allow_flat: bool = False) -> Iterable[Lexeme]:
-    """[INDENT] and [DEDENT] tokens where the indentation changes by whole steps; other space at line starts goes.
-
-    fix_first: the first change below line 1 counts as one step. Without any change of indentation the text is an
-    error, or passes with only its line ends left of its space.
-    """
-    style = indent_style(code)
-    if style is None:
-        if not allow_flat:
-            raise PreprocessingError("no indentation to tell the style from")
-        for t in tokens:
-            if not t.text.isspace():
-                yield t
-            elif "\n" in t.text:
-                yield replace(t, text="\n")
-        return
-    at_start, level, depth, first = True, 0, 0, fix_first
-    for t in tokens:
-        if t.text.isspace():
-            if "\n" in t.text:
-                pieces = t.text.splitlines()
-                at_start, depth = True, len(pieces[-1])
-                yield replace(t, text="\n".join([*pieces[:-1], ""]) if len(pieces) > 1 else "\n")
-            elif at_start:
-                depth += len(t.text)
-            continue
-        if at_start:
-            change = depth - level
-            if change % style == 0:
-                if first and t.start[0] > 1:
-                    change, first = style, False
-                steps, line = abs(change) // style, t.start[0]
-                for k in range(steps):
-                    span = ((line, k * style + 1), (line, (k + 1) * style + 1)) if change > 0 else ((line, 1), (line, 1))
-                    mark = "[INDENT]" if change > 0 else "[DEDENT]"
-                    yield Lexeme(mark, mark, *span)
-                level = depth
-            at_start = False
-        yield t
-
-
 def split_identifier(name: str) -> list[str]:
     """Parts of a name, lower-cased; the name itself where there are none."""
     return [w.lower() for part in name.split("_") if part for w in _CAMEL.findall(part)] or [name]
@@ -161,43 +94,52 @@ def split_identifier(name: str) -> list[str]:
 
 @dataclass(frozen=True)
 class LexConfig:
+    """code_filters: text -> text, in the workers, after cleaning. token_filters: rows of lexemes -> rows, as `operators.lexemes` has them."""
+
     language: str
     allow_flat: bool = False
     num_sub_tokens: int = NUM_SUB_TOKENS
     code_filters: tuple[Callable[[str], str], ...] = ()
-    token_filters: tuple[Callable[[list[Lexeme]], Iterable[Lexeme]], ...] = field(default=())
-
-
-def process(code: str, config: LexConfig) -> tuple[str, list[tuple[list[str], Lexeme]]]:
-    """The cleaned text and its tokens with their parts."""
-    code = collapse_empty_lines(blank_comments(code, config.language))
-    for f in config.code_filters:
-        code = f(code)
-    tokens: Iterable[Lexeme] = mask_numbers(mask_strings(lex(code, config.language)))
-    tokens = drop_spaces(indent(tokens, code, allow_flat=config.allow_flat))
-    for g in config.token_filters:
-        tokens = g(list(tokens))
-    return code, [((split_identifier(t.text) if is_kind(t.kind, NAME) else [t.text])[: config.num_sub_tokens], t) for t in tokens]
+    token_filters: tuple[Callable[[DataFrame], DataFrame], ...] = field(default=())
 
 
-TOKENS = "array<struct<sub_tokens: array<string>, token_type: string, span: struct<start: struct<line: int, col: int>, end: struct<line: int, col: int>>>>"
+LEXEMES = "array<struct<text: string, kind: string, start: struct<line: int, col: int>, end: struct<line: int, col: int>>>"
 
 
-def tokenized(rows: DataFrame, config: LexConfig, code: str = "code") -> DataFrame:
-    """rows with clean_code, tokens and error: a text that fails has null tokens and the reason, and harms no other."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", clean_code string, tokens {TOKENS}, error string"
+def lexed(rows: DataFrame, config: LexConfig, code: str = "code") -> DataFrame:
+    """rows with clean_code and lexemes. This is all that needs the lexer's own rules, and so Python."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", clean_code string, lexemes {LEXEMES}"
+    place = lambda p: {"line": p[0], "col": p[1]}
 
     def run(frames):
         for frame in frames:
             out = []
             for text in frame[code]:
-                try:
-                    clean, tokens = process(text or "", config)
-                    place = lambda p: {"line": p[0], "col": p[1]}
-                    out.append((clean, [{"sub_tokens": w, "token_type": t.kind, "span": {"start": place(t.start), "end": place(t.end)}} for w, t in tokens], None))
-                except PreprocessingError as e:
-                    out.append((None, None, str(e)))
-            done = pd.DataFrame(out, columns=["clean_code", "tokens", "error"], index=frame.index)
+                clean = collapse_empty_lines(blank_comments(text or "", config.language))
+                for f in config.code_filters:
+                    clean = f(clean)
+                out.append((clean, [{"text": t.text, "kind": t.kind, "start": place(t.start), "end": place(t.end)} for t in lex(clean, config.language)]))
+            done = pd.DataFrame(out, columns=["clean_code", "lexemes"], index=frame.index)
             yield pd.concat([frame, done], axis=1)
 
     return rows.mapInPandas(run, schema)
+
+
+def tokenized(rows: DataFrame, config: LexConfig, code: str = "code") -> DataFrame:
+    """rows (by sample_id) with clean_code, tokens and error: string runs and numbers masked, indentation marked, names in parts.
+    A text without a change of indentation has null tokens and the reason, unless allow_flat, and harms no other."""
+    done = lexed(rows, config, code)
+    lexemes = done.select(L.S, F.posexplode("lexemes").alias("idx", "t")).select(L.S, F.col("idx").cast("bigint").alias("idx"), "t.text", "t.kind", "t.start", "t.end")
+    styles = L.indent_styles(done.select(L.S, "clean_code"), "clean_code")
+    out = L.drop_spaces(L.indented(L.mask_numbers(L.mask_strings(lexemes)), styles, allow_flat=config.allow_flat))
+    for g in config.token_filters:
+        out = g(out)
+    token = F.struct(sub_tokens(F.col("text"), F.col("kind"), config.num_sub_tokens).alias("sub_tokens"), F.col("kind").alias("token_type"), F.struct("start", "end").alias("span"))
+    lists = out.select(L.S, F.struct("idx", token.alias("t")).alias("x")).groupBy(L.S).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]).alias("_tokens"))
+    joined = done.drop("lexemes").join(lists, L.S, "left").join(styles.withColumnRenamed("style", "_style"), L.S, "left")
+    fails = F.col("_style").isNull() & F.lit(not config.allow_flat)
+    none = F.array().cast(TOKENS)
+    return joined.withColumns({"tokens": F.when(~fails, F.coalesce("_tokens", none)), "error": F.when(fails, "no indentation to tell the style from")}).drop("_tokens", "_style")
+
+
+TOKENS = "array<struct<sub_tokens: array<string>, token_type: string, span: struct<start: struct<line: int, col: int>, end: struct<line: int, col: int>>>>"
