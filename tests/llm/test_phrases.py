@@ -70,7 +70,7 @@ def found(spark, rows, p, **sizes):
     return sorted(tuple(r) for r in out.collect())
 
 
-@pytest.mark.parametrize(("seed", "least", "sizes"), [(1, 8, {}), (2, 3, {"chunk_bytes": 700, "held": 40, "split": 50}), (3, 2, {"chunk_bytes": 3000, "held": 7, "split": 3})])
+@pytest.mark.parametrize(("seed", "least", "sizes"), [(1, 8, {}), (2, 3, {"chunk_bytes": 700, "shard_bytes": 1500, "held": 40, "split": 50}), (3, 2, {"chunk_bytes": 3000, "shard_bytes": 900, "held": 7, "most": 5, "split": 3})])
 def test_equals_brute_force(spark, seed, least, sizes):
     rows = made(seed) + [(t, "en") for _, t, *_ in edge_rows()]
     assert found(spark, rows, P.PhraseParams(least=least), **sizes) == sorted(plain(rows, least, 2000))

@@ -6,13 +6,14 @@ rarer word the larger one, which goes back to the chunks.
 
 Each occurrence of a word w is then a pivot: its fragment is what stands around it, as far as words are at most as rare as w (to the
 left rarer or equal ones end it, to the right rarer ones alone) and as a phrase with w can reach. Equal fragments of a
-chunk are one, with a count. Fragments are routed to their pivot's partition, which counts the n-grams that hold
-the pivot's place. So an n-gram's occurrence is in one fragment only, that of the first occurrence of its rarest word; no other partition
+chunk are one, with a count. Fragments are routed to their pivot's shard, as one packed message from a chunk; the shard counts the n-grams
+that hold the pivot's place. So an n-gram's occurrence is in one fragment only, that of the first occurrence of its rarest word; no other shard
 emits it, and what is frequent is known without further exchange. Frequent words have short fragments, as few words
 are more frequent, so the many occurrences of a hot word cost little.
 
-A partition reads its fragments in the order of pivots and holds `HELD` of them at most. A pivot with more than that, and one with more than `SPLIT`
-occurrences, which is dealt to several partitions, gives partial counts, which are added up before the threshold holds.
+The number of shards follows the bytes of text, and a chunk sends at most one message for each of its pivots, however many shards there are. A task counts
+`HELD` fragments at once. Pivots with more than `SPLIT` occurrences, which are dealt to several shards, and shards that would
+hold more than `MOST` n-grams give partial counts, which are added up before the threshold holds.
 
 A candidate's score compares its count with those of its two parts at the weakest cut; candidates inside a longer one that
 is (nearly) as frequent are dropped. Products are decimals of 38 digits, so they are exact.
@@ -37,10 +38,12 @@ from thicket.llm import _words as W
 from thicket.llm._store import discard, written
 from thicket.session import ship
 
-#: Fragments that a mining task holds, and occurrences from which a pivot is dealt to several tasks.
-HELD = 200_000
+#: Fragments that a mining task counts at once, n-grams that it holds, and occurrences from which a pivot is dealt to several tasks.
+HELD = 100_000
+MOST = 4_000_000
 SPLIT = 1 << 22
-PARTITION_BYTES = 16 << 20
+#: Bytes of text whose fragments are a shard's.
+SHARD_BYTES = 16 << 20
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -167,80 +170,92 @@ def mined(rows: np.ndarray, counts: np.ndarray, longest: int) -> pa.Table:
     return out.rename_columns([{"n_sum": "f"}.get(c, c) for c in out.column_names])
 
 
-def _route(answered: DataFrame, p: PhraseParams) -> DataFrame:
-    """(pivot, salt, whole, blob): the fragments of each pivot of each chunk."""
+def _shard(pivot: np.ndarray, salt: np.ndarray | int, n: int) -> np.ndarray:
+    return (W.mix(pivot.astype(np.uint64) | np.asarray(salt).astype(np.uint64) << np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
+
+def _route(answered: DataFrame, p: PhraseParams, n: int) -> DataFrame:
+    """(shard, whole, size, blob): the fragments of a chunk for each shard; those of pivots that are dealt to several shards apart."""
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
-                size = row.column("size")[0].as_py()
+                size, chunk = (row.column(c)[0].as_py() for c in ("size", "chunk"))
                 got = row.column("got").flatten()
                 pos, ids, salts = (got.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "id", "salts"))
                 local = C.unpack_plain(row.column("sequence")[0].as_py(), size, np.uint32) if size else np.zeros(0, np.uint32)
                 number = np.zeros(max(int(local.max(initial=0)), int(pos.max(initial=-1)) + 1) + 1, np.int32)
                 number[pos + 1] = ids
-                dealt = dict(zip(ids[salts > 1].tolist(), salts[salts > 1].tolist(), strict=True))
                 matrix, counts = fragments(number[local], p.longest)
                 if not len(matrix):
                     continue
-                pivots = matrix[:, p.longest - 1]
-                cuts = C.cuts(pivots)
-                data = np.concatenate([matrix, counts[:, None]], axis=1).astype("<i4").tobytes()
-                width = 4 * (matrix.shape[1] + 1)
-                chunk = row.column("chunk")[0].as_py()
-                names = [x for x, _, _ in cuts]
-                salt = [W.mix(np.array([chunk], np.uint64))[0] % np.uint64(dealt[x]) if x in dealt else 0 for x in names]
-                blobs = [data[a * width : b * width] for _, a, b in cuts]
-                for k in range(0, len(names), 1000):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[k : k + 1000], pa.int32()), pa.array([int(x) for x in salt[k : k + 1000]], pa.int32()), pa.array([x not in dealt for x in names[k : k + 1000]]), pa.array(blobs[k : k + 1000], pa.binary())],
-                        names=["pivot", "salt", "whole", "blob"],
-                    )
-
-    return answered.mapInArrow(run, "pivot int, salt int, whole boolean, blob binary")
-
-
-def _mine(routed: DataFrame, p: PhraseParams, held: int) -> DataFrame:
-    """(g, f): n-grams with their counts, or partial ones where a pivot's fragments were read in several goes."""
+                pivot = matrix[:, p.longest - 1]
+                order = np.argsort(ids)
+                dealt = salts[order][np.searchsorted(ids[order], pivot)]
+                salt = W.mix(np.array([chunk], np.uint64))[0] % dealt.astype(np.uint64)
+                key = _shard(pivot, salt, n) * 2 + (dealt == 1)
+                order = np.argsort(key, kind="stable")
+                data = np.concatenate([matrix, counts[:, None]], axis=1)[order]
+                found = C.cuts(key[order])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k // 2 for k, _, _ in found], pa.int64()), pa.array([k % 2 == 1 for k, _, _ in found]), pa.array([b - a for _, a, b in found], pa.int64()), pa.array([C.pack_plain(data[a:b].T.ravel()) for _, a, b in found], pa.binary())],
+                    names=["shard", "whole", "size", "blob"],
+                )
+
+    return answered.mapInArrow(run, "shard bigint, whole boolean, size bigint, blob binary")
+
+
+def _mine(routed: DataFrame, p: PhraseParams, held: int, most: int) -> DataFrame:
+    """(g, f): the frequent n-grams of each shard; of pivots in several shards, and of a shard with more than `most` n-grams, partial counts."""
     width = 2 * p.longest
+    names = [f"w{k}" for k in range(p.longest)]
 
     def run(batches):
-        blobs, size, partial, last = [], 0, set(), None
-
-        def out(more: bool):
-            nonlocal blobs, size, partial
-            if more:
-                partial.add(last)  # what is left of this pivot comes later
-            rows = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, width)
-            table = mined(rows[:, :-1], rows[:, -1], p.longest)
-            f, pivot = table.column("f").to_numpy(), table.column("pivot").to_numpy()
-            keep = (f >= p.least) | np.isin(pivot, np.array(sorted(partial), np.int64))
-            matrix = np.stack([table.column(f"w{k}").to_numpy() for k in range(p.longest)], axis=1)[keep]
-            lengths = (matrix > 0).sum(axis=1)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix[matrix > 0], pa.int32()))
-            blobs, size, partial = [], 0, {last} if more else set()
-            return pa.RecordBatch.from_arrays([grams, pa.array(f[keep])], names=["g", "f"])
+        rows, size, table, partial, last = [], 0, None, False, None
+
+        def add() -> None:
+            nonlocal rows, size, table
+            if rows:
+                data = np.concatenate(rows)
+                new = mined(data[:, :-1], data[:, -1], p.longest)
+                if table is not None:
+                    new = pa.concat_tables([table, new]).group_by([*names, "pivot"]).aggregate([("f", "sum")]).rename_columns([*names, "pivot", "f"])
+                rows, size, table = [], 0, new
+
+        def out(every: bool):
+            nonlocal table
+            f = table.column("f").to_numpy()
+            keep = np.ones(len(f), bool) if every else f >= p.least
+            matrix = np.stack([table.column(c).to_numpy() for c in names], axis=1)[keep]
+            table = None
+            for k in range(0, len(matrix), 50_000):
+                some = matrix[k : k + 50_000]
+                offsets = np.concatenate([[0], np.cumsum((some > 0).sum(axis=1))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(some[some > 0], pa.int32())), pa.array(f[keep][k : k + 50_000])], names=["g", "f"])
 
         for batch in batches:
-            for pivot, whole, blob in zip(*(batch.column(c).to_pylist() for c in ("pivot", "whole", "blob")), strict=True):
-                for k in range(0, len(blob), held * width * 4):
-                    some = blob[k : k + held * width * 4]
-                    if blobs and size + len(some) > held * width * 4:
-                        yield out(pivot == last)
-                    blobs.append(some)
-                    size += len(some)
-                    last = pivot
-                    if not whole:
-                        partial.add(pivot)
-        if blobs:
-            yield out(False)
+            for shard, whole, n, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "whole", "size", "blob")), strict=True):
+                if (shard, whole) != last:
+                    add()
+                    if table is not None:
+                        yield from out(partial)
+                    last, partial = (shard, whole), not whole
+                rows.append(C.unpack_plain(blob, n * width, np.int32).reshape(width, n).T)
+                size += n
+                if size >= held:
+                    add()
+                    if table.num_rows > most:
+                        partial = True
+                        yield from out(True)
+        add()
+        if table is not None:
+            yield from out(partial)
 
     return routed.mapInArrow(run, "g array<int>, f bigint")
 
 
-def counted(docs: DataFrame, p: PhraseParams = PhraseParams(), chunk_bytes: int = C.CHUNK_BYTES, held: int = HELD, split: int = SPLIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def counted(docs: DataFrame, p: PhraseParams = PhraseParams(), chunk_bytes: int = C.CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, held: int = HELD, most: int = MOST, split: int = SPLIT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent n-grams (g: ids of words, f), the frequent words (id, lang, word, n), and the words of each lang (lang, total)."""
     spark = docs.sparkSession
     ship(spark)
@@ -249,11 +264,12 @@ def counted(docs: DataFrame, p: PhraseParams = PhraseParams(), chunk_bytes: int
     words = written(vocabulary(chunks, p.least), "phrase-vocabulary")
     known = words.select("lang", "word", "id", (1 + F.floor(F.col("n") / split)).cast("int").alias("salts"))
     places = chunks.select("chunk", F.posexplode("words").alias("pos", "w")).select("chunk", "pos", F.col("w.lang").alias("lang"), F.col("w.word").alias("word"))
-    answers = places.join(known, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("pos", "id", "salts")).alias("got"))
-    routed = _route(chunks.select("chunk", "size", "sequence").join(answers, "chunk"), p)
-    n = max(1, -(-total // PARTITION_BYTES))
-    dealt = routed.repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt")
-    grams = _mine(dealt.select("pivot", "whole", "blob"), p, held).groupBy("g").agg(F.sum("f").alias("f")).where(F.col("f") >= p.least)
+    # merge joins at every size: the words of all chunks, and the chunks, are too many to be sent to every task
+    answers = places.join(known.hint("merge"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("pos", "id", "salts")).alias("got"))
+    n = max(1, -(-total // shard_bytes))
+    routed = _route(chunks.select("chunk", "size", "sequence").hint("merge").join(answers, "chunk"), p, n)
+    dealt = routed.repartition(n, "shard").sortWithinPartitions("shard", "whole")
+    grams = _mine(dealt, p, held, most).groupBy("g").agg(F.sum("f").alias("f")).where(F.col("f") >= p.least)
     out = written(grams, "phrase-grams")
     totals = written(chunks.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("total")), "phrase-totals")
     discard(chunks)
