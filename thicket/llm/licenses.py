@@ -2,11 +2,13 @@
 
 The index holds, for each word of the licence templates, the templates and positions it stands at, and its IDF over the
 templates. Templates are whole texts of the short licences, the notices that files carry for the long ones, and one-line
-mentions. A template comes into question for a file whose words could make up `accept` of its IDF weight. Of these
-templates' words that the file has, the `rare_words` with the highest IDF are looked up; their postings, shifted by the positions in the file, are
+mentions. A template comes into question for a file whose words could make up `accept` of its IDF weight. Of its words
+that the file has, those with the highest IDF are looked up, one after the other until what the rest weighs is below `accept`; so an alignment that
+reaches `accept` agrees in one of them at least, and none is missed. Their postings, shifted by the positions in the file, are
 intersected: each (template, start) that they point at is an alignment, whose other words are compared at the same
 relative positions. An alignment counts if the IDF-weighted share of its words that agree is `accept` or more and
-one of the template's mandatory key phrases stands there whole. score: the largest share of an alignment.
+one of the template's mandatory key phrases stands there whole. score: the largest share of an alignment that reaches `accept`, else 0. Words of equal IDF
+are looked up in the order of the words; that doesn't change what is found.
 
 Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z are lower-cased. Base phrases are found wherever their words
 stand consecutively, and keep their labels whatever the templates say.
@@ -96,7 +98,6 @@ TEMPLATES = (
 class LicenseParams:
     templates: tuple[Template, ...] = TEMPLATES
     base: tuple[tuple[str, str], ...] = BASE
-    rare_words: int = 4  # of a template's that a file has, to be looked up
     accept: float = 0.6
 
 
@@ -168,14 +169,20 @@ def scan(texts: pa.Array, index: Index) -> dict[str, list]:
     for r, k in np.argwhere(bound >= index.p.accept - 1e-6).tolist():
         ids, weight, keys, rare = index.templates[k]
         mine, lo, hi = w[first[r] : first[r + 1]], int(first[r]), int(first[r + 1])
-        chosen = [(word, at) for word, at in rare if present[r, word]][: index.p.rare_words]
+        chosen, left = [], bound[r, k]
+        for word, at in rare:
+            if left < index.p.accept - 1e-6:
+                break
+            if present[r, word]:
+                chosen.append((word, at))
+                left -= index.weights[word, k]
         # of the template, in the words of the file; its ends may lie outside
         starts = np.unique(np.concatenate([(np.flatnonzero(mine == word)[:, None] - at[None, :]).ravel() for word, at in chosen]))
         for some in np.array_split(starts, len(starts) // 4096 + 1):
             where = some[:, None] + np.arange(len(ids))[None, :]
             same = (where >= 0) & (where < len(mine)) & (mine[np.clip(where, 0, len(mine) - 1)] == ids[None, :])
             share = (same * weight).sum(axis=1) / weight.sum()
-            score[r] = max(score[r], share.max())
+            score[r] = max(score[r], share.max() if share.max() >= index.p.accept else 0)
             for s in some[share >= index.p.accept].tolist():
                 # a key may run over the template's end, as "version 3" does, by its own length at most
                 span = np.arange(max(lo, lo + s), min(hi, lo + s + len(ids)))

@@ -339,9 +339,12 @@ def clusters(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """The rows of docs with one document of each group; of rows with equal doc_id and text one stays."""
-    kept = _grouped(docs, p).where("kept").select(F.struct("doc_id", "h").alias("_row"))
-    rows = docs.withColumn("_row", F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h")))
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    kept = _grouped(docs, p).where("kept").select(F.struct("doc_id", "h").alias(row))
+    rows = docs.withColumn(row, F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h")))
+    return rows.join(kept, row, "left_semi").dropDuplicates([row]).drop(row)
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -203,7 +203,7 @@ def repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFram
 
 
 def without_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFrame:
-    """docs with repeated passages removed from text (other texts stay as they are); n_chars, if there, follows."""
+    """docs with repeated passages removed from text (other texts stay as they are); n_chars, if there as a whole number, follows."""
     ship(docs.sparkSession)
     names = docs.columns
 
@@ -218,7 +218,7 @@ def without_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) ->
                     texts[k] = b" ".join(w for w, g in zip(texts[k].encode().split(), mask, strict=True) if not g).decode()
                 columns = {c: part.column(c) for c in names}
                 columns["text"] = pa.array(texts, pa.string())
-                if "n_chars" in columns and len(texts):
+                if "n_chars" in columns and len(texts) and pa.types.is_integer(part.column("n_chars").type):
                     old = part.column("n_chars").to_pylist()
                     columns["n_chars"] = pa.array([len(t) if r else o for t, r, o in zip(texts, removed.tolist(), old, strict=True)], part.column("n_chars").type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
