@@ -69,30 +69,29 @@ def test_lexer_spans():
             assert lines[t.start[0] - 1][t.start[1] - 1 : t.end[1] - 1] == t.text
 
 
-def test_strings_numbers_and_indent():
-    code = "def f(x):\n    y = 'a' \"b\"\n    if y:\n        return 12\n    return y\n"
-    clean, tokens = X.process(code, X.LexConfig("python"))
-    words = [w for p, _ in tokens for w in p]
-    assert words.count("[MASK_NUMBER]") == 1 and words.count("[INDENT]") == 2 and words.count("[DEDENT]") == 1
-    assert "[MASK_STRING]" in words
-
+def samples(spark, *codes):
+    return spark.createDataFrame(list(enumerate(codes)), "sample_id bigint, code string")
 
-def test_a_trailing_string_is_dropped():
-    tokens = [X.Lexeme("a", "Token.Name", (1, 1), (1, 2)), X.Lexeme("'x'", X.STRING, (1, 3), (1, 6))]
-    assert [t.text for t in X.mask_strings(tokens)] == ["a"]
 
-
-def test_flat_texts():
-    with pytest.raises(X.PreprocessingError):
-        X.process("x = 1\n", X.LexConfig("python"))
-    assert X.process("x = 1\n", X.LexConfig("python", allow_flat=True))[1]
+def test_strings_numbers_and_indent(spark):
+    code = "def f(x):\n    y = 'a' \"b\"\n    if y:\n        return 12\n    return y\n"
+    row = X.tokenized(samples(spark, code), X.LexConfig("python")).first()
+    words = [w for t in row.tokens for w in t.sub_tokens]
+    assert words.count("[MASK_NUMBER]") == 1 and words.count("[INDENT]") == 2 and words.count("[DEDENT]") == 1
+    assert "[MASK_STRING]" in words and " " not in words and row.clean_code == code
+    assert row.tokens[0].span == ((1, 1), (1, 4)) and row.tokens[0].sub_tokens == ["def"]
 
 
-def test_indent_style_ties_take_the_smaller():
-    assert X.indent_style("a\n  b\nc\n    d\ne\n") == 2 and X.indent_style("a\nb\n") is None
+def test_flat_and_faulty_texts(spark):
+    df = samples(spark, "def f():\n    return 1\n", "x = 1\n", None)
+    got = {r.sample_id: r for r in X.tokenized(df, X.LexConfig("python")).collect()}
+    assert got[0].tokens and got[0].error is None and got[1].tokens is None and got[1].error and got[2].error
+    flat = {r.sample_id: r for r in X.tokenized(df, X.LexConfig("python", allow_flat=True)).collect()}
+    assert flat[0].tokens == got[0].tokens and flat[1].tokens and len(flat[2].tokens) <= 1 and not any(r.error for r in flat.values())
 
 
-def test_a_faulty_text_harms_no_other(spark):
-    df = spark.createDataFrame([(1, "def f():\n    return 1\n"), (2, "x"), (3, None)], "k int, code string")
-    got = {r.k: r for r in X.tokenized(df, X.LexConfig("python")).collect()}
-    assert got[1].tokens and got[1].error is None and got[2].tokens is None and got[2].error
+def test_own_filters(spark):
+    upper = lambda code: code.upper()
+    no_names = lambda rows: rows.where("text <> 'Y'")
+    row = X.tokenized(samples(spark, "y\n  z\n"), X.LexConfig("python", code_filters=(upper,), token_filters=(no_names,))).first()
+    assert row.clean_code == "Y\n  Z\n" and [w for t in row.tokens for w in t.sub_tokens if w.isalpha()] == ["z"]

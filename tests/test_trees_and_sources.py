@@ -134,7 +134,7 @@ def test_foreach_batch_counts_once(spark, tmp_path):
 
 
 def test_streamed_sessions(spark, small):
-    out = C.run_to_end(C.sessions(C.events(spark, f"{small}/events.parquet")), "sessions_test")
+    out = C.run_to_end(C.sessions(C.events(spark, f"{small}/events.parquet")), "sessions_test", mode="complete")
     assert out.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{small}/events.parquet").count()
 
 

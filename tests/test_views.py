@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -38,7 +39,10 @@ def test_batches_windows_and_chunks(rows):
     batch = {r.k: r.batch for r in V.batches(df, "part", 7, "x", "k").collect()}
     assert batch == {k: i // 7 for k, i in place.items()}
     out = V.chunk_shuffled(df, "part", "x", 8, 5, "k").collect()
-    assert all(r.chunk == place[r.k] // 8 for r in out)
+    by_hash = lambda k: hashlib.md5(f"5:{k}".encode()).hexdigest()[:13]
+    sorted_ = {part: sorted((r for r in data if r[0] == part), key=lambda r: (r[1] + int(by_hash(r[2]), 16) / 2**52, r[2])) for part in order}
+    among = {r[2]: i for part in sorted_.values() for i, r in enumerate(part)}
+    assert all(r.chunk == among[r.k] // 8 for r in out)
     for part in order:
         own = sorted((r for r in out if r.part == part), key=lambda r: r.place)
         assert [r.place for r in own] == list(range(len(own)))

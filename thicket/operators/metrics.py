@@ -210,3 +210,31 @@ def smoothed_loss(scores: Column, target: Column, smoothing: float = 0.0) -> Col
     every = F.reduce(scores, F.lit(0.0), lambda s, x: s + x) - n * total
     rest = F.lit(smoothing) / (n - 1)
     return -((1 - smoothing) * hit + rest * (every - hit))
+
+
+def bleu(rows: DataFrame, key: str, references: str = "references", candidate: str = "candidate", most: int = 4) -> DataFrame:
+    """(order, matches, total, precision, brevity_penalty, bleu): corpus BLEU of candidates (words) against one or more references each.
+
+    An n-gram of a candidate counts as often as it is in that reference which has it most; counts are summed over the corpus. The length to compare with
+    is that of the closest reference, the shorter on ties. A corpus without a match of some order has BLEU 0; empty candidates and references
+    add their lengths alone. Rows that share a key are one text, so keys have to differ.
+    """
+    grams = lambda words, n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda at: F.slice(words, at, n)))
+    sides = F.concat(F.array(F.struct(F.lit(-1).alias("side"), F.col(candidate).alias("words"))), F.transform(references, lambda w, k: F.struct(k.cast("int").alias("side"), w.alias("words"))))
+    texts = rows.select(key, F.explode(sides).alias("x")).select(key, "x.side", "x.words").where("words is not null")
+    flat = texts.select(key, "side", F.explode(F.array(*(F.struct(F.lit(n).alias("order"), grams(F.col("words"), n).alias("grams")) for n in range(1, most + 1)))).alias("g"))
+    flat = flat.select(key, "side", "g.order", F.explode("g.grams").alias("gram"))
+    counts = flat.groupBy(key, "order", "gram", "side").agg(F.count("*").alias("n"))
+    both = counts.groupBy(key, "order", "gram").agg(F.coalesce(F.max(F.when(F.col("side") < 0, F.col("n"))), F.lit(0)).alias("c"), F.coalesce(F.max(F.when(F.col("side") >= 0, F.col("n"))), F.lit(0)).alias("r"))
+    orders = both.groupBy("order").agg(F.sum(F.least("c", "r")).alias("matches"), F.sum("c").alias("total"))
+    size = F.coalesce(F.size(candidate), F.lit(0))
+    near = F.array_min(F.transform(F.filter(references, lambda w: w.isNotNull()), lambda w: F.struct(F.abs(F.size(w) - size).alias("off"), F.size(w).alias("n"))))["n"]
+    lengths = rows.agg(F.sum(F.greatest(size, F.lit(0))).alias("c"), F.sum(F.coalesce(near, F.lit(0))).alias("r"))
+    every = rows.sparkSession.range(1, most + 1).select(F.col("id").cast("int").alias("order"))
+    scored = every.join(orders, "order", "left").select("order", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("matches", "total")))
+    scored = scored.withColumn("precision", F.when(F.col("total") > 0, F.col("matches") / F.col("total")).otherwise(0.0))
+    penalty = F.when((F.col("c") == 0) | F.col("c").isNull(), 0.0).when(F.col("c") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.col("c")))
+    whole = lengths.select(penalty.alias("brevity_penalty"))
+    mean = Window.partitionBy("brevity_penalty")  # one row an order
+    log = F.when(F.min("precision").over(mean) > 0, F.exp(F.avg(F.ln(F.when(F.col("precision") > 0, F.col("precision")))).over(mean))).otherwise(0.0)
+    return scored.join(F.broadcast(whole)).select("order", "matches", "total", "precision", "brevity_penalty", (F.col("brevity_penalty") * log).alias("bleu"))

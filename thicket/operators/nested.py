@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.functions.text import LEGAL_IDENTIFIER, path_name
+from thicket.functions.text import LEGAL_IDENTIFIER, chunks, path_name, split_name_unless_empty, split_to_subtokens
 from thicket.operators.paths import is_identifier, is_number
 from thicket.schema import MAX_PATH_LENGTH, MAX_PATH_WIDTH
 
@@ -35,6 +35,10 @@ METHOD_TYPES = {
 }
 # Texts that stand for a method's name and for numbers.
 METHOD_NAME, NUM = "METHODNAME", "NUM"
+# Of the C# flavour, the types whose children show their place, the name that is masked, and the types of leaves, comments and methods.
+NUMBERED_CS = ("SimpleAssignmentExpression", "ElementAccessExpression", "SimpleMemberAccessExpression", "InvocationExpression", "BracketedArgumentList", "ArgumentList")
+METHOD_NAME_CS, METHOD_CS, COMMENT = "METHOD_NAME", "MethodDeclaration", "Comment"
+TOKENS_CS = ("IdentifierToken", "NumericLiteralToken", "StringLiteralToken", "CharacterLiteralToken")
 
 
 @dataclass
@@ -80,6 +84,18 @@ def numbers(n: int, owner: np.ndarray, child: np.ndarray) -> Numbers:
     return Numbers(parent, depth, pre, pre + size - 1, child_no)
 
 
+def places(x: Numbers, token: np.ndarray) -> np.ndarray:
+    """The place of each node among its siblings, tokens not counted (a token has that of the next node)."""
+    if not token.any():
+        return x.child_no
+    order = np.lexsort((x.child_no, x.parent))
+    counted = np.concatenate([[0], np.cumsum(~token[order])])[:-1]
+    first = np.concatenate([[True], x.parent[order][1:] != x.parent[order][:-1]])
+    out = np.zeros(len(token), np.int64)
+    out[order] = counted - counted[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return out
+
+
 def _lists(columns: list[np.ndarray], values: pa.Array | None = None) -> pa.Array:
     """Lists of the columns' entries (-1: none) of each row, or of the values with these numbers."""
     matrix = np.stack(columns, axis=1)
@@ -89,11 +105,12 @@ def _lists(columns: list[np.ndarray], values: pa.Array | None = None) -> pa.Arra
     return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()) if values is None else values.take(pa.array(flat)))
 
 
-def index(trees: DataFrame, functions: Sequence[str], reach: int = MAX_PATH_LENGTH, nodes: str = "nodes") -> DataFrame:
+def index(trees: DataFrame, functions: Sequence[str], reach: int = MAX_PATH_LENGTH, nodes: str = "nodes", leaves: Sequence[str] = (), numbered: Sequence[str] = (), most: int = 3) -> DataFrame:
     """Nodes of (sample_id, nodes): node_id (place in the array), parent_id, pre, last, depth, child_no, node_type, value, `ups` and
     `types` (pre-order numbers and types from the node upwards, `reach` at most), and `fns` (functions around it, innermost first).
 
-    functions: types of function nodes. A null or empty array is a tree without nodes; nodes that no other one names are roots. A node
+    functions: types of function nodes. leaves: types of tokens, which have no place among the children of a node. numbered: types whose children show their
+    place, at most `most`, behind their type in `types`. A null or empty array is a tree without nodes; nodes that no other one names are roots. A node
     that two name is the latter's child.
     """
 
@@ -111,7 +128,14 @@ def index(trees: DataFrame, functions: Sequence[str], reach: int = MAX_PATH_LENG
             owner = np.repeat(np.arange(n), n_kids)
             child = children.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + base[owner]
             x = numbers(n, owner, child)
-            function = np.isin(types.to_numpy(zero_copy_only=False), functions)
+            kinds = types.to_numpy(zero_copy_only=False)
+            token = np.isin(kinds, leaves)
+            place_no = places(x, token)
+            labels = types
+            if numbered:
+                shows = (x.parent >= 0) & np.isin(kinds[x.parent], numbered)
+                labels = pa.array([f"{t}{min(k, most)}" if s else t for t, k, s in zip(kinds.tolist(), place_no.tolist(), shows.tolist(), strict=True)], pa.string())
+            function = np.isin(kinds, functions)
             ups, at = [], np.arange(n)
             for _ in range(reach):
                 ups.append(at)
@@ -132,7 +156,7 @@ def index(trees: DataFrame, functions: Sequence[str], reach: int = MAX_PATH_LENG
             ints = lambda a: pa.array(a, pa.int32())
             place = np.arange(n) - base
             parent = pa.array(np.where(x.parent >= 0, x.parent - base, 0), pa.int32(), mask=x.parent < 0)
-            out = [batch.column(0).take(pa.array(tree)), ints(place), parent, ints(x.pre), ints(x.last), ints(x.depth), ints(x.child_no), types, values, _lists(shown(ups)), _lists(ups, types), _lists(shown(fns))]
+            out = [batch.column(0).take(pa.array(tree)), ints(place), parent, ints(x.pre), ints(x.last), ints(x.depth), ints(place_no), types, values, _lists(shown(ups)), _lists(ups, labels), _lists(shown(fns))]
             for k in range(0, n, 5000):
                 yield pa.RecordBatch.from_arrays([c.slice(k, 5000) for c in out], names=[S, "node_id", "parent_id", "pre", "last", "depth", "child_no", "node_type", "value", "ups", "types", "fns"])
 
@@ -159,8 +183,9 @@ def leaf_pairs(leaves: DataFrame, max_length: int = MAX_PATH_LENGTH, max_width:
 
 
 def name_pairs(leaves: DataFrame, max_length: int = MAX_PATH_LENGTH, max_width: int = MAX_PATH_WIDTH) -> DataFrame:
-    """The same for pairs of a function's own node, which shows its name, and a leaf below it."""
+    """The same for pairs of a function's own node, which shows its name if it has one, and a leaf below it."""
     rows = leaves.where(F.col("shown").isNotNull()).select(S, "pre", "shown", "types", "ups", F.explode("fns").alias("f"))
+    rows = rows.join(leaves.where(F.col("value").isNotNull()).select(S, F.col("pre").alias("f")), [S, "f"], "left_semi")
     rows = rows.withColumn("far", F.array_position("ups", F.col("f")).cast("int") - 1).where((F.col("far") > 0) & (F.col("far") < max_length) & (F.col("far") <= max_width))
     return rows.select(S, F.col("f").alias("lca"), F.col("f").alias("v"), F.col("pre").alias("u"), F.lit(METHOD_NAME).alias("start"), F.col("shown").alias("finish"), F.reverse(F.slice("types", F.lit(1), F.col("far") + 1)).alias("steps"), F.array("f").alias("fns"))
 
@@ -217,7 +242,7 @@ def method_lines(trees: DataFrame, language: str, names: DataFrame | None = None
     """(sample_id, fn, value): the contexts of the first method of each tree. The name's node shows METHODNAME, identifiers and numbers
     as the language has them; a sample with an identifier of illegal characters, or without contexts, has no line."""
     nodes = index(trees, METHOD_TYPES[language][0], max_length)
-    inside = nodes.join(located(nodes, language, names), S).where("pre between method and last")
+    inside = nodes.drop("last").join(located(nodes, language, names), S).where("pre between method and last")
     tongue, kind = F.lit(language), F.col("node_type")
     word, is_name = is_identifier(tongue, kind), F.col("pre") == F.col("name_node")
     flagged = inside.withColumns({"shown": F.when(is_name, F.lit(METHOD_NAME)).when(word, F.col("value")).when(is_number(tongue, kind), F.lit(NUM)), "illegal": word & ~is_name & ~F.col("value").rlike(LEGAL_IDENTIFIER)})
@@ -227,3 +252,62 @@ def method_lines(trees: DataFrame, language: str, names: DataFrame | None = None
     pairs = leaf_pairs(held, max_length, max_width).join(held.select(S, F.col("pre").alias("v"), "method", "target"), [S, "v"])
     contexts = pairs.select(S, F.col("method").alias("fn"), _context().alias("context"), "v", "u")
     return _lines(contexts, held.where(F.col("pre") == F.col("method")).select(S, F.col("method").alias("fn"), "target"))
+
+
+def variables(trees: DataFrame, max_length: int) -> tuple[DataFrame, DataFrame]:
+    """Leaf tokens with the methods they are in, and the variables of each method: (sample_id, fn, name, seen), where seen is the first of its leaves. The token that
+    is a method's own name, a child of its node, is a variable of a fixed name."""
+    nodes = index(trees, [METHOD_CS], max_length, leaves=(*TOKENS_CS, COMMENT), numbered=NUMBERED_CS)
+    leaves = nodes.where(F.col("node_type").isin(*TOKENS_CS))
+    named = (F.element_at("types", 2) == METHOD_CS) & (F.col("node_type") == "IdentifierToken")
+    leaves = leaves.withColumn("shown", F.when(F.coalesce(named, F.lit(False)), F.lit(METHOD_NAME_CS)).otherwise(F.coalesce("value", F.lit(""))))
+    return leaves, leaves.select(S, F.explode("fns").alias("fn"), F.col("shown").alias("name"), "pre").groupBy(S, "fn", "name").agg(F.min("pre").alias("seen"))
+
+
+def variable_pairs(found: DataFrame, most: int, seed: int) -> DataFrame:
+    """(sample_id, fn, a, b): pairs of a method's variables in the order they are seen, each with itself too; at most `most` of a method, chosen by
+    hash. Each task keeps its best before they meet, so a method of any number of variables is spread."""
+    a, b = found.select(S, "fn", F.col("name").alias("a"), F.col("seen").alias("sa")), found.select(S, "fn", F.col("name").alias("b"), F.col("seen").alias("sb"))
+    pairs = a.join(b, [S, "fn"]).where("sa <= sb")
+    w = Window.partitionBy(S, "fn").orderBy(F.md5(F.concat_ws("\x1f", F.lit(str(seed)), "a", "b")), "sa", "sb")
+    return pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
+def variable_contexts(trees: DataFrame, max_length: int = 9, max_width: int = 2, most: int = 30_000, seed: int = 1) -> DataFrame:
+    """(sample_id, fn, a, b, v, u, context): ways between the leaves of two variables of a method, in the order of the variables, and both ways between two
+    leaves of one. The leaves themselves count as steps; branches `max_width` or more places apart make no way."""
+    leaves, found = variables(trees, max_length)
+    up = leaves.select(S, "pre", "shown", "types", "ups", "fns", F.posexplode(F.slice("ups", 2, max_length)).alias("far", "lca"))
+    branch = F.when(F.col("far") == 0, F.col("lca")).otherwise(F.element_at("ups", F.col("far") + 1))
+    places_of = index(trees, [METHOD_CS], 1, leaves=(*TOKENS_CS, COMMENT)).select(S, F.col("pre").alias("branch"), "child_no")
+    up = up.withColumn("branch", branch).join(places_of, [S, "branch"])
+    side = lambda x: up.select(S, "lca", *(F.col(c).alias(f"{x}_{c}") for c in ("pre", "shown", "types", "far", "branch", "child_no", "fns")))
+    meet = side("l").join(side("r").drop("r_fns"), [S, "lca"]).where(F.col("l_pre") != F.col("r_pre"))
+    inner = (F.col("l_far") > 0) & (F.col("r_far") > 0)
+    meet = meet.where(((F.col("l_branch") != F.col("r_branch")) | ((F.col("l_far") == 0) & (F.col("r_far") == 0))) & (F.col("l_far") + F.col("r_far") + 2 <= max_length))
+    meet = meet.where(~inner | (F.abs(F.col("l_child_no") - F.col("r_child_no")) < max_width))
+    steps = F.concat(F.slice("l_types", F.lit(2), F.col("l_far") + 1), F.reverse(F.slice("r_types", F.lit(2), F.col("r_far"))))
+    text = F.concat_ws(",", split_name_unless_empty(F.col("l_shown")), F.array_join(steps, "|"), split_name_unless_empty(F.col("r_shown")))
+    # the way from one variable to another begins at the one that is seen first
+    ways = meet.select(S, F.explode(F.filter("l_fns", lambda f: f <= F.col("lca"))).alias("fn"), F.col("l_shown").alias("a"), F.col("r_shown").alias("b"), F.col("l_pre").alias("v"), F.col("r_pre").alias("u"), text.alias("context"))
+    return ways.join(variable_pairs(found, most, seed).select(S, "fn", "a", "b", "sa", "sb"), [S, "fn", "a", "b"])
+
+
+def comment_contexts(trees: DataFrame, k: int = 5) -> DataFrame:
+    """(sample_id, pre, part, context): the parts of a tree's comments, k at a time, at both ends of a way of its own."""
+    texts = index(trees, [METHOD_CS], 1).where(F.col("node_type") == COMMENT).select(S, "pre", F.btrim(F.coalesce("value", F.lit("")), F.lit(" /*{}")).alias("text"))
+    words = chunks(F.split(split_name_unless_empty(F.col("text")), r"\|"), k)
+    rows = texts.select(S, "pre", F.posexplode(words).alias("part", "words"))
+    return rows.select(S, "pre", "part", F.concat_ws(",", F.array_join("words", "|"), F.lit("COMMENT"), F.array_join("words", "|")).alias("context"))
+
+
+def variable_lines(trees: DataFrame, max_length: int = 9, max_width: int = 2, most: int = 30_000, seed: int = 1) -> DataFrame:
+    """(sample_id, fn, value): a line for every method of every tree: the parts of its name, the ways between its variables, then
+    those of the tree's comments."""
+    ways = variable_contexts(trees, max_length, max_width, most, seed)
+    ways = ways.groupBy(S, "fn").agg(F.transform(F.array_sort(F.collect_list(F.struct("sa", "sb", "u", "v", "context"))), lambda x: x["context"]).alias("ways"))
+    said = comment_contexts(trees).groupBy(S).agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "part", "context"))), lambda x: x["context"]).alias("said"))
+    methods = index(trees, [METHOD_CS], 1).where(F.col("node_type") == METHOD_CS).select(S, F.col("pre").alias("fn"), F.array_join(split_to_subtokens(F.coalesce("value", F.lit(""))), "|").alias("target"))
+    none = F.array().cast("array<string>")
+    rows = methods.join(ways, [S, "fn"], "left").join(said, S, "left")
+    return rows.select(S, "fn", F.concat(F.col("target"), F.lit(" "), F.array_join(F.concat(F.coalesce("ways", none), F.coalesce("said", none)), " ")).alias("value"))

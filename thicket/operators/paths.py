@@ -65,7 +65,7 @@ def lines(contexts: DataFrame, targets: DataFrame) -> DataFrame:
 
 def sampled(contexts: Column, most: int, seed: Column) -> Column:
     """`most` contexts of a row, chosen by hash and so the same in every run; in their order."""
-    ranked = F.array_sort(F.transform(contexts, lambda c, i: F.struct(F.xxhash64(c, i, seed).alias("h"), i.alias("i"), c.alias("c"))))
+    ranked = F.array_sort(F.transform(contexts, lambda c, i: F.struct(F.md5(F.concat_ws(":", seed.cast("string"), i.cast("string"), c)).alias("h"), i.alias("i"), c.alias("c"))))
     return F.transform(F.array_sort(F.transform(F.slice(ranked, 1, most), lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c")))), lambda x: x["c"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.lexing import LexConfig, tokenized
-from thicket.functions.text import label_tokens, span_contains, span_size
+from thicket.functions.text import label_tokens, span_size
 from thicket.operators import binning, tree, vocab
 from thicket.operators.views import within_limit
 from thicket.schema import MAX_TOKENS
@@ -17,10 +17,11 @@ S = "sample_id"
 
 
 def token_map(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sample_id, token_idx, node_id): the node with the smallest span around each token; the later one on ties."""
-    inside = tokens.select(S, "token_idx", "span").join(nodes.select(S, "node_id", F.col("span").alias("outer")), S)
-    inside = inside.where(span_contains(F.col("outer"), F.col("span")))
-    return inside.groupBy(S, "token_idx").agg(F.min_by("node_id", F.struct(span_size(F.col("outer")), (-F.col("node_id")))).alias("node_id"))
+    """(sample_id, token_idx, node_id): the node that the descent from the root ends in."""
+    span = lambda c: (F.col(f"{c}.start"), F.col(f"{c}.end"))
+    start, stop = span("span")
+    placed = nodes.select(S, "node_id", "parent_id", "child_idx", start.alias("lo"), stop.alias("hi"), span_size(F.col("span")).alias("size"))
+    return tree.tightest_node(tokens.select(S, "token_idx", start.alias("start"), stop.alias("stop")), placed)
 
 
 @dataclass

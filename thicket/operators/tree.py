@@ -22,10 +22,11 @@ def preorder(rows: DataFrame, sample: str, path: list[str]) -> DataFrame:
     return rows.withColumn("node_id", (F.row_number().over(w) - 1).cast("int"))
 
 
-def closure(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
+def closure(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     """(sample_id, ancestor, node, height) for each node and itself (0) and each of its ancestors.
 
-    Path doubling: step k joins the ancestors known so far with themselves, so a tree of depth n takes log2(n) joins.
+    Path doubling: step k joins the ancestors known so far with themselves, so log2(max_depth) joins do. A tree with a node as many or more
+    edges below its root raises an error: nothing is left out.
     """
     up = nodes.where("parent_id is not null").select(S, F.col("parent_id").alias("ancestor"), F.col("node_id").alias("node"), F.lit(1).alias("height"))
     known, reach = up, 1
@@ -34,6 +35,7 @@ def closure(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
         high = known.select(S, F.col("ancestor"), F.col("node").alias("mid"), F.col("height").alias("h2"))
         longer = low.where(f"h1 = {reach}").join(high, [S, "mid"]).select(S, "ancestor", "node", (F.col("h1") + F.col("h2")).alias("height"))
         known, reach = known.unionByName(longer), reach * 2
+    known = known.withColumn("height", F.when(F.col("height") < reach, F.col("height")).otherwise(F.raise_error(F.lit(f"a tree is {reach} or more edges deep: raise max_depth")).cast("int")))
     own = nodes.select(S, F.col("node_id").alias("ancestor"), F.col("node_id").alias("node"), F.lit(0).alias("height"))
     return own.unionByName(known)
 
@@ -124,14 +126,42 @@ def prune(nodes: DataFrame, empty: str = "Empty") -> DataFrame:
     return ids.join(parent, [S, "parent_id"], "left").select(S, F.col("new_id").alias("node_id"), F.col("new_parent").alias("parent_id"), "node_type")
 
 
+def held_tokens(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of tokens and the nodes whose span holds theirs, the root apart: (sample_id, token_idx, node_id, parent_id, size, place).
+
+    tokens: token_idx, start, stop; nodes: node_id, parent_id, lo, hi, any positions that compare, and optionally size and child_idx. Tokens have ranks by where
+    they start, and a running count over the ends of nodes and the starts of tokens tells each node the ranks that lie in it. So only pairs that overlap are
+    made, from one sort of a sample, and never the product of its tokens and nodes.
+    """
+    size = F.col("size") if "size" in nodes.columns else F.col("hi") - F.col("lo")
+    place = F.coalesce("child_idx", "node_id") if "child_idx" in nodes.columns else F.col("node_id")
+    inner = nodes.where("parent_id is not null").select(S, "node_id", "parent_id", "lo", "hi", size.alias("size"), place.alias("place"))
+    ranked = tokens.select(S, "token_idx", "start", "stop", F.row_number().over(Window.partitionBy(S).orderBy("start", "token_idx")).alias("rank"))
+    none = F.lit(None).cast("int")
+    marks = tokens.select(S, F.col("start").alias("at"), F.lit(1).alias("kind"), none.alias("node_id"))
+    marks = marks.union(inner.select(S, "lo", F.lit(0), "node_id")).union(inner.select(S, "hi", F.lit(2), "node_id"))
+    running = Window.partitionBy(S).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = marks.withColumn("seen", F.count_if(F.col("kind") == 1).over(running)).where("kind <> 1")
+    ranges = seen.groupBy(S, "node_id").agg(F.min("seen").alias("before"), F.max("seen").alias("upto")).where("upto > before")
+    ranges = ranges.select(S, "node_id", F.explode(F.sequence((F.col("before") + 1).cast("int"), F.col("upto").cast("int"))).alias("rank"))
+    pairs = ranges.join(inner, [S, "node_id"]).join(ranked, [S, "rank"])
+    return pairs.where("lo <= start and hi >= stop").select(S, "token_idx", "node_id", "parent_id", "size", "place")
+
+
 def tightest_node(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sample_id, token_idx, node_id): the smallest node whose span holds the token's, later ones on ties.
+    """(sample_id, token_idx, node_id): from the root downwards, always into the smallest child whose span holds the token's, the first one on ties,
+    until none does. Where the spans of siblings are disjoint that is the smallest node of all.
 
-    A range join within a sample; equal to the greedy descent where the spans of siblings are disjoint.
+    A token's winners among the children of each node are found first, apart from each other; the way down through
+    them is a fold over the few nodes that hold the token.
     """
-    size = F.struct((F.col("hi") - F.col("lo")).alias("size"), (-F.col("node_id")).alias("later"))
-    inside = tokens.join(nodes.select(S, "node_id", "lo", "hi"), S).where("lo <= start and hi >= stop")
-    return inside.groupBy(S, "token_idx").agg(F.min_by("node_id", size).alias("node_id"))
+    held = held_tokens(tokens, nodes)
+    winners = held.groupBy(S, "token_idx", "parent_id").agg(F.min_by("node_id", F.struct("size", "place")).alias("node_id"))
+    ways = winners.groupBy(S, "token_idx").agg(F.map_from_entries(F.collect_list(F.struct("parent_id", "node_id"))).alias("into"))
+    root = nodes.where("parent_id is null").groupBy(S).agg(F.min("node_id").alias("root"))
+    rows = tokens.select(S, "token_idx").join(root, S).join(ways, [S, "token_idx"], "left")
+    down = F.aggregate(F.sequence(F.lit(1), F.size("into")), F.col("root"), lambda at, _: F.coalesce(F.try_element_at("into", at), at))
+    return rows.select(S, "token_idx", F.when(F.col("into").isNull(), F.col("root")).otherwise(down).alias("node_id"))
 
 
 def best_tokens(tokens: DataFrame, token_map: DataFrame) -> DataFrame:

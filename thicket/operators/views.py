@@ -13,9 +13,14 @@ from thicket.functions.text import pad_or_truncate
 from thicket.schema import CLS, MAX_TOKENS, NUM_SUB_TOKENS, PAD, SEP
 
 
+def hashed(seed: int, *keys: str) -> Column:
+    """A text that depends on the seed and the keys alone, in an order that is as good as random: any engine gives the same."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+
+
 def uniform(seed: int, *keys: str) -> Column:
-    """A number in [0, 1) that depends on the seed and the keys alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A number in [0, 1) that depends on the seed and the keys alone: the first 52 bits of their hash."""
+    return F.conv(F.substring(hashed(seed, *keys), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def within_limit(rows: DataFrame, tokens: str = "tokens", limit: int = MAX_TOKENS) -> DataFrame:
@@ -34,13 +39,15 @@ def oversampled(rows: DataFrame, factors: DataFrame, key: str, seed: int, *ids:
 
 def shuffled(rows: DataFrame, seed: int, *ids: str) -> DataFrame:
     """A full shuffle in an order that the seed fixes: a range sort by hash."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *ids), *ids)
+    return rows.orderBy(hashed(seed, *ids), *ids)
 
 
-def preceding(rows: DataFrame, part: str, amount: Column, *order: str, slots: int = 64) -> DataFrame:
+def preceding(rows: DataFrame, part: str, amount: Column, *order: str, slots: int | None = None) -> DataFrame:
     """rows with _before: the sum of an amount over the part's rows that come before in the order. A part isn't one task: it is cut into
     ranges of its first order column, a number, at percentiles; each range is summed on its own, and ranges before it are added. The cuts
-    only divide the work, so the sums don't depend on them."""
+    only divide the work, so the sums don't depend on them. There are as many ranges as the session's shuffles have partitions, 64 at least,
+    so they grow with the data as those do; the first order column has to tell rows apart (see `spread`)."""
+    slots = slots or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.groupBy(part).agg(F.percentile_approx(order[0], F.array(*(F.lit(k / slots) for k in range(1, slots))), F.lit(1000)).alias("_cuts"))
     slot = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col(order[0])))
     out = rows.join(cuts.withColumnRenamed(part, "_part"), F.col(part).eqNullSafe(F.col("_part")), "left").withColumn("_slot", slot).withColumn("_amount", amount)
@@ -52,10 +59,16 @@ def preceding(rows: DataFrame, part: str, amount: Column, *order: str, slots: in
     return out.withColumn("_before", F.col("_own") + F.col("_base")).drop("_part", "_cuts", "_slot", "_amount", "_own", "_p", "_s", "_base")
 
 
+def spread(number: str, seed: int, *ids: str) -> Column:
+    """A whole number with a seeded fraction, so that equal ones can be cut apart by ranges."""
+    return F.col(number) + uniform(seed, *ids)
+
+
 def chunk_shuffled(rows: DataFrame, part: str, length: str, k: int, seed: int, *ids: str) -> DataFrame:
-    """Within each part: sorted by length, cut into chunks of k, chunks in a seeded order. Gives chunk and place."""
-    out = preceding(rows, part, F.lit(1), length, *ids).withColumn("chunk", F.floor(F.col("_before") / k).cast("int")).withColumnRenamed("_before", "_rn")
-    out = preceding(out.withColumn("_order", F.xxhash64(F.lit(seed), "chunk")), part, F.lit(1), "_order", "chunk", "_rn")
+    """Within each part: sorted by length (equal ones by hash), cut into chunks of k, chunks in a seeded order. Gives chunk and place."""
+    out = preceding(rows.withColumn("_order", spread(length, seed, *ids)), part, F.lit(1), "_order", *ids)
+    out = out.withColumn("chunk", F.floor(F.col("_before") / k).cast("int")).withColumnRenamed("_before", "_rn")
+    out = preceding(out.withColumn("_order", uniform(seed, "chunk")), part, F.lit(1), "_order", "chunk", "_rn")
     return out.withColumn("place", F.col("_before").cast("int")).drop("_rn", "_order", "_before")
 
 
@@ -99,12 +112,14 @@ def attention_view(samples: DataFrame, n_cls: int = 5, sample: str = "sample_id"
 
 def reservoir(rows: DataFrame, sample: str, most: int, seed: int, *ids: str) -> DataFrame:
     """At most `most` rows of each sample, chosen by hash, each with the same probability. Spark takes each task's best before it shuffles."""
-    w = Window.partitionBy(sample).orderBy(F.xxhash64(F.lit(seed), sample, *ids), *ids)
+    w = Window.partitionBy(sample).orderBy(hashed(seed, sample, *ids), *ids)
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
-def pad_mask(length: Column, most: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: (i < length).cast("int"))
+def pad_mask(length: Column, width: Column | int) -> Column:
+    """1 for the positions of a sample, 0 for the padding up to the width of its batch."""
+    width = F.lit(width) if isinstance(width, int) else width
+    return F.concat(F.array_repeat(F.lit(1), F.least(length, width)), F.array_repeat(F.lit(0), F.greatest(width - length, F.lit(0))))
 
 
 def sub_token_ids(ids: Column, n: int = NUM_SUB_TOKENS) -> Column:
@@ -151,28 +166,28 @@ def with_cls(words: Column, n: int = 5) -> Column:
 def sampled_positions(rows: DataFrame, sample: str, k: int, seed: int) -> DataFrame:
     """k positions of each sample without replacement, by hash; padding positions (n and above) can't be drawn."""
     at = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    w = Window.partitionBy(sample).orderBy(F.xxhash64(F.lit(seed), sample, "pos"), "pos")
+    w = Window.partitionBy(sample).orderBy(hashed(seed, sample, "pos"), "pos")
     return rows.select(sample, "n", at.alias("pos")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def permutation(rows: DataFrame, sample: str, pos: str, seed: int) -> DataFrame:
     """perm: the place of each position in a seeded permutation of its sample."""
-    w = Window.partitionBy(sample).orderBy(F.xxhash64(F.lit(seed), sample, pos), pos)
+    w = Window.partitionBy(sample).orderBy(hashed(seed, sample, pos), pos)
     return rows.withColumn("perm", (F.row_number().over(w) - 1).cast("int"))
 
 
-def permutation_mask(tokens: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """(sample, i, j, blocked) from tokens (sample, pos, token, is_target, perm): 1 where i may not attend j.
+def permutation_mask(samples: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """samples with `blocked`, an array of arrays: 1 where position i may not attend position j. tokens: an array of (token, is_target, perm).
 
     Ordinary words that aren't targets are seen by all; targets and functional tokens only by later ones of the
-    permutation, and targets don't see themselves.
+    permutation, and targets don't see themselves. A sample's mask is made from its own row, so nothing is joined or shuffled.
     """
-    functional = F.col("token").isin(SEP, CLS)
-    rev = F.when(F.col("is_target") | functional, F.col("perm")).otherwise(F.lit(-1))
-    own = F.when(F.col("is_target"), rev).otherwise(rev + 1)
-    t = tokens.select(sample, "pos", rev.alias("rev"), own.alias("own"), (F.col("is_target") | functional).alias("hidden"))
-    a, b = t.select(sample, F.col("pos").alias("i"), "own"), t.select(sample, F.col("pos").alias("j"), "rev", "hidden")
-    return a.join(b, sample).select(sample, "i", "j", ((F.col("own") <= F.col("rev")) & F.col("hidden")).cast("int").alias("blocked"))
+    hidden = lambda t: t["is_target"] | t["token"].isin(SEP, CLS)
+    rev = lambda t: F.when(hidden(t), t["perm"]).otherwise(F.lit(-1))
+    # what a position must lie behind to be blocked, and where others see it: above every number if they always do
+    marks = F.transform(tokens, lambda t: F.struct(F.when(t["is_target"], rev(t)).otherwise(rev(t) + 1).alias("own"), F.when(hidden(t), rev(t)).otherwise(F.lit(-2)).alias("seen")))
+    rows = samples.withColumn("_marks", marks)
+    return rows.withColumn("blocked", F.transform("_marks", lambda a: F.transform(F.col("_marks.seen"), lambda s: (a["own"] <= s).cast("int")))).drop("_marks")
 
 
 def language_model_view(tokens: DataFrame, k: int, seed: int, sample: str = "sample_id") -> DataFrame:

@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.functions import spans as SP
+from thicket.functions import tokenizers as TK
 from thicket.operators import lexemes as L
+from thicket.operators import masks as MK
+from thicket.operators import methods as J
 from thicket.operators import nested as N
+from thicket.operators import properties as R
+from thicket.operators import tree as T
 from thicket.plans.registry import query, table
+from thicket.session import scratch
+from thicket.sources import contexts as CF
 
 # A turn's lines step in by two spaces, three times in four; commas become strings, and a sentence's end a number and a line
 # that stands three spaces in. Every third turn ends with a string.
@@ -182,3 +190,171 @@ def function_contexts(spark, d):
 def method_contexts(spark, d):
     """A line of path contexts for the first method of every tree, found with its name."""
     return N.method_lines(trees(spark, d, syntax=True), "python")
+
+
+@query(
+    "greedy_map",
+    f"""with recursive {_MODULE}, {_WALKS}, sp as (select n.sample_id, n.pre as node_id, n.parent_id, n.pre as lo, s.last + case n.node_type when 'Assign' then 3 else 0 end as hi from nodes n join span s using (sample_id, pre)),
+    tok as (select sample_id, pre as token_idx, pre as start, pre + pre % 3 as stop from nodes where depth >= 3),
+    held as (select t.sample_id, t.token_idx, n.node_id, n.parent_id, n.hi - n.lo as size from tok t join sp n on n.sample_id = t.sample_id and n.lo <= t.start and n.hi >= t.stop where n.parent_id is not null),
+    win as (select sample_id, token_idx, parent_id, arg_min(node_id, size * 1000000 + node_id) as node_id from held group by all),
+    down as (select sample_id, token_idx, 0 as node_id, 0 as level from tok union all select d.sample_id, d.token_idx, w.node_id, d.level + 1 from down d join win w on w.sample_id = d.sample_id and w.token_idx = d.token_idx and w.parent_id = d.node_id)
+    select sample_id, token_idx, arg_max(node_id, level) as node_id from down group by all""",
+)
+def greedy_map(spark, d):
+    """Tokens to nodes where the spans of neighbouring statements overlap."""
+    n = N.index(trees(spark, d), ["FunctionDef"], 1)
+    spans = n.select("sample_id", F.col("pre").alias("node_id"), "parent_id", F.col("pre").alias("lo"), (F.col("last") + F.when(F.col("node_type") == "Assign", 3).otherwise(0)).alias("hi"))
+    tokens = n.where("depth >= 3").select("sample_id", F.col("pre").alias("token_idx"), F.col("pre").alias("start"), (F.col("pre") + F.col("pre") % 3).alias("stop"))
+    return T.tightest_node(tokens, spans)
+
+
+# A conversation as a class: a turn is a method with its lines as strings that hold braces, an anonymous class with a method of its own, and comments.
+_FILE = """t as (select conv_id as sample_id, turn, role, list_transform(string_split(text, chr(10)), lambda x: '    say("' || regexp_replace(x, '["\\\\]', '', 'g') || ' {{"); // }}' || chr(10)) as li from conversations where text is not null),
+m as (select *, role || 'Turn' || turn as name, '{{' || chr(10) || array_to_string(li, '') || '    if (a > 0) {{ run(new Task() {{ public void inner' || turn || '() {{ go(); }} }}); }}' || chr(10) || '  }}' as body from t)"""
+
+
+def java_files(spark, d: str) -> DataFrame:
+    """(sample_id, code)"""
+    t = table(spark, d, "conversations").where("text is not null").select(F.col("conv_id").alias("sample_id"), "turn", "role", F.split("text", "\n").alias("li"))
+    say = F.array_join(F.transform("li", lambda x: F.concat(F.lit('    say("'), F.regexp_replace(x, r'["\\]', ""), F.lit(' {"); // }\n'))), "")
+    turn = F.col("turn").cast("string")
+    head = F.concat(F.lit("  /** Turn "), turn, F.lit('. } */\n  @Note({"a", "b"})\n  public List<String> '), F.col("role"), F.lit("Turn"), turn, F.lit("(int a, String... b) throws IOException, Failure "))
+    body = F.concat(F.lit("{\n"), say, F.lit("    if (a > 0) { run(new Task() { public void inner"), turn, F.lit("() { go(); } }); }\n  }\n"))
+    files = t.select("sample_id", "turn", F.concat(head, body).alias("text")).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    name = F.concat(F.lit("Conv"), F.col("sample_id").cast("string"))
+    return files.select("sample_id", F.concat(F.lit("package p;\n/** About { it. */\npublic class "), name, F.lit(" {\n"), F.array_join("x.text", ""), F.lit("  "), name, F.lit("(int x) { super(x); }\n}\n")).alias("code"))
+
+
+@query(
+    "java_methods",
+    f"""with {_FILE.format()}, p as (select *, len(li) as n, (4 + coalesce(sum(len(li) + 5) over (partition by sample_id order by turn rows between unbounded preceding and 1 preceding), 0))::int as base from m)
+    select sample_id, name, 'method' as kind, 'Conv' || sample_id as class_name, 'Turn ' || turn || '. }}' as doc, body, base + 1 as first_line, (base + n + 4)::int as last_line, (n + 1)::int as n_lines from p
+    union all select sample_id, 'inner' || turn, 'method', null, null, '{{ go(); }}', (base + n + 3)::int, (base + n + 3)::int, 1 from p
+    union all select sample_id, 'Conv' || sample_id, 'constructor', 'Conv' || sample_id, null, '{{ super(x); }}', (max(base + n) + 5)::int, (max(base + n) + 5)::int, 1 from p group by sample_id""",
+)
+def java_methods(spark, d):
+    """Methods and constructors of source files, inner ones too, with their bounds and lines."""
+    return J.methods(java_files(spark, d), constructors=True).drop("code")
+
+
+@query(
+    "java_methods_bounded",
+    f"""with {_FILE.format()} select sample_id, name, len(li) + 1 as n_lines from m where len(li) + 1 between 3 and 12""",
+)
+def java_methods_bounded(spark, d):
+    """Methods with 3 to 12 lines of code."""
+    return J.methods(java_files(spark, d), 3, 12).select("sample_id", "name", F.col("n_lines").cast("bigint").alias("n_lines"))
+
+
+# Words of turns as nodes of nine kinds.
+_WORD_NODES = r"""w as (select conv_id, turn, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) as k from conversations where text is not null),
+n as (select conv_id, turn, k, case k % 9 when 0 then 'BinaryExpr' when 1 then 'UnaryExpr' when 2 then 'AssignExpr' when 3 then 'ClassOrInterfaceType' when 4 then 'ClassOrInterfaceType' when 5 then 'ClassOrInterfaceType' when 6 then 'NameExpr' when 7 then 'IntegerLiteralExpr' else 'StringLiteralExpr' end as node_type,
+  case k % 9 when 0 then 'plus' when 1 then 'not' end as operator, case k % 9 when 4 then 'Integer' when 5 then word || '<T>' when 7 then (k % 70)::varchar when 8 then '"' || repeat(word, 1 + k % 3) || '"' else word end as text,
+  word as own_name, k % 9 = 5 as generic, k % 2 = 0 as is_leaf, case when k % 4 = 0 then 'MethodDeclaration' else 'BlockStmt' end as parent_type from w)"""
+_SUBTOKENS = r"list_filter(list_transform(list_filter(regexp_split_to_array(replace(regexp_replace(regexp_replace(trim(replace({0}, '|', ' ')), '([a-z])([A-Z])', '\1' || chr(1) || '\2', 'g'), '([A-Z])([A-Z][a-z])', '\1' || chr(1) || '\2', 'g'), chr(1), ' '), '_|[0-9]|\s+'), lambda x: x <> ''), lambda x: {1}), lambda x: x <> '')"
+_NORMAL = r"case when regexp_replace(lower({0}), '[^a-z]', '', 'g') <> '' then regexp_replace(lower({0}), '[^a-z]', '', 'g') when regexp_replace(lower({0}), '[\"'',]|[^ -~]', '', 'g') <> '' then replace(regexp_replace(lower({0}), '[\"'',]|[^ -~]', '', 'g'), ' ', '_') else '{1}' end"
+
+
+def word_nodes(spark, d: str) -> DataFrame:
+    w = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("k", "word")).withColumn("k", F.col("k") + 1)
+    kind = F.element_at(F.array(*map(F.lit, ("BinaryExpr", "UnaryExpr", "AssignExpr", "ClassOrInterfaceType", "ClassOrInterfaceType", "ClassOrInterfaceType", "NameExpr", "IntegerLiteralExpr", "StringLiteralExpr"))), F.col("k") % 9 + 1)
+    r = F.col("k") % 9
+    text = F.when(r == 4, "Integer").when(r == 5, F.concat("word", F.lit("<T>"))).when(r == 7, (F.col("k") % 70).cast("string")).when(r == 8, F.concat(F.lit('"'), F.repeat("word", (1 + F.col("k") % 3).cast("int")), F.lit('"'))).otherwise(F.col("word"))
+    return w.select(
+        "conv_id", "turn", "k", kind.alias("node_type"), F.when(r == 0, "plus").when(r == 1, "not").alias("operator"), text.alias("text"), F.col("word").alias("own_name"), (r == 5).alias("generic"), (F.col("k") % 2 == 0).alias("is_leaf"),
+        F.when(F.col("k") % 4 == 0, "MethodDeclaration").otherwise("BlockStmt").alias("parent_type"),
+    )
+
+
+@query(
+    "node_properties",
+    f"""with {_WORD_NODES}, t as (select *, case when generic and is_leaf then 'GenericClass' when node_type = 'ClassOrInterfaceType' and text = 'Integer' then 'PrimitiveType' when operator is not null then node_type || ':' || operator else node_type end as path_type,
+      array_to_string({_SUBTOKENS.format("case when generic then own_name else text end", _NORMAL.format("x", ""))}, '|') as parts, {_NORMAL.format("text", "BLANK")} as letters from n),
+    m as (select *, case when length(letters) > 50 then letters[1:50] when node_type = 'ClassOrInterfaceType' and text = 'Integer' then 'int' else letters end as plain from t)
+    select conv_id, turn, k, path_type, case path_type when 'BinaryExpr:plus' then 'Plus' when 'UnaryExpr:not' then 'Not' when 'PrimitiveType' then 'Prim' when 'ClassOrInterfaceType' then 'Cls' when 'NameExpr' then 'Nm' when 'IntegerLiteralExpr' then 'IntEx' when 'StringLiteralExpr' then 'StrEx' else path_type end as short_type,
+      case when path_type = 'NameExpr' and parent_type = 'MethodDeclaration' then 'METHOD_NAME' when parts <> '' then parts when node_type = 'IntegerLiteralExpr' and plain not in ('0', '1', '32', '64') then '<NUM>' else plain end as name from m""",
+)
+def node_properties(spark, d):
+    """What a path and a leaf show of every node."""
+    return R.with_properties(word_nodes(spark, d)).select("conv_id", "turn", F.col("k").cast("bigint").alias("k"), "path_type", "short_type", "name")
+
+
+# An order is a sample: its line items are contexts. Orders have up to seven, a file's lines six, a sample four.
+_CONTEXT_LINES = "o as (select l_orderkey, 'order|' || l_orderkey as target, case when l_orderkey % 2 = 0 then 'even' else 'odd' end as language, list(l_returnflag || '|' || l_suppkey || ',Line' || l_linenumber || '|' || l_linestatus || ',' || l_partkey order by l_linenumber, l_partkey, l_suppkey, l_linestatus, l_returnflag) as x from lineitem group by l_orderkey), f as (select *, list_slice(x, 1, 6) as held, least(len(x), 6) as valid from o)"
+
+
+def context_files(spark, d: str) -> str:
+    """The folder that they are written to."""
+    text = F.concat("l_returnflag", F.lit("|"), "l_suppkey", F.lit(",Line"), "l_linenumber", F.lit("|"), "l_linestatus", F.lit(","), "l_partkey")
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag", text.alias("text")))).alias("x"))
+    value = F.concat_ws(" ", F.concat(F.lit("order|"), "l_orderkey"), F.array_join("x.text", " "))
+    path = scratch(spark, "contexts")
+    CF.write_path_contexts(rows.select(F.when(F.col("l_orderkey") % 2 == 0, "even").otherwise("odd").alias("language"), value.alias("value")), path, 6)
+    return path
+
+
+@query("path_contexts_read", f"with {_CONTEXT_LINES} select language, target, array_to_string(list_transform(range(1, 5), lambda i: coalesce(held[i], '')), ' ') as contexts, least(valid, 4)::int as n_valid from f")
+def path_contexts_read(spark, d):
+    """Context files of two languages, read back with four contexts each."""
+    rows = CF.read_path_contexts(spark, context_files(spark, d), 4, 6)
+    return rows.select("language", "target", F.array_join("contexts", " ").alias("contexts"), "n_valid")
+
+
+@query(
+    "path_contexts_random",
+    f"""with {_CONTEXT_LINES},
+    p as (select language, target, held, valid, i, row_number() over (partition by target order by md5('7:' || target || ':' || i), i) as place from (select *, unnest(range(greatest(valid, 4))) as i from f))
+    select language, target, string_agg(coalesce(held[i + 1], ''), ' ' order by place) as contexts, least(any_value(valid), 4)::int as n_valid from p where place <= 4 group by language, target""",
+)
+def path_contexts_random(spark, d):
+    """Four random ones of each line's contexts, by a seed."""
+    rows = CF.read_path_contexts(spark, context_files(spark, d), 4, 6, seed=7)
+    return rows.select("language", "target", F.array_join("contexts", " ").alias("contexts"), "n_valid")
+
+
+@query(
+    "plugin_tokens",
+    f"""with {_CODE}, li as (select sample_id, unnest(string_split(code, chr(10))) as line, generate_subscripts(string_split(code, chr(10)), 1) as l from code),
+    p as (select sample_id, l, unnest(regexp_extract_all(line, '[ \\t\\r]+|[^ \\t\\r]+')) as text, generate_subscripts(regexp_extract_all(line, '[ \\t\\r]+|[^ \\t\\r]+'), 1) as k from li),
+    o as (select *, coalesce(sum(length(text)) over (partition by sample_id, l order by k rows between unbounded preceding and 1 preceding), 0) as off from p)
+    select sample_id, row_number() over (partition by sample_id order by l, k) - 1 as idx, text, l::int as line, (off + 1)::int as start_col, (off + 1 + length(text))::int as end_col from o where not regexp_full_match(text, '[ \\t\\r]+')""",
+)
+def plugin_tokens(spark, d):
+    """A tokenizer as a table function by its name."""
+    out = TK.tokenized(snippets(spark, d), "words")
+    return out.select("sample_id", "idx", "text", F.col("start.line").alias("line"), F.col("start.col").alias("start_col"), F.col("end.col").alias("end_col"))
+
+
+@query("span_deltas", f"with {_PIECES} select sample_id, idx, start_line - coalesce(lag(start_line) over (partition by sample_id order by idx), 0) as line, start_col as col, end_line - start_line as lines, case when end_line = start_line then end_col - start_col else end_col end as width from lex")
+def span_deltas(spark, d):
+    """Spans of tokens as small numbers."""
+    rows = L.by_rules(snippets(spark, d)).select("sample_id", "idx", F.struct("start", "end").alias("span"))
+    return SP.deltas(rows, "sample_id", "idx")
+
+
+@query("span_restored", f"with {_PIECES} select sample_id, idx, start_line, start_col, end_line, end_col from lex")
+def span_restored(spark, d):
+    """Spans made of their deltas."""
+    rows = SP.restored(span_deltas(spark, d), "sample_id", "idx")
+    return rows.select("sample_id", "idx", F.col("span.start.line").alias("start_line"), F.col("span.start.col").alias("start_col"), F.col("span.end.line").alias("end_line"), F.col("span.end.col").alias("end_col"))
+
+
+_KEPT = "k as (select sample_id, idx, regexp_matches(text, '[A-Za-z]') as keep, (row_number() over (partition by sample_id order by idx) - 1) as at from lex), r as (select sample_id, idx, (row_number() over (partition by sample_id order by idx) - 1)::int as new from k where keep)"
+
+
+@query("masked_tokens", f"with {_PIECES}, {_KEPT} select lex.sample_id, r.new as token_idx, lex.text, lex.start_line::int as node_id from lex join r using (sample_id, idx)")
+def masked_tokens(spark, d):
+    """Tokens without punctuation, numbered anew, with their map to nodes (here: lines)."""
+    t = L.by_rules(snippets(spark, d)).select("sample_id", F.col("idx").alias("token_idx"), "text", F.col("start.line").alias("line"), MK.is_word(F.col("text")).alias("keep"))
+    tokens, nodes, _ = MK.masked(t.drop("line"), t.select("sample_id", "token_idx", F.col("line").alias("node_id")), "keep")
+    return tokens.join(nodes, ["sample_id", "token_idx"]).select("sample_id", "token_idx", "text", "node_id")
+
+
+@query("masked_matrix", f"with {_PIECES}, {_KEPT} select a.sample_id, a.new as i, b.new as j, (y.start_line - x.start_line)::int as value from lex x join lex y on x.sample_id = y.sample_id and abs(y.idx - x.idx) <= 3 join r a on a.sample_id = x.sample_id and a.idx = x.idx join r b on b.sample_id = y.sample_id and b.idx = y.idx")
+def masked_matrix(spark, d):
+    """A band matrix over tokens (lines between neighbours), carried along by the mask."""
+    t = L.by_rules(snippets(spark, d)).select("sample_id", F.col("idx").alias("token_idx"), "text", F.col("start.line").alias("line"), MK.is_word(F.col("text")).alias("keep"))
+    near = t.select("sample_id", F.col("token_idx").alias("i"), F.col("line").alias("a"), F.explode(F.sequence(F.col("token_idx") - 3, F.col("token_idx") + 3)).alias("j"))
+    matrix = near.join(t.select("sample_id", F.col("token_idx").alias("j"), F.col("line").alias("b")), ["sample_id", "j"]).select("sample_id", "i", "j", (F.col("b") - F.col("a")).alias("value"))
+    return MK.masked(t, t.select("sample_id", "token_idx"), "keep", matrix)[2]

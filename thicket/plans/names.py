@@ -109,10 +109,12 @@ def drop_impossible(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.filter(F.split(F.lower("text"), " "), lambda w: ~w.isin("the", "of", "and")), " ").alias("words"))
 
 
-@query("identifier_filter", "select source, count(*) as docs, bool_and(ok) as all_legal, count(*) filter (where ok) as legal from (select source, regexp_matches(split_part(text, ' ', 1), '^[a-zA-Z0-9_?$@!*`&~:/''.]+$') as ok from documents) group by source")
+@query("identifier_filter", "select source, count(*) as docs, bool_and(n_illegal = 0) as all_legal, count(*) filter (where n_illegal = 0) as legal, sum(n_illegal)::bigint as n_illegal from (select source, len(list_filter(string_split(text, ' '), lambda w: not regexp_matches(w, '^[a-zA-Z0-9_?$@!*`&~:/''.]+$'))) as n_illegal from documents where text is not null) group by source")
 def identifier_filter(spark, d):
-    ok = F.split_part("text", F.lit(" "), F.lit(1)).rlike(X.LEGAL_IDENTIFIER)
-    return table(spark, d, "documents").select("source", ok.alias("ok")).groupBy("source").agg(F.count("*").alias("docs"), F.bool_and("ok").alias("all_legal"), F.count_if("ok").alias("legal"))
+    """Texts all of whose words are legal identifiers: one that isn't rejects its whole text."""
+    illegal = F.size(F.filter(F.split("text", " "), lambda w: ~w.rlike(X.LEGAL_IDENTIFIER))).alias("n_illegal")
+    rows = table(spark, d, "documents").where("text is not null").select("source", illegal)
+    return rows.groupBy("source").agg(F.count("*").alias("docs"), F.bool_and(F.col("n_illegal") == 0).alias("all_legal"), F.count_if(F.col("n_illegal") == 0).alias("legal"), F.sum("n_illegal").alias("n_illegal"))
 
 
 _LINES = r"array_to_string(list_transform(list_filter(list_zip(ls, list_concat([NULL], ls[:-2])), lambda x: not (trim(x[1]) = '' and x[2] is not null and trim(x[2]) = '')), lambda x: x[1]), chr(10))"
@@ -139,10 +141,10 @@ def span_predicates(spark, d):
     return both.agg(F.count_if(X.span_contains(a, b)).alias("contains_n"), F.count_if(X.span_intersects(a, b)).alias("meets_n"), F.count_if(X.span_size(a) < X.span_size(b)).alias("smaller_n"))
 
 
-@query("path_hash")
+@query("path_hash", "select page_id, md5(url) as path_hash from pages")
 def path_hash(spark, d):
-    """Paths as 64-bit hashes."""
-    return table(spark, d, "pages").select("page_id", F.xxhash64("url").alias("path_hash"))
+    """Paths as hashes."""
+    return table(spark, d, "pages").select("page_id", F.md5("url").alias("path_hash"))
 
 
 @query("method_length", "select doc_id, n_lines from (select doc_id, len(list_filter(string_split(text, chr(10)), lambda l: not starts_with(trim(l), '//') and not starts_with(trim(l), '/*') and not starts_with(trim(l), '*')))::bigint as n_lines from documents) where n_lines between 2 and 20")

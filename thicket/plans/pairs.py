@@ -63,7 +63,7 @@ def context_stats(spark, d):
     return n.agg(F.count("*").alias("samples"), F.avg("n").alias("mean_contexts"), F.avg(F.least("n", F.lit(200))).alias("mean_sampled"), F.max("n").alias("most"))
 
 
-@query("context_lines")
+@query("context_lines", f"{_WITH}{_LEAVES}, k as (select sample_id, v, u, context, row_number() over (partition by sample_id order by v, u) - 1 as i from ctx), h as (select *, row_number() over (partition by sample_id order by md5(concat_ws(':', '239', i, context)), i) as r from k) select h.sample_id, lower(any_value(r_name)) || ' ' || string_agg(context, ' ' order by i) as value from h join region on r_regionkey = h.sample_id where r <= 50 group by 1")
 def context_lines(spark, d):
     """Text lines of target and contexts, sampled by hash to 50 each."""
     ctx = contexts(spark, d)

@@ -15,6 +15,7 @@ SQL: dict[str, str] = {}
 ROUNDED: dict[str, tuple[str, ...]] = {
     "adj_normalized": ("value",),
     "area_bins": ("edge",),
+    "bleu": ("precision", "brevity_penalty", "bleu"),
     "binary_prf": ("precision", "recall", "f1"),
     "count_bins": ("edge",),
     "context_stats": ("mean_contexts", "mean_sampled"),
@@ -60,3 +61,13 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hashed(seed: int, *keys: str) -> str:
+    """SQL of `operators.views.hashed`."""
+    return f"md5(concat_ws(':', '{seed}', {', '.join(keys)}))"
+
+
+def uniform(seed: int, *keys: str) -> str:
+    """SQL of `operators.views.uniform`."""
+    return f"('0x' || substr({hashed(seed, *keys)}, 1, 13))::bigint / 4503599627370496.0"

@@ -78,20 +78,20 @@ def java_ast_nodes(spark, d):
 
 @query("stream_tumbling", "select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as n, sum(value) as total from events group by 1, 2")
 def stream_tumbling(spark, d):
-    return C.run_to_end(C.tumbling(C.events(spark, f"{d}/events.parquet")), "stream_tumbling")
+    return C.run_to_end(C.tumbling(C.events(spark, f"{d}/events.parquet")), "stream_tumbling", "start", "event_type")
 
 
 @query("stream_word_counts", "select lower(trim(w, ' ' || chr(9) || chr(13))) as word, count(*) as cnt from (select unnest(string_split(text, ' ')) as w from conversations) where trim(w, ' ' || chr(9) || chr(13)) <> '' group by 1")
 def stream_word_counts(spark, d):
     path = f"{d}/conversations.parquet"
     texts = spark.readStream.schema(spark.read.parquet(path).schema).parquet(C.table_glob(path))
-    return C.run_to_end(C.word_counts(texts), "stream_word_counts")
+    return C.run_to_end(C.word_counts(texts), "stream_word_counts", "word")
 
 
 @query("stream_sessions", "with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from e) select min(ts)::timestamp as start, user_id, count(*) as n from s group by user_id, k")
 def stream_sessions(spark, d):
     """Sessions of a stream of events, read to its end."""
-    return C.run_to_end(C.sessions(C.events(spark, f"{d}/events.parquet")), "stream_sessions")
+    return C.run_to_end(C.sessions(C.events(spark, f"{d}/events.parquet")), "stream_sessions", mode="complete")
 
 
 @query("session_windows", "with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from e) select min(ts)::timestamp as start, user_id, count(*) as n from s group by user_id, k")

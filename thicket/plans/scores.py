@@ -119,6 +119,27 @@ def rouge_1(spark, d):
     return both.select("conv_id", "turn", M.rouge_1(F.col("ws"), F.col("label")).alias("s")).select("conv_id", "turn", "s.p", "s.r", "s.f")
 
 
+@query(
+    "bleu",
+    """with t as (select conv_id, turn, string_split(lower(text), ' ') as ws from conversations),
+    p as (select b.conv_id, b.turn, b.ws as c, a.ws as r1, z.ws as r2 from t b join t a on a.conv_id = b.conv_id and a.turn = b.turn - 1 left join t z on z.conv_id = b.conv_id and z.turn = b.turn - 2),
+    s as (select conv_id, turn, -1 as side, c as w from p union all select conv_id, turn, 0, r1 from p union all select conv_id, turn, 1, r2 from p where r2 is not null),
+    g as (select conv_id, turn, side, o, array_to_string(list_slice(w, i, i + o - 1), ' ') as gram from (select *, unnest(range(1, len(w) - o + 2)) as i from s, (select unnest(range(1, 5))::int as o) where len(w) >= o)),
+    n as (select conv_id, turn, o, gram, side, count(*) as n from g group by all),
+    m as (select o, least(coalesce(max(n) filter (where side < 0), 0), coalesce(max(n) filter (where side >= 0), 0)) as hit, coalesce(max(n) filter (where side < 0), 0) as c from n group by conv_id, turn, o, gram),
+    q as (select o as "order", sum(hit)::bigint as matches, sum(c)::bigint as total, sum(hit) / sum(c) as precision from m group by o),
+    l as (select sum(len(c)) as c, sum(case when r2 is null or (abs(len(r1) - len(c)), len(r1)) <= (abs(len(r2) - len(c)), len(r2)) then len(r1) else len(r2) end) as r from p)
+    select q.*, case when c >= r then 1 else exp(1 - r / c) end as brevity_penalty, case when c >= r then 1 else exp(1 - r / c) end * case when min(precision) over () > 0 then exp(avg(ln(case when precision > 0 then precision end)) over ()) else 0 end as bleu from q, l""",
+)
+def bleu(spark, d):
+    """Each turn as a candidate for what the one and the two turns before it say."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.split(F.lower("text"), " ").alias("ws"))
+    one, two = (t.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("ws").alias(f"r{k}")) for k in (1, 2))
+    rows = t.join(one, ["conv_id", "turn"]).join(two, ["conv_id", "turn"], "left")
+    rows = rows.select(F.struct("conv_id", "turn").alias("key"), F.filter(F.array("r1", "r2"), lambda w: w.isNotNull()).alias("references"), F.col("ws").alias("candidate"))
+    return M.bleu(rows, "key")
+
+
 @query("rouge_empty", "with t as (select l_returnflag as role, case p_size % 4 when 0 then ['EMPTY'] when 1 then list_distinct(string_split(p_name, ' ')) when 2 then list_distinct(string_split(p_name || ' ' || p_type, ' ')) else list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) end as ws, ['EMPTY', 'red', 'widget'] as label from lineitem join part on l_partkey = p_partkey) select role, avg(len(list_intersect(ws, label)) / len(ws)::double) as p, avg(len(list_intersect(ws, label)) / 3.0::double) as r from t group by role")
 def rouge_empty(spark, d):
     """Names without parts count as the word EMPTY."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions import text as X
 from thicket.operators import views as V
-from thicket.plans.registry import query, table
+from thicket.plans.registry import query, table, uniform
 from thicket.plans.vocab import _VOCAB, small_vocab
 from thicket.session import scratch
 from thicket.sources import files as S
@@ -144,10 +144,10 @@ def epochs(spark, d):
     return out.groupBy("epoch").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@query("full_shuffle")
+@query("full_shuffle", f"select doc_id, row_number() over (order by {uniform(9, 'doc_id')}, doc_id) - 1 as place from documents")
 def full_shuffle(spark, d):
     """All rows in a seeded order, with their places."""
-    rows = V.preceding(table(spark, d, "documents").select("doc_id", F.lit(0).alias("all"), F.xxhash64(F.lit(9), "doc_id").alias("h")), "all", F.lit(1), "h", "doc_id")
+    rows = V.preceding(table(spark, d, "documents").select("doc_id", F.lit(0).alias("all"), V.uniform(9, "doc_id").alias("h")), "all", F.lit(1), "h", "doc_id")
     return rows.select("doc_id", F.col("_before").alias("place"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.operators import views as V
+from thicket.plans.registry import hashed as _hashed
 from thicket.plans.registry import query, table
+from thicket.plans.registry import uniform as _uniform
 
 _TOKENS = "t as (select conv_id * 100 + turn as sample_id, unnest(range(len(string_split(text, ' '))))::int as pos, unnest(string_split(text, ' ')) as word from conversations)"
 
@@ -33,12 +35,12 @@ def oversample_det(spark, d):
     return V.oversampled(table(spark, d, "documents").select("doc_id", "lang"), factors, "lang", 7, "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("oversample_fraction")
+@query("oversample_fraction", f"with n as (select lang, count(*) as n, sqrt(max(count(*)) over () / count(*)) as factor from documents group by lang), d as (select lang, factor, {_uniform(7, 'doc_id')} as u from documents join n using (lang)) select lang, sum(floor(factor)::bigint + (u < factor - floor(factor))::int)::bigint as n from d group by lang")
 def oversample_fraction(spark, d):
     """Factors by the imbalance of languages, with a seeded coin for the fraction."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
     n = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    factors = n.crossJoin(n.agg(F.max("n").alias("top"))).select("lang", F.sqrt(F.col("top") / F.col("n")).alias("factor"))
+    factors = n.select("lang", F.sqrt(F.max("n").over(Window.partitionBy()) / F.col("n")).alias("factor"))  # a row for each language
     return V.oversampled(docs, factors, "lang", 7, "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
 
 
@@ -63,7 +65,7 @@ def accumulate_window(spark, d):
     return out.groupBy("role", F.col("window").alias("win")).agg(F.count("*").alias("samples"), F.sum("n").alias("tokens"))
 
 
-@query("chunk_shuffle")
+@query("chunk_shuffle", f"with t as (select role, conv_id * 100 + turn as sample_id, len(string_split(text, ' '))::int as n from conversations), c as (select *, ((row_number() over (partition by role order by n + {_uniform(5, 'sample_id')}, sample_id) - 1) // 16)::int as chunk, row_number() over (partition by role order by n + {_uniform(5, 'sample_id')}, sample_id) as rn from t) select role, sample_id, n, chunk, (row_number() over (partition by role order by {_uniform(5, 'chunk')}, chunk, rn) - 1)::int as place from c")
 def chunk_shuffle(spark, d):
     """Samples sorted by length, in chunks, the chunks in a seeded order."""
     t = turns(spark, d).withColumn("n", F.size("words"))
@@ -103,10 +105,11 @@ def with_cls(spark, d):
     return turns(spark, d).select("sample_id", F.array_join(V.with_cls(F.col("words")), " ").alias("tokens"))
 
 
-@query("pad_mask", "select doc_id, array_to_string(list_transform(range(20), lambda i: case when i < least(n, 20) then '1' else '0' end), '') as mask from (select doc_id, len(string_split(text, ' ')) as n from documents)")
+@query("pad_mask", "select conv_id, turn, repeat('1', n) || repeat('0', width - n) as mask from (select conv_id, turn, len(string_split(text, ' ')) as n, max(len(string_split(text, ' '))) over (partition by conv_id) as width from conversations)")
 def pad_mask(spark, d):
-    n = F.size(F.split("text", " "))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(V.pad_mask(n, 20), lambda x: x.cast("string")), "").alias("mask"))
+    """The turns of a conversation are a batch: every position of it, as wide as the longest turn."""
+    n = turns(spark, d).select("conv_id", "turn", F.size("words").alias("n")).withColumn("width", F.max("n").over(Window.partitionBy("conv_id")))
+    return n.select("conv_id", "turn", F.array_join(V.pad_mask(F.col("n"), F.col("width")), "").alias("mask"))
 
 
 @query(
@@ -117,11 +120,9 @@ def pad_mask(spark, d):
 )
 def perm_mask(spark, d):
     """The mask of every position of every turn, a text of 0 and 1 over the positions it may not attend."""
-    t = tokens(spark, d)
-    token = F.when(F.col("pos") == 0, 4).when(F.col("pos") % 9 == 5, 5).otherwise(30 + F.length("word"))
-    s = t.select("sample_id", "pos", token.alias("token"), (F.col("pos") % 4 == 1).alias("is_target"), ((F.col("pos") * 7 + 3) % 31).alias("perm"))
-    mask = V.permutation_mask(s).groupBy("sample_id", "i").agg(F.array_sort(F.collect_list(F.struct("j", "blocked"))).alias("x"))
-    return mask.select("sample_id", "i", F.array_join(F.transform("x", lambda x: x["blocked"].cast("string")), "").alias("mask"))
+    token = lambda w, pos: F.struct(F.when(pos == 0, 4).when(pos % 9 == 5, 5).otherwise(30 + F.length(w)).alias("token"), (pos % 4 == 1).alias("is_target"), ((pos * 7 + 3) % 31).alias("perm"))
+    masks = V.permutation_mask(turns(spark, d).select("sample_id", F.transform("words", token).alias("tokens"))).select("sample_id", F.posexplode("blocked").alias("i", "mask"))
+    return masks.select("sample_id", "i", F.array_join("mask", "").alias("mask"))
 
 
 @query("long_enough", "select conv_id, turn from conversations where len(string_split(text, ' ')) >= 12 and len(string_split(role, 's')) >= 2")
@@ -140,34 +141,32 @@ def lm_without_punctuation(spark, d):
 @query("attention_view", "with s as (select conv_id, turn, len(string_split(text, ' '))::int as n from conversations), w as (select conv_id, turn, n, max(n) over (partition by conv_id) as width, 5 + turn % 3 as place from s) select conv_id, turn, 'blocked' as kind, unnest(range(n, width))::int as i from w union all select conv_id, turn, 'target', unnest(list_distinct([0, 1, 2, 3, 4, place]))::int from w")
 def attention_view(spark, d):
     """The turns of a conversation are a batch: which positions are padding, and which are targets."""
-    from pyspark.sql import Window
-
     n = turns(spark, d).select("conv_id", "turn", F.size("words").alias("n"), (5 + F.col("turn") % 3).cast("int").alias("at"))
     n = n.withColumn("width", F.max("n").over(Window.partitionBy("conv_id"))).withColumn("sample_id", F.struct("conv_id", "turn"))
     return V.attention_view(n).select("sample_id.conv_id", "sample_id.turn", "kind", "i")
 
 
-@query("reservoir_sample")
+@query("reservoir_sample", f"select day, l_orderkey, l_linenumber, l_partkey from (select *, row_number() over (partition by day order by {_hashed(3, 'day', 'l_orderkey', 'l_linenumber', 'l_partkey')}, l_orderkey, l_linenumber, l_partkey) as r from (select l_shipdate::date as day, l_orderkey, l_linenumber, l_partkey from lineitem)) where r <= 10")
 def reservoir_sample(spark, d):
     """At most ten lines of each day, by hash."""
     rows = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day"), "l_orderkey", "l_linenumber", "l_partkey")
     return V.reservoir(rows, "day", 10, 3, "l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("lm_view")
+@query("lm_view", f"with {_TOKENS}, r as (select *, row_number() over (partition by sample_id order by {_hashed(11, 'sample_id', 'pos')}, pos) <= 5 as is_target, (row_number() over (partition by sample_id order by {_hashed(12, 'sample_id', 'pos')}, pos) - 1)::int as perm from t) select sample_id, pos, is_target, perm, case when is_target then word end as label from r")
 def lm_view(spark, d):
     """Five targets of each sample with their labels and a seeded permutation."""
     t = tokens(spark, d).withColumn("token", F.col("word"))
     return V.language_model_view(t, 5, 11).select("sample_id", "pos", "is_target", "perm", "label")
 
 
-@query("target_sample")
+@query("target_sample", f"with {_TOKENS} select sample_id, n, pos from (select sample_id, pos, (count(*) over (partition by sample_id))::int as n, row_number() over (partition by sample_id order by {_hashed(3, 'sample_id', 'pos')}, pos) as r from t) where r <= 5")
 def target_sample(spark, d):
     n = turns(spark, d).select("sample_id", F.size("words").alias("n"))
     return V.sampled_positions(n, "sample_id", 5, 3)
 
 
-@query("hash_split")
+@query("hash_split", f"select case when {_uniform(1, 'doc_id')} < 0.8 then 'train' else 'valid' end as partition, count(*) as n from documents group by 1")
 def hash_split(spark, d):
     return V.split_by_hash(table(spark, d, "documents").select("doc_id", "source"), 0.8, 1, "doc_id").groupBy("partition").agg(F.count("*").alias("n"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from thicket.operators.vocab import counts
+from thicket.session import scratch
 
 
 def table_glob(path: str) -> str:
@@ -50,8 +51,38 @@ def merged_counts(spark: SparkSession, path: str, key: str = "word") -> DataFram
     return spark.read.parquet(path).groupBy(key).agg(F.sum("cnt").alias("cnt"))
 
 
-def run_to_end(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all input that is there, and gives what its sink holds then."""
-    query: StreamingQuery = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return rows.sparkSession.table(name)
+def sink(path: str, after: Callable[[int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the rows of a batch as files under its number. A batch that runs again after a failure replaces what it wrote before.
+    after: called when a batch is written, before the stream notes it as done (tests stop a stream there)."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        if after:
+            after(number)
+
+    return write
+
+
+def durable(rows: DataFrame, path: str, mode: str = "update", after: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Starts a stream of aggregates into files below a path, with its checkpoint beside them: started anew on the same path it goes on
+    where it stopped. With `update` a batch holds the groups that it changed, with `complete` all of them."""
+    spark = rows.sparkSession
+    spark.createDataFrame([], rows.schema).write.mode("ignore").parquet(f"{path}/data/batch=-1")
+    return rows.writeStream.foreachBatch(sink(path, after)).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str, *keys: str, mode: str = "update") -> DataFrame:
+    """The groups as the last batch left them: of each key the row of its last batch, or all rows of the last batch."""
+    rows = spark.read.parquet(f"{path}/data")
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(last), "batch", "left_semi").drop("batch")  # one row
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")
+
+
+def run_to_end(rows: DataFrame, name: str, *keys: str, mode: str = "update") -> DataFrame:
+    """Runs a stream over all input that is there, and gives its groups then. State and results are in the shared folder."""
+    path = scratch(rows.sparkSession, name)
+    durable(rows, path, mode).awaitTermination()
+    return latest(rows.sparkSession, path, *keys, mode=mode).select(*rows.columns)
