@@ -111,3 +111,9 @@ def test_one_of_each_group_stays(spark):
     assert sorted(k for k in kept if k is not None) == sorted({g for g in want.values()})
     assert kept.count(None) == 2
     assert {r["_kept"] for r in out.collect()} == {"k"}
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = spark.createDataFrame([(1, "one two three four five six", "a"), (2, "one two three four five six", "b"), (3, None, "c")], "doc_id bigint, text string, _row string")
+    out = N.without_near_duplicates(rows)
+    assert out.columns == ["doc_id", "text", "_row"] and {(r.doc_id, r["_row"]) for r in out.collect()} == {(1, "a"), (3, "c")}

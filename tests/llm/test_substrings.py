@@ -64,3 +64,9 @@ def test_texts_without_repeats(spark):
 
 def test_empty_table(spark):
     assert S.repeats(table(spark, [])).count() == 0 and S.without_repeats(table(spark, [])).count() == 0
+
+
+def test_n_chars_that_is_no_number_stays(spark):
+    text = prose(3, 80)
+    docs = spark.createDataFrame([(1, text, "many"), (2, text, None)], "doc_id bigint, text string, n_chars string")
+    assert {(r.doc_id, r.n_chars, r.text) for r in S.without_repeats(docs).collect()} == {(1, "many", ""), (2, None, "")}
