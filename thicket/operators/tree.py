@@ -40,8 +40,14 @@ def closure(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     return own.unionByName(known)
 
 
+def _no_row_limit(rows: DataFrame) -> None:
+    """Recursive queries stop at a million rows unless told otherwise; here they end with the depth of the trees."""
+    rows.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+
+
 def closure_recursive(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
     """The same as a recursive query, for trees of unknown depth."""
+    _no_row_limit(nodes)
     return nodes.sparkSession.sql(
         f"""with recursive up(sample_id, ancestor, node, height) max recursion level {max_depth} as (
         select sample_id, node_id, node_id, 0 from {{nodes}} union all
@@ -336,6 +342,7 @@ def from_vertices(files: DataFrame, json: str = "ast") -> DataFrame:
 
 def from_nested(files: DataFrame, json: str = "ast", max_depth: int = 60) -> DataFrame:
     """Nodes of the recursive dialect (type, childNodes), numbered in pre-order, by a recursive query over variants."""
+    _no_row_limit(files)
     out = files.sparkSession.sql(
         f"""with recursive t(sample_id, v, path) max recursion level {max_depth} as (
         select sample_id, parse_json({json}), cast(array() as array<int>) from {{files}} union all

@@ -198,6 +198,19 @@ def language_model_view(tokens: DataFrame, k: int, seed: int, sample: str = "sam
     return permutation(out, sample, "pos", seed + 1).withColumn("label", F.when(F.col("is_target"), F.col("token")))
 
 
+def pointer_view(tokens: DataFrame, pad: int = PAD, sample: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """Pointers of a language model's samples: a model may not copy what it has to predict. tokens: (sample, pos, is_target, ids), ids being the ids of a token's
+    parts in the extended vocabulary, padding among them.
+
+    Gives the ids that can be pointed at (sample, ids: those of tokens that aren't targets, in order, without padding), and the mask of the
+    parts (sample, pos, mask: as long as ids, true where one is left). Samples without any id left have an empty array.
+    """
+    mask = F.transform("ids", lambda x: (x != pad) & ~F.col("is_target"))
+    rows = tokens.withColumn("mask", mask).withColumn("_left", F.filter("ids", lambda x: (x != pad) & ~F.col("is_target")))
+    lists = rows.groupBy(sample).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_left"))), lambda x: x["_left"])).alias("ids"))
+    return lists, rows.select(sample, "pos", "mask")
+
+
 def split_by_hash(rows: DataFrame, share: float, seed: int, *ids: str) -> DataFrame:
     """partition: train for `share` of the rows, else valid; by a hash of the ids."""
     return rows.withColumn("partition", F.when(uniform(seed, *ids) < share, "train").otherwise("valid"))

@@ -9,29 +9,21 @@ from thicket.operators import dedup as D
 from thicket.operators import paths as P
 from thicket.operators import tree as T
 from thicket.plans.registry import query, table
-from thicket.plans.trees import _UP, _WITH, nodes
+from thicket.plans.trees import _UP, _WITH, nodes, numbered
 
-#: Leaves: suppliers, named by their key in a camel-case name; every fifth is a number.
+#: Leaves: sentences, named by their key in a camel-case name; every fifth is a number.
 _LEAVES = f"""{_UP.replace("select a.sample_id::bigint as sample_id, a.node_id, b.node_id as parent_id, a.node_type", "select a.sample_id::bigint as sample_id, a.node_id, b.node_id as parent_id, a.node_type, a.s")},
-leaves as (select sample_id, node_id, case when s % 5 = 0 then 'NUM' else 'supplier|key|' || node_type_l || s end as value from (select *, lower(node_type) as node_type_l from nodes where s is not null)),
+leaves as (select sample_id, node_id, case when s % 5 = 0 then 'NUM' else 'sentence|key|' || node_type_l || s end as value from (select *, lower(node_type) as node_type_l from nodes where s is not null)),
 lca as (select a.sample_id, a.node as v, b.node as u, arg_min(a.ancestor, a.height) as lca, min(a.height) as hv, arg_min(b.height, a.height) as hu from up a join up b using (sample_id, ancestor) join leaves x on x.sample_id = a.sample_id and x.node_id = a.node join leaves y on y.sample_id = b.sample_id and y.node_id = b.node where a.node < b.node group by 1, 2, 3),
-ctx as (select l.sample_id, v, u, x.value || ',' || case when hv = 1 then 'leaf|Nation|leaf' else 'leaf|Nation|Region|Nation|leaf' end || ',' || y.value as context from lca l join leaves x on x.sample_id = l.sample_id and x.node_id = v join leaves y on y.sample_id = l.sample_id and y.node_id = u where hv + 1 + hu <= 8 and abs(hv - hu) <= 2)"""
+ctx as (select l.sample_id, v, u, x.value || ',' || case when hv = 1 then 'leaf|Turn|leaf' else 'leaf|Turn|Dialogue|Turn|leaf' end || ',' || y.value as context from lca l join leaves x on x.sample_id = l.sample_id and x.node_id = v join leaves y on y.sample_id = l.sample_id and y.node_id = u where hv + 1 + hu <= 8 and abs(hv - hu) <= 2)"""
 
 
 def named_nodes(spark, d: str) -> DataFrame:
-    """The region trees as syntax trees: suppliers are identifiers or numbers."""
-    tree = nodes(spark, d)
-    s, nation = table(spark, d, "supplier"), table(spark, d, "nation")
-    ranked = T.preorder(
-        table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("sample_id"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("bigint").alias("s"))
-        .union(nation.select(F.col("n_regionkey").cast("bigint"), "n_nationkey", F.lit(None).cast("bigint")))
-        .union(s.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("bigint"), "n_nationkey", "s_suppkey")),
-        "sample_id",
-        ["n", "s"],
-    )
+    """The dialogues' trees as syntax trees: sentences are identifiers or numbers."""
+    tree, ranked = nodes(spark, d), numbered(spark, d)
     both = tree.join(ranked.select("sample_id", "node_id", "s"), ["sample_id", "node_id"])
     kind = F.when(F.col("s").isNull(), F.col("node_type")).when(F.col("s") % 5 == 0, "Integer").otherwise("Identifier")
-    value = F.when(F.col("s").isNotNull(), F.concat(F.lit("supplierKey_"), F.lower("node_type"), F.col("s").cast("string")))
+    value = F.when(F.col("s").isNotNull(), F.concat(F.lit("sentenceKey_"), F.lower("node_type"), F.col("s").cast("string")))
     return both.select("sample_id", "node_id", "parent_id", F.lit("python").alias("language"), kind.alias("node_type"), value.alias("value"), F.lit(0).alias("name_node"))
 
 
@@ -63,11 +55,11 @@ def context_stats(spark, d):
     return n.agg(F.count("*").alias("samples"), F.avg("n").alias("mean_contexts"), F.avg(F.least("n", F.lit(200))).alias("mean_sampled"), F.max("n").alias("most"))
 
 
-@query("context_lines", f"{_WITH}{_LEAVES}, k as (select sample_id, v, u, context, row_number() over (partition by sample_id order by v, u) - 1 as i from ctx), h as (select *, row_number() over (partition by sample_id order by md5(concat_ws(':', '239', i, context)), i) as r from k) select h.sample_id, lower(any_value(r_name)) || ' ' || string_agg(context, ' ' order by i) as value from h join region on r_regionkey = h.sample_id where r <= 50 group by 1")
+@query("context_lines", f"{_WITH}{_LEAVES}, k as (select sample_id, v, u, context, row_number() over (partition by sample_id order by v, u) - 1 as i from ctx), h as (select *, row_number() over (partition by sample_id order by md5(concat_ws(':', '239', i, context)), i) as r from k) select sample_id, 'dialogue' || sample_id || ' ' || string_agg(context, ' ' order by i) as value from h where r <= 50 group by sample_id")
 def context_lines(spark, d):
     """Text lines of target and contexts, sampled by hash to 50 each."""
     ctx = contexts(spark, d)
-    targets = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("sample_id"), F.lower("r_name").alias("target"))
+    targets = ctx.select("sample_id", F.concat(F.lit("dialogue"), F.col("sample_id").cast("string")).alias("target")).distinct()
     line = P.lines(ctx, targets)
     parts = F.split("value", " ")
     return line.select("sample_id", F.array_join(F.concat(F.slice(parts, 1, 1), P.sampled(F.slice(parts, F.lit(2), F.size(parts)), 50, F.lit(239))), " ").alias("value"))
@@ -97,14 +89,14 @@ def signed_width_pairs(spark, d):
     "numbered_paths",
     f"""{_WITH}{_LEAVES}, {_KIDS_NO}, ty as (select n.sample_id, n.node_id, case when n.s is null then n.node_type when n.s % 5 = 0 then 'Integer' else 'Identifier' end as t, least(coalesce(child_no, 0), 3) as c from nodes n left join kn using (sample_id, node_id)),
     st as (select l.sample_id, l.v, l.u, l.hv, a.height as pos, a.ancestor as node_id from lca l join up a on a.sample_id = l.sample_id and a.node = l.v and a.height <= l.hv union all select l.sample_id, l.v, l.u, l.hv, l.hv + l.hu - b.height, b.ancestor from lca l join up b on b.sample_id = l.sample_id and b.node = l.u and b.height < l.hu)
-    select sample_id, v, u, string_agg(t || case when node_id in (v, u) or (t = 'Nation') then c::varchar else '' end, '|' order by pos) as path from st join ty using (sample_id, node_id) group by 1, 2, 3""",
+    select sample_id, v, u, string_agg(t || case when node_id in (v, u) or (t = 'Turn') then c::varchar else '' end, '|' order by pos) as path from st join ty using (sample_id, node_id) group by 1, 2, 3""",
 )
 def numbered_paths(spark, d):
-    """Paths that show the numbers of their ends and of the children of regions."""
+    """Paths that show the numbers of their ends and of the children of dialogues."""
     pairs, n = pairs_of(spark, d)
     parent = n.select("sample_id", F.col("node_id").alias("parent_id"), F.col("node_type").alias("parent_type"))
     shown = n.join(parent, ["sample_id", "parent_id"], "left").join(T.child_number(n, 1_000_000), ["sample_id", "node_id"], "left").withColumn("child_no", F.coalesce("child_no", F.lit(0)))
-    return P.rendered_with_numbers(pairs, shown, 3, ("Region",))
+    return P.rendered_with_numbers(pairs, shown, 3, ("Dialogue",))
 
 
 @query("dense_contexts")

@@ -63,17 +63,16 @@ def stage2_bins(spark, d):
     return stages.stage2(s, words, 8, 3, 4)[1]
 
 
-@query("java_ast_nodes", f"with {_NODES} select sample_id, node_id, parent_id, case when parent_id is not null then (row_number() over (partition by sample_id, parent_id order by node_id) - 1)::int end as child_idx, case node_type when 'Empty' then 'Supplier' else node_type end as node_type from nodes")
+@query("java_ast_nodes", f"with {_NODES} select sample_id, node_id, parent_id, case when parent_id is not null then (row_number() over (partition by sample_id, parent_id order by node_id) - 1)::int end as child_idx, case node_type when 'Empty' then 'Sentence' else node_type end as node_type from nodes")
 def java_ast_nodes(spark, d):
-    """The recursive dialect: a region with its nations and suppliers as nested JSON."""
+    """The recursive dialect: a dialogue with its turns and sentences as nested JSON."""
     from thicket.operators.tree import from_nested
 
-    nation, supplier = table(spark, d, "nation"), table(spark, d, "supplier")
-    leaf = F.struct(F.lit("Supplier").alias("type"))
-    kids = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_list(leaf).alias("childNodes"))
-    nations = nation.join(kids, "n_nationkey", "left").groupBy(F.col("n_regionkey").cast("bigint").alias("sample_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.lit("Nation").alias("type"), "childNodes"))).alias("c"))
-    tree = F.struct(F.lit("Region").alias("type"), F.transform("c", lambda x: F.struct(x["type"].alias("type"), x["childNodes"].alias("childNodes"))).alias("childNodes"))
-    return from_nested(nations.select("sample_id", F.to_json(tree).alias("ast")))
+    leaf = F.struct(F.lit("Sentence").alias("type"))
+    t = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.array_repeat(leaf, F.size(F.split("text", r"\. "))).alias("childNodes"))
+    turns = t.groupBy(F.col("conv_id").alias("sample_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.lit("Turn").alias("type"), "childNodes"))).alias("c"))
+    tree = F.struct(F.lit("Dialogue").alias("type"), F.transform("c", lambda x: F.struct(x["type"].alias("type"), x["childNodes"].alias("childNodes"))).alias("childNodes"))
+    return from_nested(turns.select("sample_id", F.to_json(tree).alias("ast")))
 
 
 @query("stream_tumbling", "select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as n, sum(value) as total from events group by 1, 2")

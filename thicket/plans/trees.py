@@ -1,4 +1,4 @@
-"""Queries over trees: a region's nations and suppliers are one tree each, and so are small trees of identifiers."""
+"""Queries over trees: a dialogue with its turns and their sentences is one tree, so trees grow in number with the data, not in size."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from thicket.operators import tree as T
 from thicket.plans.registry import query, table
 
-_NODES = """raw as (
-  select r_regionkey as sample_id, null::int as n, null::bigint as s, 'Region' as node_type from region
-  union all select n_regionkey, n_nationkey, null, 'Nation' from nation
-  union all select n_regionkey, n_nationkey, s_suppkey, case when s_suppkey % 4 = 0 then 'Empty' else 'Supplier' end from supplier join nation on s_nationkey = n_nationkey),
+_NODES = """sentences as (select conv_id, turn, generate_subscripts(string_split(text, '. '), 1) as k from conversations where text is not null),
+raw as (
+  select distinct conv_id as sample_id, null::int as n, null::bigint as s, 'Dialogue' as node_type from conversations where text is not null
+  union all select conv_id, turn::int, null, 'Turn' from conversations where text is not null
+  union all select conv_id, turn::int, turn * 100000 + k, case when (turn + k) % 4 = 0 then 'Empty' else 'Sentence' end from sentences),
 ids as (select *, ((row_number() over (partition by sample_id order by n nulls first, s nulls first)) - 1)::int as node_id from raw),
 nodes as (select a.sample_id::bigint as sample_id, a.node_id, b.node_id as parent_id, a.node_type from ids a left join ids b on b.sample_id = a.sample_id and a.n is not null and case when a.s is null then b.n is null else b.n = a.n and b.s is null end)"""
 _UP = f"""{_NODES}, up as (select sample_id, node_id as ancestor, node_id as node, 0 as height from nodes union all
@@ -20,18 +21,22 @@ _SP = f"{_UP}, sp as (select a.sample_id, a.node as i, b.node as j, min(a.height
 _WITH = "with recursive "
 
 
+def numbered(spark, d: str) -> DataFrame:
+    """(sample_id, n, s, node_type, node_id): dialogues, turns n and sentences s of them, in pre-order."""
+    t = table(spark, d, "conversations").where("text is not null").select(F.col("conv_id").alias("sample_id"), F.col("turn").cast("int").alias("n"), "turn", "text")
+    no_n, no_s = F.lit(None).cast("int").alias("n"), F.lit(None).cast("bigint").alias("s")
+    raw = t.select("sample_id", no_n, no_s, F.lit("Dialogue").alias("node_type")).distinct().union(t.select("sample_id", "n", no_s, F.lit("Turn")))
+    line = t.select("sample_id", "n", "turn", F.posexplode(F.split("text", r"\. ")).alias("k", "line")).withColumn("k", F.col("k") + 1)
+    raw = raw.union(line.select("sample_id", "n", F.col("turn") * 100_000 + F.col("k"), F.when((F.col("turn") + F.col("k")) % 4 == 0, "Empty").otherwise("Sentence")))
+    return T.preorder(raw, "sample_id", ["n", "s"])
+
+
 def nodes(spark, d: str) -> DataFrame:
-    region, nation, supplier = (table(spark, d, t) for t in ("region", "nation", "supplier"))
-    none = F.lit(None)
-    raw = region.select(F.col("r_regionkey").cast("bigint").alias("sample_id"), none.cast("int").alias("n"), none.cast("bigint").alias("s"), F.lit("Region").alias("node_type"))
-    raw = raw.union(nation.select(F.col("n_regionkey").cast("bigint"), "n_nationkey", none.cast("bigint"), F.lit("Nation")))
-    leaf = F.when(F.col("s_suppkey") % 4 == 0, "Empty").otherwise("Supplier")
-    raw = raw.union(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("bigint"), "n_nationkey", "s_suppkey", leaf))
-    ids = T.preorder(raw, "sample_id", ["n", "s"])
-    # the parent's number: of the last inner node above, in pre-order
+    ids = numbered(spark, d)
+    # the parent's number: of the last turn above, in pre-order
     w = Window.partitionBy("sample_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    nation_id = F.last(F.when(F.col("s").isNull() & F.col("n").isNotNull(), F.col("node_id")), ignorenulls=True).over(w)
-    parent = F.when(F.col("s").isNotNull(), nation_id).when(F.col("n").isNotNull(), F.lit(0))
+    turn = F.last(F.when(F.col("s").isNull() & F.col("n").isNotNull(), F.col("node_id")), ignorenulls=True).over(w)
+    parent = F.when(F.col("s").isNotNull(), turn).when(F.col("n").isNotNull(), F.lit(0))
     return ids.withColumn("parent_id", parent).select("sample_id", "node_id", "parent_id", "node_type")
 
 
@@ -122,19 +127,21 @@ _SPANS = f"{_UP}, spans as (select sample_id, ancestor as node_id, min(node) as
 
 def spans(spark, d: str) -> DataFrame:
     """A node's span: the pre-order numbers of its subtree."""
-    return up(spark, d).groupBy("sample_id", F.col("ancestor").alias("node_id")).agg(F.min("node").alias("lo"), (F.max("node") + 1).alias("hi"))
+    n = nodes(spark, d)
+    reach = T.closure(n, 4).groupBy("sample_id", F.col("ancestor").alias("node_id")).agg(F.min("node").alias("lo"), (F.max("node") + 1).alias("hi"))
+    return reach.join(n.select("sample_id", "node_id", "parent_id"), ["sample_id", "node_id"])
 
 
 def token_spans(spark, d: str) -> DataFrame:
     return nodes(spark, d).select("sample_id", F.col("node_id").alias("token_idx"), F.col("node_id").alias("start"), (F.col("node_id") + 1 + (F.col("node_id") % 5 == 0).cast("int")).alias("stop"))
 
 
-@query("token_node_map", f"{_WITH}{_SPANS} select t.sample_id, t.token_idx, arg_min(s.node_id, (s.hi - s.lo) * 1000000 - s.node_id) as node_id from tok t join spans s on s.sample_id = t.sample_id and s.lo <= t.start and s.hi >= t.stop group by 1, 2")
+@query("token_node_map", f"{_WITH}{_SPANS} select t.sample_id, t.token_idx, coalesce(arg_min(s.node_id, (s.hi - s.lo) * 1000000 - s.node_id), 0) as node_id from tok t left join spans s on s.sample_id = t.sample_id and s.lo <= t.start and s.hi >= t.stop group by 1, 2")
 def token_node_map(spark, d):
     return T.tightest_node(token_spans(spark, d), spans(spark, d))
 
 
-@query("node_tokens", f"{_WITH}{_SPANS}, m as (select t.sample_id, t.token_idx, arg_min(s.node_id, (s.hi - s.lo) * 1000000 - s.node_id) as node_id from tok t join spans s on s.sample_id = t.sample_id and s.lo <= t.start and s.hi >= t.stop group by 1, 2) select sample_id, node_id, string_agg(token_idx::varchar, ' ' order by token_idx) as tokens from m group by 1, 2")
+@query("node_tokens", f"{_WITH}{_SPANS}, m as (select t.sample_id, t.token_idx, coalesce(arg_min(s.node_id, (s.hi - s.lo) * 1000000 - s.node_id), 0) as node_id from tok t left join spans s on s.sample_id = t.sample_id and s.lo <= t.start and s.hi >= t.stop group by 1, 2) select sample_id, node_id, string_agg(token_idx::varchar, ' ' order by token_idx) as tokens from m group by 1, 2")
 def node_tokens(spark, d):
     out = T.tokens_of_nodes(T.tightest_node(token_spans(spark, d), spans(spark, d)))
     return out.select("sample_id", "node_id", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"))
@@ -226,7 +233,7 @@ def coo_roundtrip(spark, d):
 
 @query("ppr_distances")
 def ppr_distances(spark, d):
-    """Personalised PageRank of the regions' whole trees."""
+    """Personalised PageRank of whole trees."""
     return T.pagerank_distances(nodes(spark, d), threshold=float(2.718281828459045**-5))
 
 

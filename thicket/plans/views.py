@@ -160,6 +160,29 @@ def lm_view(spark, d):
     return V.language_model_view(t, 5, 11).select("sample_id", "pos", "is_target", "perm", "label")
 
 
+_PARTS = f"with {_TOKENS}, r as (select *, row_number() over (partition by sample_id order by {_hashed(11, 'sample_id', 'pos')}, pos) <= 5 as is_target, list_transform(regexp_extract_all(word, '.{{1,4}}'), lambda x, i: case when i % 3 = 0 then 3 else 10 * pos + length(x) end) as ids from t)"
+
+
+def with_parts(spark, d: str) -> DataFrame:
+    """Samples of a language model whose words have parts of four letters; every third part is padding."""
+    part = lambda x, i: F.when(i % 3 == 2, 3).otherwise(10 * F.col("pos") + F.length(x)).cast("int")
+    t = tokens(spark, d).withColumn("token", F.col("word"))
+    return V.language_model_view(t, 5, 11).withColumn("ids", F.transform(F.regexp_extract_all("word", F.lit(".{1,4}"), F.lit(0)), part))
+
+
+@query("pointer_ids", f"{_PARTS}, f as (select sample_id, pos, is_target, list_filter(ids, lambda x: x <> 3 and not is_target) as kept from r) select sample_id, coalesce(string_agg(array_to_string(kept, ' '), ' ' order by pos) filter (where len(kept) > 0), '') as ids from f group by sample_id")
+def pointer_ids(spark, d):
+    """What a pointer may point at: parts of tokens that aren't to be predicted."""
+    out = V.pointer_view(with_parts(spark, d))[0]
+    return out.select("sample_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@query("pointer_mask", f"{_PARTS} select sample_id, pos, array_to_string(list_transform(ids, lambda x: case when x <> 3 and not is_target then '1' else '0' end), '') as mask from r")
+def pointer_mask(spark, d):
+    out = V.pointer_view(with_parts(spark, d))[1]
+    return out.select("sample_id", "pos", F.array_join(F.transform("mask", lambda x: x.cast("int").cast("string")), "").alias("mask"))
+
+
 @query("target_sample", f"with {_TOKENS} select sample_id, n, pos from (select sample_id, pos, (count(*) over (partition by sample_id))::int as n, row_number() over (partition by sample_id order by {_hashed(3, 'sample_id', 'pos')}, pos) as r from t) where r <= 5")
 def target_sample(spark, d):
     n = turns(spark, d).select("sample_id", F.size("words").alias("n"))
