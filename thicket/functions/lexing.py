@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from thicket.functions.text import sub_tokens
 from thicket.operators import lexemes as L
 from thicket.schema import NUM_SUB_TOKENS
+from thicket.session import written
 
 try:
     import pygments
@@ -128,7 +129,7 @@ def lexed(rows: DataFrame, config: LexConfig, code: str = "code") -> DataFrame:
 def tokenized(rows: DataFrame, config: LexConfig, code: str = "code") -> DataFrame:
     """rows (by sample_id) with clean_code, tokens and error: string runs and numbers masked, indentation marked, names in parts.
     A text without a change of indentation has null tokens and the reason, unless allow_flat, and harms no other."""
-    done = lexed(rows, config, code)
+    done = written(lexed(rows, config, code), "lexed")
     lexemes = done.select(L.S, F.posexplode("lexemes").alias("idx", "t")).select(L.S, F.col("idx").cast("bigint").alias("idx"), "t.text", "t.kind", "t.start", "t.end")
     styles = L.indent_styles(done.select(L.S, "clean_code"), "clean_code")
     out = L.drop_spaces(L.indented(L.mask_numbers(L.mask_strings(lexemes)), styles, allow_flat=config.allow_flat))

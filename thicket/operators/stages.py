@@ -12,6 +12,7 @@ from thicket.functions.text import label_tokens, span_size
 from thicket.operators import binning, tree, vocab
 from thicket.operators.views import within_limit
 from thicket.schema import MAX_TOKENS
+from thicket.session import written
 
 S = "sample_id"
 
@@ -39,9 +40,9 @@ def stage1(methods: DataFrame, asts: DataFrame, config: LexConfig, limit: int =
 
     Order of work: lex, drop long and faulty samples, then parse trees, prune them and map the tokens.
     """
-    samples = within_limit(tokenized(methods, config), limit=limit).where("func_name <> ''").withColumn("label", label_tokens(F.col("func_name")))
+    samples = written(within_limit(tokenized(methods, config), limit=limit).where("func_name <> ''").withColumn("label", label_tokens(F.col("func_name"))), "stage1-samples")
     kept = asts.join(samples.select(S), S, "left_semi")
-    nodes = tree.from_nested(kept) if nested else tree.from_vertices(kept)
+    nodes = written(tree.from_nested(kept) if nested else tree.from_vertices(kept), "stage1-nodes")
     parsed = nodes.select(S).distinct()
     samples = samples.join(parsed, S, "left_semi")
     tokens = samples.select(S, F.posexplode("tokens").alias("token_idx", "t")).select(S, "token_idx", "t.sub_tokens", "t.token_type", "t.span")
@@ -70,6 +71,6 @@ def stage2(stage: Stage1, words: DataFrame, n_bins: int = 32, fixed: int = 9, ma
     """Encoded tokens (sample_id, token_idx, sub_idx, id) and binned distances of the trees."""
     flat = stage.tokens.select(S, "token_idx", F.posexplode("sub_tokens").alias("sub_idx", "word"))
     dist = distances(stage.nodes, max_depth)
-    warp = binning.exponential(1.3)
-    discrete = binning.binned(dist.where("metric <> 'ppr'"), n_bins, fixed, warp)
+    # a sample's distances are made by long plans: its bins are found where they are, in one group, rather than by more passes over them
+    discrete = binning.binned(dist.where("metric <> 'ppr'"), n_bins, fixed, binning.exponential(1.3))
     return vocab.encode(flat, words), discrete.unionByName(binning.binned(dist.where("metric = 'ppr'"), n_bins, discrete=False))

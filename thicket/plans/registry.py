@@ -18,6 +18,7 @@ ROUNDED: dict[str, tuple[str, ...]] = {
     "bleu": ("precision", "brevity_penalty", "bleu"),
     "binary_prf": ("precision", "recall", "f1"),
     "count_bins": ("edge",),
+    "distance_bins": ("edge",),
     "context_stats": ("mean_contexts", "mean_sampled"),
     "label_smoothing": ("loss",),
     "macro_f1": ("precision", "recall", "f1"),

@@ -13,6 +13,7 @@ from thicket.functions.text import pad_or_truncate
 from thicket.operators import binning as B
 from thicket.operators import metrics as M
 from thicket.plans.registry import query, table
+from thicket.plans.trees import _TREE_METRICS
 from thicket.plans.trees import metrics as tree_metrics
 from thicket.plans.trees import nodes
 
@@ -251,11 +252,26 @@ def bin_assign_cont(spark, d):
     return B.bins_of(rows, edges, "flag", "q").groupBy("flag", F.col("bin").cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("distance_bins")
+@query(
+    "distance_bins",
+    f"""{_TREE_METRICS},
+    v as (select sample_id, metric, value as v, count(*) as c from dist where abs(value) < 1000 group by all),
+    g as (select *, count(*) over gr as distinct_n, min(v) over gr as least, sum(case when v < -1 or v >= 2 then c else 0 end) over gr as outside from v window gr as (partition by sample_id, metric)),
+    s as (select *, case when distinct_n + 1 < 8 then 'few' when least >= 0 then case when v > 3 then 'tail' end when v < -1 then 'below' when v >= 2 then 'above' end as side from g),
+    x as (select *, (case side when 'below' then -v else v end)::double as x from s where side is not null),
+    a as (select *, sum(sqrt(x - p)) over w as area, lead(x) over w as nx from (select *, coalesce(lag(x) over w, x) as p from x window w as (partition by sample_id, metric, side order by x)) window w as (partition by sample_id, metric, side order by x)),
+    t as (select *, lead(area) over (partition by sample_id, metric, side order by x) as na, max(area) over ws as total, case side when 'tail' then 3 when 'below' then floor(sum(c) over ws * 4 / outside) when 'above' then ceil(sum(c) over ws * 4 / outside) end::int as parts from a window ws as (partition by sample_id, metric, side)),
+    j as (select *, unnest(range(case side when 'tail' then 0 else 1 end, parts + 1)) as j from t where side <> 'few' and parts >= 1),
+    q as (select *, case when j = parts then total when side = 'tail' then j * total / parts else total * (pow(1.3, j) - 1) / (pow(1.3, parts) - 1) end as at_ from j),
+    e as (select sample_id, metric, case side when 'below' then -1 else 1 end * case when nx is null then x else x + (at_ - area) / (na - area) * (nx - x) end as edge from q where at_ >= area and (nx is null or at_ < na)
+      union all select sample_id, metric, x from t where side = 'few' union all select sample_id, metric, (case when least >= 0 then 0 else -1 end + k)::double from (select distinct sample_id, metric, least from g where distinct_n + 1 >= 8), (select unnest(range(3)) as k)),
+    o as (select sample_id, metric, list(edge::float order by edge) as edges from e group by all),
+    b as (select d.*, edges, case when abs(value) >= 1000 then 0 when value < 0 then len(list_filter(edges, lambda z: z < 0 and z <= value::float)) else len(list_filter(edges, lambda z: z < 0 or z < value::float)) + 1 end::int as bin from dist d left join o using (sample_id, metric))
+    select sample_id, metric, bin, case when bin = 0 then 10000.0 else edges[bin]::double end as edge, count(*) as pairs from b group by all""",
+)
 def distance_bins(spark, d):
-    """Ancestor, sibling and shortest-path distances in 32 bins that grow away from zero."""
-    dist = tree_metrics(spark, d).withColumn("value", F.col("value").cast("double"))
-    return B.binned(dist, 8, 3, B.exponential(1.3)).groupBy("sample_id", "metric", "bin", "edge").agg(F.count("*").alias("pairs"))
+    """Ancestor, sibling and shortest-path distances in 8 bins, three of them around zero, the others growing away from it."""
+    return B.binned_distances(tree_metrics(spark, d), 8, 3, 1.3).groupBy("sample_id", "metric", "bin", "edge").agg(F.count("*").alias("pairs"))
 
 
 @query("ppr_bins")

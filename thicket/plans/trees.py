@@ -197,6 +197,12 @@ def metrics(spark, d: str) -> DataFrame:
     return tag(T.ancestor_distances(u), "ancestor_sp").union(tag(T.sibling_distances(n), "sibling_sp")).union(tag(T.shortest_paths(u), "shortest_paths"))
 
 
+#: SQL of `metrics`.
+_TREE_METRICS = f"""{_WITH}{_SP}, {_KIDS}, dist as (select sample_id, 'ancestor_sp' as metric, ancestor as i, node as j, height as value from up union all select sample_id, 'ancestor_sp', node, ancestor, -height from up where height > 0
+    union all select sample_id, 'sibling_sp', node_id, node_id, 0 from nodes union all select a.sample_id, 'sibling_sp', a.node_id, b.node_id, (b.k - a.k)::int from kids a join kids b using (sample_id, parent_id) where a.k <> b.k
+    union all select sample_id, 'shortest_paths', i, j, value from sp)"""
+
+
 @query("max_dist_mask", f"{_WITH}{_SP}, {_KIDS}, f as (select sample_id, i, j, value > 2 as far from sp union all select a.sample_id, a.node_id, b.node_id, abs(b.k - a.k) > 1 from kids a join kids b using (sample_id, parent_id) union all select sample_id, 0, 0, false from nodes where node_id = 0) select sample_id, i, j, bool_or(far) as masked from f group by 1, 2, 3")
 def max_dist_mask(spark, d):
     """Pairs further apart than 2 edges or 1 sibling; ancestor distances are left out by -1."""

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
@@ -46,6 +46,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table in the shared folder: what it took to make them is done once, however often they are used, and a lost executor costs a read."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers once per application.
 
