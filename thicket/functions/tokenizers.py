@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
 
+from thicket.session import ship
+
 Place = tuple[int, int]
 Tokenizer = Callable[[str], Iterable[tuple[str, str, Place, Place]]]
 TOKENIZERS: dict[str, Tokenizer] = {}
@@ -78,6 +80,7 @@ def table_function(tokenize: Tokenizer):
 def tokenized(rows: DataFrame, name: str, code: str = "code", key: str = "sample_id") -> DataFrame:
     """(key, idx, text, kind, start, end) of the named tokenizer for every row; null texts have no tokens."""
     spark: SparkSession = rows.sparkSession
+    ship(spark)
     function = f"thicket_tokens_{re.sub('[^a-z0-9]', '_', name.lower())}"
     spark.udtf.register(function, table_function(TOKENIZERS[name]))
     return spark.sql(f"select s.`{key}`, t.* from {{rows}} s, lateral {function}(s.`{code}`) t", rows=rows)

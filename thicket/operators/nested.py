@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from thicket.functions.text import LEGAL_IDENTIFIER, chunks, path_name, split_name_unless_empty, split_to_subtokens
 from thicket.operators.paths import is_identifier, is_number
 from thicket.schema import MAX_PATH_LENGTH, MAX_PATH_WIDTH
+from thicket.session import ship
 
 S = "sample_id"
 NODES = "array<struct<type: string, value: string, children: array<int>>>"
@@ -160,6 +161,7 @@ def index(trees: DataFrame, functions: Sequence[str], reach: int = MAX_PATH_LENG
             for k in range(0, n, 5000):
                 yield pa.RecordBatch.from_arrays([c.slice(k, 5000) for c in out], names=[S, "node_id", "parent_id", "pre", "last", "depth", "child_no", "node_type", "value", "ups", "types", "fns"])
 
+    ship(trees.sparkSession)
     rows = trees.select(F.col(S).cast("bigint").alias(S), F.col(nodes).cast(NODES).alias("nodes"))
     return rows.mapInArrow(run, f"{S} bigint, node_id int, parent_id int, pre int, last int, depth int, child_no int, node_type string, value string, ups array<int>, types array<string>, fns array<int>")
 
