@@ -7,6 +7,7 @@ import difflib
 import numpy as np
 import pytest
 
+from thicket.operators import dedup as D
 from thicket.plans import QUERIES
 
 
@@ -37,3 +38,24 @@ def test_similar_files_equal_brute_force(spark, tmp_path):
     got = {(r.a, r.b): r.similarity for r in QUERIES["similar_files"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want)
     assert any(rows[int(a)][4] >= 4000 for a, _ in got) and any((int(a) - int(b)) % 2 == 0 for a, b in got)
+
+
+def test_copies_are_told_once_and_lose_no_link(spark, tmp_path):
+    """Copies go with the first of their text; of different texts every link is between the first ones, both ways where members alternate."""
+    x, y = [r[1] for r in documents()][6:8]
+    texts = [x, y, x, y, x, y, y, "beta", "beta"]
+    rows = [(k, t, "s", "en", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b): r.similarity for r in QUERIES["similar_files"](spark, str(tmp_path)).collect()}
+    ways = {("0", "1"): difflib.SequenceMatcher(None, x, y).ratio(), ("1", "0"): difflib.SequenceMatcher(None, y, x).ratio()}
+    copies = {("0", "2"), ("0", "4"), ("1", "3"), ("1", "5"), ("1", "6"), ("7", "8")}
+    assert min(ways.values()) > 0.7
+    assert got == pytest.approx(ways | dict.fromkeys(copies, 1.0))
+
+
+def test_two_corpora_give_all_pairs(spark):
+    schema = "stem string, path int, size int, content string"
+    search = spark.createDataFrame([("s", 1, 9, "same text"), ("s", 2, 9, "same text"), ("t", 3, 9, "same text"), ("s", 4, 9, "otherwise"), (None, 5, 9, "same text")], schema)
+    reference = spark.createDataFrame([("s", 1, 9, "same text"), ("s", 7, 9, "same text"), ("s", 8, 9, None)], schema)
+    got = {(r.a, r.b, r.similarity) for r in D.similar_files(search, reference, "stem").collect()}
+    assert got == {(1, 1, 1.0), (1, 7, 1.0), (2, 1, 1.0), (2, 7, 1.0)}
