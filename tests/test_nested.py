@@ -190,3 +190,16 @@ def test_pairs_are_sampled(spark):
     every = N.variable_pairs(found, 10_000, 1).collect()
     some = N.variable_pairs(found, 50, 1).collect()
     assert len(every) == 210 and len(some) == 50 and {(r.a, r.b) for r in some} <= {(r.a, r.b) for r in every}
+
+
+def test_trees_and_leaves_are_made_once(spark, small, monkeypatch):
+    """Trees are read from a table, however often a query needs them, and leaves meet in as many tasks as their rows want."""
+    from thicket.plans import code
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(code.trees(spark, small)) and "Window" not in plan(code.trees(spark, small))
+    want = sorted(map(tuple, N.function_lines(code.trees(spark, small)).collect()))
+    monkeypatch.setattr(N, "PAIRED", 5000)
+    out = N.function_lines(code.trees(spark, small))
+    assert "REPARTITION_BY_NUM" in plan(out)
+    assert sorted(map(tuple, out.collect())) == want and want

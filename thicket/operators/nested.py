@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from thicket.functions.text import LEGAL_IDENTIFIER, chunks, path_name, split_name_unless_empty, split_to_subtokens
 from thicket.operators.paths import is_identifier, is_number
 from thicket.schema import MAX_PATH_LENGTH, MAX_PATH_WIDTH
-from thicket.session import ship
+from thicket.session import ship, written
 
 S = "sample_id"
 NODES = "array<struct<type: string, value: string, children: array<int>>>"
@@ -42,6 +42,10 @@ METHOD_NAME_CS, METHOD_CS, COMMENT = "METHOD_NAME", "MethodDeclaration", "Commen
 TOKENS_CS = ("IdentifierToken", "NumericLiteralToken", "StringLiteralToken", "CharacterLiteralToken")
 
 
+#: Rows of a side of the join of leaves that a task sorts.
+PAIRED = 500_000
+
+
 @dataclass
 class Numbers:
     """Of all nodes of a batch: parent (-1: a root), depth, pre-order number within the tree, the last one below it, and place among siblings."""
@@ -177,6 +181,9 @@ def leaf_pairs(leaves: DataFrame, max_length: int = MAX_PATH_LENGTH, max_width:
     up = leaves.where(F.col("shown").isNotNull()).select(S, "pre", "shown", "types", "ups", "fns", F.posexplode(F.slice("ups", 1, max_length)).alias("far", "lca"))
     branch = F.when(F.col("far") == 0, F.col("lca")).otherwise(F.element_at("ups", F.greatest(F.col("far"), F.lit(1))))
     up = up.select(S, "lca", "pre", "shown", "types", "fns", "far", branch.alias("branch"))
+    # as many tasks as the rows want: a side's rows are wide, and a task sorts both
+    n = max(1, -(-leaves.where(F.col("shown").isNotNull()).count() * max_length // PAIRED))
+    up = up.repartition(n, S, "lca")
     a = up.select(S, "lca", F.col("pre").alias("v"), F.col("shown").alias("start"), F.col("types").alias("vt"), "fns", F.col("far").alias("vf"), F.col("branch").alias("vb"))
     b = up.select(S, "lca", F.col("pre").alias("u"), F.col("shown").alias("finish"), F.col("types").alias("ut"), F.col("far").alias("uf"), F.col("branch").alias("ub"))
     both = a.join(b, [S, "lca"]).where((F.col("vb") < F.col("ub")) & (F.col("vf") + F.col("uf") + 1 <= max_length) & (F.abs(F.col("vf") - F.col("uf")) <= max_width))
@@ -209,7 +216,8 @@ def function_contexts(trees: DataFrame, function: str = "FunctionDef", max_lengt
     shown = F.when(F.col("node_type").startswith("Name"), F.col("value"))
     if nums:
         shown = F.when(F.col("value").isNotNull() & (F.col("node_type") == "Num"), F.lit(NUM)).otherwise(shown)
-    leaves = nodes.withColumn("shown", shown)
+    # both sides of the pairs, and the names, read the numbered nodes: they are numbered once
+    leaves = written(nodes.withColumn("shown", shown).where(F.col("shown").isNotNull() | ((F.col("node_type") == function) & F.col("value").isNotNull())).select(S, "pre", "value", "ups", "types", "fns", "shown"), "leaves")
     pairs = leaf_pairs(leaves, max_length, max_width)
     if method_name:
         pairs = pairs.unionByName(name_pairs(leaves, max_length, max_width))
@@ -243,17 +251,20 @@ def located(nodes: DataFrame, language: str, names: DataFrame | None = None) ->
 def method_lines(trees: DataFrame, language: str, names: DataFrame | None = None, max_length: int = MAX_PATH_LENGTH, max_width: int = MAX_PATH_WIDTH) -> DataFrame:
     """(sample_id, fn, value): the contexts of the first method of each tree. The name's node shows METHODNAME, identifiers and numbers
     as the language has them; a sample with an identifier of illegal characters, or without contexts, has no line."""
-    nodes = index(trees, METHOD_TYPES[language][0], max_length)
+    nodes = written(index(trees, METHOD_TYPES[language][0], max_length).select(S, "pre", "last", "node_type", "value", "ups", "types", "fns"), "method-nodes")
     inside = nodes.drop("last").join(located(nodes, language, names), S).where("pre between method and last")
     tongue, kind = F.lit(language), F.col("node_type")
     word, is_name = is_identifier(tongue, kind), F.col("pre") == F.col("name_node")
     flagged = inside.withColumns({"shown": F.when(is_name, F.lit(METHOD_NAME)).when(word, F.col("value")).when(is_number(tongue, kind), F.lit(NUM)), "illegal": word & ~is_name & ~F.col("value").rlike(LEGAL_IDENTIFIER)})
+    flagged = flagged.where(F.col("shown").isNotNull() | F.col("illegal") | (F.col("pre") == F.col("method")))
     good = flagged.join(flagged.where("illegal").select(S).distinct(), S, "left_anti")
     # a path doesn't leave the method
     held = good.withColumns({"types": F.slice("types", F.lit(1), F.size(F.filter("ups", lambda x: x >= F.col("method")))), "ups": F.filter("ups", lambda x: x >= F.col("method"))})
-    pairs = leaf_pairs(held, max_length, max_width).join(held.select(S, F.col("pre").alias("v"), "method", "target"), [S, "v"])
-    contexts = pairs.select(S, F.col("method").alias("fn"), _context().alias("context"), "v", "u")
-    return _lines(contexts, held.where(F.col("pre") == F.col("method")).select(S, F.col("method").alias("fn"), "target"))
+    held = written(held.select(S, "pre", "shown", "types", "ups", "fns", "method", "target"), "method-leaves")
+    # a tree has one method, so its pairs need no more than the tree to find it
+    method = held.where(F.col("pre") == F.col("method")).select(S, F.col("method").alias("fn"), "target")
+    contexts = leaf_pairs(held, max_length, max_width).join(method.select(S, "fn"), S).select(S, "fn", _context().alias("context"), "v", "u")
+    return _lines(contexts, method)
 
 
 def variables(trees: DataFrame, max_length: int) -> tuple[DataFrame, DataFrame]:
