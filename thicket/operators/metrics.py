@@ -212,13 +212,22 @@ def smoothed_loss(scores: Column, target: Column, smoothing: float = 0.0) -> Col
     return -((1 - smoothing) * hit + rest * (every - hit))
 
 
+#: Words whose n-grams a task counts.
+GRAMS = 200_000
+
+
 def bleu(rows: DataFrame, key: str, references: str = "references", candidate: str = "candidate", most: int = 4) -> DataFrame:
     """(order, matches, total, precision, brevity_penalty, bleu): corpus BLEU of candidates (words) against one or more references each.
 
     An n-gram of a candidate counts as often as it is in that reference which has it most; counts are summed over the corpus. The length to compare with
     is that of the closest reference, the shorter on ties. A corpus without a match of some order has BLEU 0; empty candidates and references
     add their lengths alone. Rows that share a key are one text, so keys have to differ.
+
+    Texts are dealt out by key, in as many partitions as their words want; their n-grams are made and counted there, and only sums leave.
     """
+    held = F.size(F.coalesce(F.flatten(F.filter(references, lambda w: w.isNotNull())), F.array())) + F.size(F.coalesce(candidate, F.array()))
+    total = rows.agg(F.sum(held)).first()[0] or 0
+    rows = rows.repartition(max(1, -(-total // GRAMS)), key)
     grams = lambda words, n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda at: F.slice(words, at, n)))
     sides = F.concat(F.array(F.struct(F.lit(-1).alias("side"), F.col(candidate).alias("words"))), F.transform(references, lambda w, k: F.struct(k.cast("int").alias("side"), w.alias("words"))))
     texts = rows.select(key, F.explode(sides).alias("x")).select(key, "x.side", "x.words").where("words is not null")
