@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.operators import lexemes as L
 from thicket.operators import views as V
 from thicket.plans.registry import hashed as _hashed
 from thicket.plans.registry import query, table
@@ -21,6 +22,12 @@ def tokens(spark, d: str) -> DataFrame:
     return turns(spark, d).select("sample_id", F.posexplode("words").alias("pos", "word"))
 
 
+def dealt_tokens(spark, d: str) -> DataFrame:
+    """The same, in partitions by sample that follow the bytes of the texts."""
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("sample_id"), "text")
+    return L.dealt(t, "text").select("sample_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+
+
 @query("token_limit", "select sample_id, n from (select conv_id * 100 + turn as sample_id, len(string_split(text, ' ')) as n, string_split(text, ' ') as ws from conversations) where n <= 30 and not list_contains(ws, 'is')")
 def token_limit(spark, d):
     """Samples within the limit and without an error token (here: the word "is")."""
@@ -156,7 +163,7 @@ def reservoir_sample(spark, d):
 @query("lm_view", f"with {_TOKENS}, r as (select *, row_number() over (partition by sample_id order by {_hashed(11, 'sample_id', 'pos')}, pos) <= 5 as is_target, (row_number() over (partition by sample_id order by {_hashed(12, 'sample_id', 'pos')}, pos) - 1)::int as perm from t) select sample_id, pos, is_target, perm, case when is_target then word end as label from r")
 def lm_view(spark, d):
     """Five targets of each sample with their labels and a seeded permutation."""
-    t = tokens(spark, d).withColumn("token", F.col("word"))
+    t = dealt_tokens(spark, d).withColumn("token", F.col("word"))
     return V.language_model_view(t, 5, 11).select("sample_id", "pos", "is_target", "perm", "label")
 
 
@@ -166,7 +173,7 @@ _PARTS = f"with {_TOKENS}, r as (select *, row_number() over (partition by sampl
 def with_parts(spark, d: str) -> DataFrame:
     """Samples of a language model whose words have parts of four letters; every third part is padding."""
     part = lambda x, i: F.when(i % 3 == 2, 3).otherwise(10 * F.col("pos") + F.length(x)).cast("int")
-    t = tokens(spark, d).withColumn("token", F.col("word"))
+    t = dealt_tokens(spark, d).withColumn("token", F.col("word"))
     return V.language_model_view(t, 5, 11).withColumn("ids", F.transform(F.regexp_extract_all("word", F.lit(".{1,4}"), F.lit(0)), part))
 
 
