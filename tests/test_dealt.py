@@ -26,3 +26,20 @@ def test_bleu_counts_where_its_texts_are(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(key" in plan and "gram" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
+@pytest.mark.parametrize("name", ["coverage", "dense_contexts"])
+def test_contexts_are_made_once(name, spark, small):
+    """What vocabularies and columns share is read from a table, not made again for each."""
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "conversations.parquet" not in plan
+
+
+def test_a_clean_text_is_lexed_once(monkeypatch):
+    X = pytest.importorskip("thicket.functions.lexing")
+    if X.pygments is None:
+        pytest.skip("no lexer package")
+    for text in ("a = 1", "\n\na\r\nb\n\n", "﻿x = 'y'\n", "", "a\tb \n  c"):
+        clean = X.collapse_empty_lines(X.blank_comments(text, "python"))
+        if clean == "".join(t.text for t in X.lex(text, "python")):
+            assert X.lex(clean, "python") == X.lex(text, "python")
