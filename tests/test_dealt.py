@@ -43,3 +43,8 @@ def test_a_clean_text_is_lexed_once(monkeypatch):
         clean = X.collapse_empty_lines(X.blank_comments(text, "python"))
         if clean == "".join(t.text for t in X.lex(text, "python")):
             assert X.lex(clean, "python") == X.lex(text, "python")
+
+
+def test_a_view_reads_its_vocabulary_and_words_from_tables(spark, small):
+    plan = QUERIES["summarisation_view"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "view-vocabulary" in plan and "view-words" in plan
