@@ -112,3 +112,19 @@ def test_empty_table_and_query(spark, small):
     assert found(spark, [], P.PhraseParams()) == []
     assert found(spark, [(None, None), ("", "en")], P.PhraseParams(least=1)) == []
     assert P.op12_phrases(spark, small).count() > 0
+
+
+@pytest.mark.parametrize("packed", [1, 50, 10**6])
+def test_numbers_go_back_to_chunks_packed(spark, monkeypatch, packed):
+    """Frequent words reach their chunks without a join that makes a row for each word of each chunk."""
+    plans, route = [], P._route
+
+    def seen(answered, *rest):
+        plans.append(answered._jdf.queryExecution().executedPlan().toString())
+        return route(answered, *rest)
+
+    monkeypatch.setattr(P, "_route", seen)
+    rows = made(5, 80)
+    assert found(spark, rows, P.PhraseParams(least=3), chunk_bytes=900, packed=packed) == sorted(plain(rows, 3, 2000))
+    joins = [line for line in plans[0].splitlines() if "Join" in line]
+    assert len(joins) == 1 and "chunk" in joins[0] and "word" not in joins[0]

@@ -2,7 +2,8 @@
 
 Texts are packed once into chunks: the distinct words of a chunk with their counts, and the texts as numbers of these. Counts are added up over chunks
 and words below `least` are blanked, as no phrase with them can be frequent. What is left has a number by frequency, the
-rarer word the larger one, which goes back to the chunks.
+rarer word the larger one, which goes back to the chunks: a word is counted together with the list of its places, one for each chunk, and tasks pack the
+numbers of many words for a chunk into one row.
 
 Each occurrence of a word w is then a pivot: its fragment is what stands around it, as far as words are at most as rare as w (to the
 left rarer or equal ones end it, to the right rarer ones alone) and as a phrase with w can reach. Equal fragments of a
@@ -42,6 +43,8 @@ from thicket.session import ship
 HELD = 100_000
 MOST = 4_000_000
 SPLIT = 1 << 22
+#: Places of frequent words that a task packs at once.
+PACKED = 2_000_000
 #: Bytes of text whose fragments are a shard's.
 SHARD_BYTES = 16 << 20
 
@@ -110,21 +113,59 @@ def chunks_of(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     return written(rows.mapInArrow(run, schema), "phrase-chunks", "zstd", {"parquet.block.size": str(16 << 20)})
 
 
-def vocabulary(chunks: DataFrame, least: int) -> DataFrame:
-    """A written table (id, lang, word, n) of the frequent words: ids from 1 in the order of falling counts."""
-    counts = chunks.select(F.explode("words").alias("w")).groupBy("w.lang", "w.word").agg(F.sum("w.cnt").alias("n")).where(F.col("n") >= least)
-    placed = written(counts.orderBy(F.col("n").desc(), "word", "lang").select("*", F.monotonically_increasing_id().alias("place")), "phrase-words")
-    part = F.shiftright("place", 33)
-    sizes = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each partition
-    before, bases = 0, []
-    for p, n in sizes:
-        bases.append((p, before))
-        before += n
-    if before >= 1 << 31:
+def vocabulary(chunks: DataFrame, least: int) -> tuple[DataFrame, list[int]]:
+    """A written table (place, lang, word, n, at) of the frequent words in the order of falling counts, and for each partition of that order how
+    many words come before it. at: the chunks that hold a word and where; each chunk is there once, as its words are distinct."""
+    words = chunks.select("chunk", F.posexplode("words").alias("pos", "w"))
+    # counts and places in one pass: what is frequent needs no join to go back to its chunks
+    counts = words.groupBy("w.lang", "w.word").agg(F.sum("w.cnt").alias("n"), F.collect_list(F.struct("chunk", "pos")).alias("at")).where(F.col("n") >= least)
+    counts = written(counts, "phrase-counts")  # the sort reads them twice
+    placed = written(counts.orderBy(F.col("n").desc(), "word", "lang").select(F.monotonically_increasing_id().alias("place"), "lang", "word", "n", "at"), "phrase-words", "zstd", {"parquet.block.size": str(16 << 20)})
+    discard(counts)
+    sizes = dict(tuple(r) for r in placed.groupBy(F.shiftright("place", 33).cast("int")).agg(F.count("*")).collect())  # a row for each partition
+    before = [0]
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(before[-1] + sizes.get(p, 0))
+    if before[-1] >= 1 << 31:
         raise ValueError("more than 2**31 frequent words")
-    base = placed.sparkSession.createDataFrame(bases, "part bigint, base bigint")
-    numbers = placed.withColumn("part", part).join(F.broadcast(base), "part")  # as many rows as the sort had partitions
-    return numbers.select((F.col("base") + F.col("place").bitwiseAND((1 << 33) - 1) + 1).cast("int").alias("id"), "lang", "word", "n")
+    return placed, before
+
+
+def number_of(before: list[int]) -> Column:
+    """A word's number, from 1, by its place."""
+    base = F.element_at(F.lit(before), (F.shiftright("place", 33) + 1).cast("int"))
+    return (base + F.col("place").bitwiseAND((1 << 33) - 1) + 1).cast("int")
+
+
+def answers(placed: DataFrame, before: list[int], split: int, held: int) -> DataFrame:
+    """(chunk, size, blob): where the frequent words of a chunk are, their numbers and the shards that they are dealt to, three arrays in one. A task packs
+    the words that it reads, `held` places at once, so a chunk gets few rows of many words."""
+
+    def run(batches):
+        held_now, size = [], 0
+
+        def out():
+            nonlocal held_now, size
+            chunk, *columns = (np.concatenate(c) for c in zip(*held_now, strict=True))
+            held_now, size = [], 0
+            order = np.argsort(chunk, kind="stable")
+            chunk, data = chunk[order], np.stack([c[order] for c in columns])
+            found = C.cuts(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in found], pa.int64()), pa.array([b - a for _, a, b in found], pa.int64()), pa.array([C.pack_plain(data[:, a:b].ravel()) for _, a, b in found], pa.binary())], names=["chunk", "size", "blob"])
+
+        for batch in batches:
+            ids, salts, at = (batch.column(c) for c in ("id", "salts", "at"))
+            n = np.diff(at.offsets.to_numpy())
+            chunk, pos = (at.flatten().field(k).to_numpy() for k in ("chunk", "pos"))
+            held_now.append([chunk, pos.astype(np.int32), np.repeat(ids.to_numpy(), n), np.repeat(salts.to_numpy(), n)])
+            size += len(chunk)
+            if size >= held:
+                yield from out()
+        if size:
+            yield from out()
+
+    rows = placed.select(number_of(before).alias("id"), (1 + F.floor(F.col("n") / split)).cast("int").alias("salts"), "at")
+    return rows.mapInArrow(run, "chunk bigint, size bigint, blob binary")
 
 
 def fragments(sequence: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,9 +222,8 @@ def _route(answered: DataFrame, p: PhraseParams, n: int) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
-                size, chunk = (row.column(c)[0].as_py() for c in ("size", "chunk"))
-                got = row.column("got").flatten()
-                pos, ids, salts = (got.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "id", "salts"))
+                size, chunk, got = (row.column(c)[0].as_py() for c in ("size", "chunk", "got"))
+                pos, ids, salts = np.concatenate([C.unpack_plain(g["blob"], 3 * g["size"], np.int32).reshape(3, -1) for g in got], axis=1)
                 local = C.unpack_plain(row.column("sequence")[0].as_py(), size, np.uint32) if size else np.zeros(0, np.uint32)
                 number = np.zeros(max(int(local.max(initial=0)), int(pos.max(initial=-1)) + 1) + 1, np.int32)
                 number[pos + 1] = ids
@@ -255,24 +295,23 @@ def _mine(routed: DataFrame, p: PhraseParams, held: int, most: int) -> DataFrame
     return routed.mapInArrow(run, "g array<int>, f bigint")
 
 
-def counted(docs: DataFrame, p: PhraseParams = PhraseParams(), chunk_bytes: int = C.CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, held: int = HELD, most: int = MOST, split: int = SPLIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def counted(docs: DataFrame, p: PhraseParams = PhraseParams(), chunk_bytes: int = C.CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, held: int = HELD, most: int = MOST, split: int = SPLIT, packed: int = PACKED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent n-grams (g: ids of words, f), the frequent words (id, lang, word, n), and the words of each lang (lang, total)."""
     spark = docs.sparkSession
     ship(spark)
     chunks = chunks_of(docs, chunk_bytes)
     total = chunks.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
-    words = written(vocabulary(chunks, p.least), "phrase-vocabulary")
-    known = words.select("lang", "word", "id", (1 + F.floor(F.col("n") / split)).cast("int").alias("salts"))
-    places = chunks.select("chunk", F.posexplode("words").alias("pos", "w")).select("chunk", "pos", F.col("w.lang").alias("lang"), F.col("w.word").alias("word"))
-    # merge joins at every size: the words of all chunks, and the chunks, are too many to be sent to every task
-    answers = places.join(known.hint("merge"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("pos", "id", "salts")).alias("got"))
+    placed, before = vocabulary(chunks, p.least)
+    words = written(placed.select(number_of(before).alias("id"), "lang", "word", "n"), "phrase-vocabulary")
+    got = answers(placed, before, split, packed).groupBy("chunk").agg(F.collect_list(F.struct("size", "blob")).alias("got"))
     n = max(1, -(-total // shard_bytes))
-    routed = _route(chunks.select("chunk", "size", "sequence").hint("merge").join(answers, "chunk"), p, n)
+    # a merge join at every size: chunks are too many to be sent to every task
+    routed = _route(chunks.select("chunk", "size", "sequence").hint("merge").join(got, "chunk"), p, n)
     dealt = routed.repartition(n, "shard").sortWithinPartitions("shard", "whole")
     grams = _mine(dealt, p, held, most).groupBy("g").agg(F.sum("f").alias("f")).where(F.col("f") >= p.least)
     out = written(grams, "phrase-grams")
     totals = written(chunks.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("total")), "phrase-totals")
-    discard(chunks)
+    discard(chunks, placed)
     return out, words, totals
 
 
