@@ -59,3 +59,25 @@ def test_two_corpora_give_all_pairs(spark):
     reference = spark.createDataFrame([("s", 1, 9, "same text"), ("s", 7, 9, "same text"), ("s", 8, 9, None)], schema)
     got = {(r.a, r.b, r.similarity) for r in D.similar_files(search, reference, "stem").collect()}
     assert got == {(1, 1, 1.0), (1, 7, 1.0), (2, 1, 1.0), (2, 7, 1.0)}
+
+
+def test_files_shared_by_projects_equal_all_pairs_without_making_them(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 350)), rng.choice(["the x", "The", "of a b", "", " x", "Ä b"]), rng.choice(["p", "q", "r", "s", "t"]), "en", int(rng.integers(0, 400))) for _ in range(400)]
+    rows += [(None, "the", "p", "en", 20), (401, "the", None, "en", 20), (402, "the", "q", "en", None), (403, None, "q", "en", 20), (404, "of", "u", "en", 100_000), (405, "of", "v", "en", 105_000), (406, "of", "v", "en", 104_999), (407, "of", "w", "en", 95_000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    f = [(k, p, t.split(" ")[0].lower(), n) for k, t, p, _, n in rows if t is not None]
+    want = {}
+    for k, p, stem, n in f:
+        for _, q, other, m in f:
+            if None not in (k, p, q, n, m) and p != q and stem == other and n * m and 0.95 < n / m < 1.05:
+                want.setdefault((p, q), set()).add(k)
+    table = spark.createDataFrame(f, "file bigint, project string, stem string, size int")
+    got = {(r.project, r.candidate): r.n_shared for r in D.shared_files(table, "stem").collect()}
+    assert got == {k: len(v) for k, v in want.items()} and ("u", "v") in got and ("v", "u") in got and ("w", "u") not in got
+    total = {p: sum(1 for r in f if r[1] == p) for _, p, *_ in f}
+    out = QUERIES["project_overlap"](spark, str(tmp_path))
+    assert {(r.project, r.candidate): (r.n_shared, r.n_files) for r in out.collect()} == {(p, q): (len(v), total[p]) for (p, q), v in want.items() if len(v) / total[p] > 0.05 and total[p] > 10}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and all("stem#" in line or "project#" in line for line in joins)  # none by file
