@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import random
 
 import numpy as np
 import pytest
@@ -61,6 +62,39 @@ def test_two_corpora_give_all_pairs(spark):
     assert got == {(1, 1, 1.0), (1, 7, 1.0), (2, 1, 1.0), (2, 7, 1.0)}
 
 
+def test_the_matcher_finds_what_difflib_finds_and_the_bound_rules_out_nothing():
+    rng = random.Random(2)
+    for _ in range(400):
+        letters = [chr(97 + k) for k in range(rng.choice([3, 26, 60]))]
+        b = rng.choices(letters, [rng.random() ** 3 for _ in letters], k=rng.choice([0, 5, 199, 200, 250, 900]))
+        a = list(b)
+        for _ in range(rng.randint(0, len(b) // 3 + 1)):
+            at = rng.randint(0, len(a))
+            a[at : at + rng.randint(0, 9)] = rng.choices(letters, k=rng.randint(0, 9))
+        a, b = "".join(a), "".join(b)
+        mine, plain = D.Matcher(b), difflib.SequenceMatcher(None, a, b)
+        assert mine.similarity(a, D.places_of(a)) == plain.ratio() and mine.get_matching_blocks() == plain.get_matching_blocks()
+        block = D.Block([{"path": 1, "size": len(b), "text": b, "last": 1}])
+        found = list(block.similar({"path": 0, "size": len(b), "text": a}, 0.3, 0.1, 9, True))
+        assert found == ([(1, plain.ratio())] if plain.ratio() > 0.3 else [])
+
+
+def test_texts_are_sent_to_blocks_and_not_to_pairs(spark):
+    """What is shuffled follows the texts: 150 of 1,500 characters that don't compress meet in 11,175 pairs, which took more than 8 MB."""
+    rng = random.Random(4)
+    rows = [("s", k, 1500, "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(500))) for k in range(150)]
+    files = spark.createDataFrame(rows, "stem string, path int, size int, content string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before = shuffled()
+    assert D.similar_files(files, files, "stem", within=True).count() == 0
+    assert sum(v for k, v in shuffled().items() if k not in before) < 2_000_000
+
+
 def test_files_shared_by_projects_equal_all_pairs_without_making_them(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = [(int(rng.integers(0, 350)), rng.choice(["the x", "The", "of a b", "", " x", "Ä b"]), rng.choice(["p", "q", "r", "s", "t"]), "en", int(rng.integers(0, 400))) for _ in range(400)]
