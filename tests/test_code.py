@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from thicket.operators import methods as J
 from thicket.operators import metrics as M
 from thicket.operators import properties as R
 from thicket.operators import tree as T
+from thicket.plans import QUERIES
+from thicket.session import grouped
 from thicket.sources import contexts as CF
 from thicket.streaming import counts as C
 
@@ -446,3 +450,58 @@ def test_band_of_kept_tokens_equals_the_carried_matrix(spark):
     want = MK.masked(t, t.select("sample_id", "token_idx"), "keep", matrix)[2].collect()
     got = MK.masked_band(t, "keep", 2, lambda a, b: b - a, "line").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 50
+
+
+def test_descents_of_whole_samples_equal_the_tightest_nodes(spark):
+    """Spans that lie apart, touch and overlap; tokens without a span; a sample without a root."""
+    rng = np.random.default_rng(8)
+    nodes, tokens = [], []
+    for s in range(12):
+        nodes.append((s, 0, 1 if s == 11 else None, 0, 0, 400))
+        spans = {0: (0, 400)}
+        for k in range(1, 25):
+            parent = int(rng.integers(0, k))
+            lo, hi = spans[parent]
+            step = max((hi - lo) // 4, 1)
+            lo = lo + int(rng.integers(0, 4)) * step
+            spans[k] = (lo, min(lo + step - (s % 2), hi))
+            nodes.append((s, k, parent, k, *spans[k]))
+        for t in range(40):
+            start = int(rng.integers(0, 400))
+            tokens.append((s, t, None if t == 7 else start, start + int(rng.integers(0, 3))))
+    n = spark.createDataFrame(nodes, "sample_id bigint, node_id int, parent_id int, child_idx int, lo bigint, hi bigint")
+    t = spark.createDataFrame(tokens, "sample_id bigint, token_idx int, start bigint, stop bigint")
+    want = {tuple(r) for r in T.tightest_node(t, n.withColumn("size", F.struct((F.col("hi") - F.col("lo")).alias("lines"), F.lit(0).alias("cols")))).collect()}
+    node = F.struct("node_id", "parent_id", F.col("child_idx").alias("place"), "lo", "hi", (F.col("hi") - F.col("lo")).cast("int").alias("lines"), F.lit(0).alias("cols"))
+    lists = n.groupBy("sample_id").agg(F.collect_list(node).alias("nodes"))
+    rows = t.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("token_idx", "start", "stop"))).alias("tokens")).join(lists, "sample_id")
+    got = [tuple(r) for r in T.descents(rows).collect()]
+    assert len(got) == len(set(got)) == len(want) and set(got) == want and len({x[2] for x in want}) > 5
+
+
+def test_stage1_shuffles_texts_and_no_lexemes(spark, tmp_path):
+    """What the map of tokens shuffles follows the texts: lexemes and pairs of tokens and nodes took dozens of times as much."""
+    words = lambda k: " ".join(f"w{(k * 7919 + i * 104729) % 99991}" for i in range(400))
+    text = [(k, 0, "user", words(k)) for k in range(60)]
+    spark.createDataFrame(text, "conv_id bigint, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before = shuffled()
+    assert QUERIES["stage1_map"](spark, str(tmp_path)).count() > 20_000
+    wrote = sum(v for k, v in shuffled().items() if k not in before)
+    assert wrote < 10 * sum(len(r[3]) for r in text), wrote
+
+
+def test_groups_that_share_and_cross_batches_are_worked_on_whole(spark):
+    rows = spark.range(3000).selectExpr("cast(id % 7 as bigint) as k", "if(id % 3 = 0, null, cast(id % 2 as string)) as m", "id")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = grouped(rows, ["k", "m"], lambda t: pa.table({"k": t["k"][:1], "m": t["m"][:1], "n": pa.array([t.num_rows], pa.int64())}), "k bigint, m string, n bigint", 3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(map(str, got)) == sorted(map(str, rows.groupBy("k", "m").agg(F.count("*").alias("n")).collect()))
